@@ -50,4 +50,4 @@ def clip(v: Column, most: float) -> Column:
 
 def detection_code(marked: Column, dtype: str = "uint64") -> Column:
     """A mark as the largest integer of the output type; all else is 0."""
-    return F.when(marked, F.lit(max_exact(dtype)).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+    return F.when(marked, F.lit(str(max_exact(dtype))).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))

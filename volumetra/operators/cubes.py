@@ -53,25 +53,29 @@ def normalised(cubes: DataFrame, mean: float, std: float) -> DataFrame:
     return cubes.withColumn("v", (F.col("v") - mean) / std)
 
 
-def _corners(at: Column, n: int, m: int) -> list[tuple[Column, Column]]:
-    """The two source indices of a target index and their weights, pixel centres at half steps."""
-    s = F.least(F.greatest((at + 0.5) * (n / m) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
-    low = F.floor(s)
-    high = F.least(low + 1, F.lit(n - 1).cast("long"))
-    return [(low, 1 - (s - low)), (high, s - low)]
+def _shares(n: int, m: int) -> Column:
+    """For each source index, the target indices it counts for and its weights; pixel centres lie at half steps."""
+    own: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for t in range(m):
+        s = min(max((t + 0.5) * (n / m) - 0.5, 0.0), n - 1.0)
+        low = int(s)
+        for i, w in ((low, 1 - (s - low)), (min(low + 1, n - 1), s - low)):
+            if w:
+                own[i].append((t, w))
+    pair = lambda t, w: F.struct(F.lit(t).cast("long").alias("t"), F.lit(w).alias("w"))
+    return F.array(*(F.array(*(pair(t, w) for t, w in x)) if x else F.filter(F.array(pair(0, 0.0)), lambda _: F.lit(False)) for x in own))
 
 
 def resample(cubes: DataFrame, shape: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
-    """Trilinear: each target voxel asks for its 8 corners; one shuffle brings them together by (idx, corner)."""
-    ids = cubes.select("idx").distinct()
-    grid = ids
-    for a, m in zip("zyx", to):
-        grid = grid.withColumn(f"t{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    """Trilinear: each voxel sends its weighted value to the targets near it, one axis after another; sums are combined
+    before they are shuffled, and there is no join."""
+    rows, keys = cubes, ["idx", "dz", "dy", "dx"]
     for a, n, m in zip("zyx", shape, to):
-        both = F.array(*(F.struct(i.alias("i"), w.alias("w")) for i, w in _corners(F.col(f"t{a}"), n, m)))
-        grid = grid.withColumn(f"k{a}", F.explode(both))
-    asked = grid.select("idx", "tz", "ty", "tx", *(F.col(f"k{a}.i").alias(f"d{a}") for a in "zyx"), (F.col("kz.w") * F.col("ky.w") * F.col("kx.w")).alias("w"))
-    return asked.join(cubes, ["idx", "dz", "dy", "dx"]).groupBy("idx", "tz", "ty", "tx").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+        sent = rows.select(*keys, "v", F.explode(F.get(_shares(n, m), F.col(f"d{a}").cast("int"))).alias("k"))
+        sent = sent.select(*(F.col("k.t").alias(f"t{a}") if c == f"d{a}" else F.col(c) for c in keys), (F.col("v") * F.col("k.w")).alias("v"))
+        keys = [f"t{a}" if c == f"d{a}" else c for c in keys]
+        rows = sent.groupBy(*keys).agg(F.sum("v").alias("v"))
+    return rows
 
 
 def resample_array(cube: np.ndarray, to: tuple[int, int, int]) -> np.ndarray:

@@ -114,7 +114,8 @@ def laplacian(voxels: DataFrame) -> DataFrame:
 def median3(voxels: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """3x3 median; what lies outside the plane counts as 0."""
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    dealt = voxels.select("z", (F.col("y") + F.explode(steps)).alias("y"), "x", "v").select("z", "y", (F.col("x") + F.explode(steps)).alias("x"), "v")
+    rows = voxels.select("z", "y", "x", "v", F.explode(steps).alias("dy")).select("z", "y", "x", "v", "dy", F.explode(steps).alias("dx"))
+    dealt = rows.select("z", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
     inside = dealt.where(F.col("y").between(0, shape[0] - 1) & F.col("x").between(0, shape[1] - 1))
     nine = inside.groupBy("z", "y", "x").agg(F.collect_list("v").alias("near"))
     padded = F.concat("near", F.array_repeat(F.lit(0).cast(voxels.schema["v"].dataType), 9))
