@@ -79,9 +79,9 @@ def test_null_ids_and_equal_rows(spark):
     assert jaccard_join.jaccard_components(df).count() == 4
 
 
-@pytest.mark.parametrize("group,most", [(4_000_000, 2_000_000), (300, 0)])
-def test_jaccard(docs, group, most):
-    got = jaccard_join.jaccard_components(docs, group_shingles=group, broadcast_rows=most).select("doc_id", "n_shingles", "component_id")
+@pytest.mark.parametrize("group,most,short", [(4_000_000, 2_000_000, 64), (300, 0, 64), (300, 0, 3)])
+def test_jaccard(docs, group, most, short):
+    got = jaccard_join.jaccard_components(docs, group_shingles=group, broadcast_rows=most, short_list=short).select("doc_id", "n_shingles", "component_id")
     same(rows_of(got), brute.jaccard(plain(docs)))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import cut
+from volumetra.llm.common import cut, hash_sample
 
 #: Production parameters: codebooks, codewords of each, beam, sampled rows, queries searched together, and for each query
 #: and batch of rows the candidates that are ranked again.
@@ -79,7 +79,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 def build_index(table: DataFrame, vector: str = "embedding", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, np.ndarray | None]:
     """Every valid row with its code and norm, and the codebooks. Vectors of another length than most of the sample take no part."""
     rows = valid(table.select("vec_id", F.col(vector).cast("array<double>").alias("v")), "v")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
+    sample = hash_sample(rows, "vec_id", train_rows).select("v").toArrow()["v"].combine_chunks()
     if not len(sample):
         return cut(rows.select("vec_id", "v", F.lit(b"").alias("code"), F.lit(0.0).alias("norm"))), None
     sizes = np.bincount(sample.value_lengths().to_numpy())

@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of df (at most), those whose hashed key is smallest; only hashes are sorted, never the rows."""
+    small = df.select(F.xxhash64(key).alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(F.xxhash64(key) <= F.lit(small if small is not None else 0)).limit(rows)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,10 +3,14 @@
 Documents with equal shingle sets form a class, and classes are joined. Two
 classes that link share one of the first |A| - T + 1 shingles of either in any
 fixed order; the order puts shingles of rare words first and shingles that are
-frequent in a sample last, which changes the work but no result. Classes that
-share such a shingle come together in groups; within a group, an inverted
-index answers each class's T-occurrence query as DivideSkip does: short lists
-are merged, long ones are probed by binary search.
+frequent in a sample last, which changes the work but no result. Inverted lists
+over these shingles are short or long. Short ones are merged: pairs that meet
+in them are counted, and a pair goes on if its count, with all long lists it
+might share, reaches what the required overlap leaves to these shingles, and if
+bitmaps of both sets allow the overlap. Classes that meet in long lists, and
+pairs that went on, come together in groups; within a group, an inverted index
+answers each class's T-occurrence query as DivideSkip does: short lists are
+merged, long ones are probed by binary search, overlaps are exact.
 
 Shingles are compared by 64-bit hashes, classes by a 64-bit hash of their set.
 """
@@ -20,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import byte_slices, cut, fixed_hash, mix, partitions, prefix_sums, span_hash, utf8, word_spans
+from volumetra.llm.common import byte_slices, cut, fixed_hash, hash_sample, mix, partitions, prefix_sums, span_hash, utf8, word_spans
 from volumetra.llm.graph import components
 
 #: Production parameters: words of a shingle, similarity in per cent.
 SHINGLE, PERCENT = 5, 75
-#: Documents sampled for the order of shingles; it bounds what is sent to every task.
-SAMPLE_DOCS, FREQUENT_MOST, TABLE_BITS = 4096, 200_000, 18
+#: Documents, and characters of each, sampled for the order of shingles, which no result depends on.
+SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
+#: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
+SHORT_LIST, BITMAP = 256, 32
 #: Shingles of a group that one task indexes; larger groups are dealt in blocks by set size.
 GROUP_SHINGLES = 4_000_000
 #: Rows up to which the classes that have candidates are broadcast; beyond, they are joined by shuffle.
@@ -67,11 +73,19 @@ def _each_set(batch: pa.RecordBatch, words: int):
         yield from enumerate(shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words), k)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, as BITMAP words; different shingles may share one."""
+    bits = np.zeros(BITMAP * 64, np.uint8)
+    bits[(s % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _classes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), class_of(s)) for _, (s, _, _) in _each_set(batch, words)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], ["doc_id", "n_shingles", "cls"])
+            rows = [(len(s), class_of(s), bitmap(s)) for _, (s, _, _) in _each_set(batch, words)]
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate([b for _, _, b in rows] or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), bits], ["doc_id", "n_shingles", "cls", "bits"])
 
     return run
 
@@ -80,18 +94,23 @@ class Order:
     """A fixed order of shingles: unusual words first, shingles frequent in the sample last."""
 
     def __init__(self, texts: list, words: int):
-        data, bounds = utf8(pa.array(texts, pa.large_string()))
         self.frequent, self.table = np.zeros(0, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
-        sets, seen = [], set()
-        for s, hashes, _ in shingle_sets(data, bounds, words):
-            if (c := class_of(s)) not in seen:
-                seen.add(c)
-                sets.append(s)
-        if sets and len(data):
-            many, counts = np.unique(np.concatenate(sets), return_counts=True)
+        data, bounds = utf8(pa.array(texts, pa.large_string()))
+        sets, seen, used = [], set(), np.zeros(1 << TABLE_BITS, np.int64)
+        for k, e in byte_slices(bounds, SLICE_BYTES):
+            for s, hashes, _ in shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words):
+                if (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    sets.append(s)
+            used += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+        if sets:
+            every = np.sort(np.concatenate(sets))
+            del sets
+            starts = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1)))
+            counts = np.diff(starts, append=len(every))
             top = np.flatnonzero(counts >= 3)
-            self.frequent = np.sort(many[top[np.argsort(-counts[top], kind="stable")[:FREQUENT_MOST]]])
-            used = np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+            top = top[np.argsort(-counts[top], kind="stable")[:FREQUENT_MOST]]
+            self.frequent = np.sort(every[starts[top]])
             self.table = np.log2(1 + used).astype(np.int64)
 
     def first(self, s: np.ndarray, hashes: np.ndarray, at: np.ndarray, words: int, many: int) -> np.ndarray:
@@ -155,20 +174,20 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[int]:
     if not queries:
         return roots.tolist()
     sizes = np.array([len(s) for s in sets])
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[by], owner[by]
+    ends = np.cumsum(sizes)
+    _, lists = np.unique(np.concatenate(sets), return_inverse=True)  # the list that each shingle of each set is in
+    length = np.bincount(lists)
+    owner, first = np.repeat(np.arange(len(sets)), sizes)[np.argsort(lists, kind="stable")], np.cumsum(length) - length
     for q in queries:
-        s = sets[q]
-        lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
-        need = -(-percent * len(s) // 100)
-        long = min(need - 1, int(need / (1 + 0.01 * np.log2(1 + (hi - lo).max()))))
-        short = np.argsort(hi - lo, kind="stable")[: len(s) - long]
-        size = (hi - lo)[short]
-        merged = owner[np.repeat(lo[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        times = np.bincount(merged, minlength=len(sets))
-        fit = (times >= need - long) & (100 * sizes >= percent * len(s)) & (100 * len(s) >= percent * sizes)
-        for c in np.flatnonzero(fit).tolist():  # linked() probes the long lists
+        own = lists[ends[q] - sizes[q] : ends[q]]
+        need = -(-percent * len(own) // 100)
+        long = min(need - 1, int(need / (1 + 0.01 * np.log2(1 + length[own].max()))))
+        short = own[np.argsort(length[own], kind="stable")[: len(own) - long]]
+        size = length[short]
+        merged = owner[np.repeat(first[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        met, times = np.unique(merged, return_counts=True)
+        fit = (times >= need - long) & (100 * sizes[met] >= percent * len(own)) & (100 * len(own) >= percent * sizes[met])
+        for c in met[fit].tolist():  # linked() probes the long lists
             if find(c) != find(q) and linked(q, c):
                 root[find(c)] = find(q)
     return [find(k) for k in range(len(sets))]
@@ -198,7 +217,7 @@ def _links(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal shingle sets) and component_id, a row for each row of docs.
 
     Takes `doc_id` and `text` (other columns are ignored). Null, empty and blank texts have no shingles and link with
@@ -206,27 +225,41 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     """
     read, spark = docs.select("doc_id", "text"), docs.sparkSession
     parts = partitions(docs)
-    rows = cut(read.mapInArrow(_classes(words), "doc_id long, n_shingles long, cls long"))
-    sample = [r.text for r in read.orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).select(F.substring("text", 1, 20_000).alias("text")).collect()]
+    rows = cut(read.mapInArrow(_classes(words), "doc_id long, n_shingles long, cls long, bits array<long>"))
+    sample = [r.text for r in hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
     order = spark.sparkContext.broadcast(Order(sample, words))
     postings = read.mapInArrow(_postings(words, percent, order), "token long, cls long")
-    lead = postings.groupBy("token").agg(F.min("cls").alias("u"), F.max("cls").alias("high")).where("u < high").select("token", "u")
-    shared = postings.join(lead, "token").where("cls != u").select("u", F.col("cls").alias("v")).distinct()
+    lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
+    met = cut(postings.join(lists.select("token", "low", (F.col("m") > short_list).alias("long")), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("long").alias("long")))
+    sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    size = met.groupBy("cls").agg(F.sum(F.col("long").cast("int")).alias("longs")).join(sets.select("cls", "n"), "cls")
+    short = met.where("NOT long").select("token", "cls").join(size, "cls")
+    side = lambda table, k, *more: table.select(*(F.col(c).alias(f"{c}{k}") for c in ("cls", *more)))
+    a, b = short.select("token", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "longs"))), short.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "longs")))
+    near = (F.col("cls1") < F.col("cls2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    pairs = a.join(b, "token").where(near).groupBy("cls1", "cls2").agg(*(F.first(c).alias(c) for c in ("n1", "n2", "longs1", "longs2")), F.count("*").alias("c"))
+    overlap = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
+    left = overlap - F.ceil(percent * F.greatest("n1", "n2") / 100 - 1e-9) + 1
+    pairs = pairs.where(F.col("c") + F.least("longs1", "longs2") >= left)
+    pairs = pairs.join(side(sets, 1, "bits"), "cls1").join(side(sets, 2, "bits"), "cls2")
+    lone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    pairs = pairs.where((F.col("n1") - lone("bits1", "bits2") >= overlap) & (F.col("n2") - lone("bits2", "bits1") >= overlap))
+    shared = pairs.select(F.col("cls1").alias("u"), F.col("cls2").alias("v")).union(met.where("long AND cls != low").select("low", "cls")).distinct()
     groups = components(shared)
     sizes = rows.where("n_shingles > 0").groupBy(F.col("cls").alias("node")).agg(F.first("n_shingles").alias("n")).join(groups, "node")
     before = Window.partitionBy("root").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
     members = cut(sizes.select(F.col("node").alias("cls"), "root", "n", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / group_shingles).alias("block")))
     block = members.groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     low, high = block.select("root", F.col("block").alias("i"), F.col("most").alias("i_most")), block.select("root", F.col("block").alias("j"), F.col("least").alias("j_least"))
-    met = low.join(high, "root").where((F.col("i") <= F.col("j")) & (100 * F.col("i_most") >= percent * F.col("j_least")))
-    ends = met.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.xxhash64("root", "i", "j").alias("task"))
+    both = low.join(high, "root").where((F.col("i") <= F.col("j")) & (100 * F.col("i_most") >= percent * F.col("j_least")))
+    ends = both.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.xxhash64("root", "i", "j").alias("task"))
     tasks = members.join(ends, ["root", "block"]).select("cls", "task")
     wanted = cut(tasks)
-    sets = read.mapInArrow(_sets(words), "cls long, shingles binary")
+    whole = read.mapInArrow(_sets(words), "cls long, shingles binary")
     few = wanted.count() <= broadcast_rows
-    dealt = sets.join(F.broadcast(wanted) if few else wanted, "cls").groupBy("task", "cls").agg(F.first("shingles").alias("shingles"))
+    dealt = whole.join(F.broadcast(wanted) if few else wanted, "cls").groupBy("task", "cls").agg(F.first("shingles").alias("shingles"))
     links = dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
     joined = components(links).withColumnRenamed("node", "cls")
-    placed = rows.join(joined, "cls", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")))
+    placed = rows.drop("bits").join(joined, "cls", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")))
     smallest = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
