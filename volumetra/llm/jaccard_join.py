@@ -34,10 +34,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
 #: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
 SHORT_LIST, BITMAP = 256, 32
 #: Shingles of a group that one task indexes; larger groups are dealt in blocks by set size.
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 1_000_000
 #: Rows up to which the classes that have candidates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 400_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -67,10 +67,11 @@ def class_of(s: np.ndarray) -> int:
     return int((both[:1] ^ both[1:]).view(np.int64)[0])
 
 
-def _each_set(batch: pa.RecordBatch, words: int):
+def _parts(batch: pa.RecordBatch, words: int):
+    """The batch in parts of about SLICE_BYTES of text, each with its rows' shingle sets."""
     data, bounds = utf8(batch["text"])
     for k, e in byte_slices(bounds, SLICE_BYTES):
-        yield from enumerate(shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words), k)
+        yield batch.slice(k, e - k), shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -83,9 +84,10 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 def _classes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), class_of(s), bitmap(s)) for _, (s, _, _) in _each_set(batch, words)]
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate([b for _, _, b in rows] or [np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), bits], ["doc_id", "n_shingles", "cls", "bits"])
+            for part, sets in _parts(batch, words):
+                rows = [(len(s), class_of(s), bitmap(s)) for s, _, _ in sets]
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate([b for _, _, b in rows])))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([n for n, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), bits], ["doc_id", "n_shingles", "cls", "bits"])
 
     return run
 
@@ -126,13 +128,14 @@ class Order:
 def _postings(words: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
-            for _, (s, hashes, at) in _each_set(batch, words):
-                if n := len(s):
-                    tokens.append(order.value.first(s, hashes, at, words, n + (-n * percent // 100) + 1))
-                    classes.append(class_of(s))
-                    sizes.append(len(tokens[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), sizes))], ["token", "cls"])
+            for _, sets in _parts(batch, words):
+                tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
+                for s, hashes, at in sets:
+                    if n := len(s):
+                        tokens.append(order.value.first(s, hashes, at, words, n + (-n * percent // 100) + 1))
+                        classes.append(class_of(s))
+                        sizes.append(len(tokens[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), np.array(sizes, np.int64)))], ["token", "cls"])
 
     return run
 
@@ -140,8 +143,9 @@ def _postings(words: int, percent: int, order):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(class_of(s), s.tobytes()) for _, (s, _, _) in _each_set(batch, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cls", "shingles"])
+            for _, sets in _parts(batch, words):
+                rows = [(class_of(s), s.tobytes()) for s, _, _ in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cls", "shingles"])
 
     return run
 
