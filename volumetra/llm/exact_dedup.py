@@ -2,9 +2,11 @@
 
 Sampled splitters deal normalised texts out in ranges, Spark's external sort
 puts equals side by side, and a window over (text, salt) compares neighbours in
-full. The salt, a hash of doc_id, is the last part of the range key, so that a
-text with very many copies spreads over several ranges; what the ranges found
-for one text is then brought together by its SHA-256.
+full. The splitters, which the driver gathers, hold a text's first HEAD
+characters and its hash, so their size is bounded whatever the texts' length.
+The salt, a hash of doc_id, is the last part of the range key, so that a text
+with very many copies spreads over several ranges; what the ranges found for
+one text is then brought together by its SHA-256.
 """
 
 from __future__ import annotations
@@ -16,18 +18,22 @@ from volumetra.llm.common import ascii_lower, cut, partitions
 
 #: Rows of one text that stay together, about.
 GROUP_ROWS = 10_000
+#: Characters of a text that a splitter holds.
+HEAD = 32
 
 
 def _sorted(docs: DataFrame) -> DataFrame:
     salts = max(1, -(-docs.count() // GROUP_ROWS))
-    equal = Window.partitionBy("_norm", "_salt")
+    place = ("_head", "_hash", "_salt")
+    equal = Window.partitionBy(*place, "_norm")
     return (
         docs.withColumn("_norm", ascii_lower(F.col("text"))).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        .repartitionByRange(partitions(docs), "_norm", "_salt").sortWithinPartitions("_norm", "_salt", F.col("doc_id").desc())
+        .withColumn("_head", F.substring("_norm", 1, HEAD)).withColumn("_hash", F.xxhash64("_norm"))
+        .repartitionByRange(partitions(docs), *place).sortWithinPartitions(*place, "_norm", F.col("doc_id").desc())
         .withColumn("_rank", F.row_number().over(equal.orderBy(F.col("doc_id").desc())))
         .withColumn("_n", F.when(F.col("_rank") == 1, F.count("*").over(equal)))
         .withColumn("_sha", F.sha2("_norm", 256))
-        .drop("_norm", "_salt")
+        .drop("_norm", *place)
     )
 
 
