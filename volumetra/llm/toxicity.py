@@ -121,10 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> np.ndarray:
-    """L2-penalised logistic regression by accelerated gradient steps; the last column is the intercept."""
+    """L2-penalised logistic regression by accelerated gradient steps; the last column is the intercept.
+    Products with x are taken in its own type, so that x is never converted."""
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
@@ -132,7 +133,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     w = z = np.zeros(x.shape[1])
     t = 1.0
     for _ in range(rounds):
-        gradient = x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -30, 30))) - y) + ridge * z
+        wrong = 1 / (1 + np.exp(-np.clip(x @ z.astype(x.dtype), -30, 30))) - y
+        gradient = x.T @ wrong.astype(x.dtype) + ridge * z
         new = z - step * gradient
         t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         w, z = new, new + (was - 1) / t * (new - w)
