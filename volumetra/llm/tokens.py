@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ MEMO_PIECES = 1_200_000
 #: Bytes of text that are cut and encoded together.
 SLICE_BYTES = 12 << 20
 
-#: A word of Latin-1 letters (none of which changes under NFC), a space before it, full stops and commas behind.
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)\Z")
+#: A word of Latin-1 letters (none of which changes under NFC), perhaps with a space before it.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+#: Full stops and commas behind a letter: both tokenizers end a pre-token between them.
+_STOPPED = r"(?s)\A(?P<word>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<stops>[.,]+)\z"
 #: A space that has other white space beside it.
 _ODD = re.compile(r"\s(?<! ) | \s")
 #: Byte-level BPE writes the bytes 0x80-0xA0 and 0xAD as the characters from 0x122 on.
@@ -30,6 +33,12 @@ _BYTE_CHARS = {b: 0x122 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 _encoders: dict[tuple, "PieceEncoder"] = {}
 
 
+def _gather(ids: np.ndarray, lo: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids[lo : lo + size] of all runs one after another, and where each ends."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(lo - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class PieceEncoder:
     """Encodes lists of texts with one tokenizer file.
 
@@ -52,29 +61,26 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _encode_new(self, pieces: list[str]) -> list[list[int]]:
-        """A plain Latin-1 word with full stops or commas behind is one or two pre-tokens: the
-        library's BPE model takes them directly. All else goes through the whole pipeline."""
+        """A plain Latin-1 word is one pre-token: the library's BPE model takes it directly. All else goes through the
+        whole pipeline."""
         model, out, rest, where = self.tokenizer.model.tokenize, [None] * len(pieces), [], []
-        for k, p in enumerate(pieces):
-            if m := _PLAIN.match(p):
-                space, word, stops = m.groups()
-                if not self.spaced:
-                    space, word = "", word.lower()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = [t.id for t in model(("\u0120" if space else "") + word)]
-                out[k] = ids + [t.id for t in model(stops)] if stops else ids
-            else:
+        for k, (p, plain) in enumerate(zip(pieces, map(_PLAIN.match, pieces))):
+            if not plain:
                 rest.append(p)
                 where.append(k)
+                continue
+            word = p if self.spaced else p.strip(" ").lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            out[k] = [t.id for t in model("\u0120" + word[1:] if word[0] == " " else word)]
         for k, ids in zip(where, self._library(rest)):
             out[k] = ids
         return out
 
-    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each piece's ids in self.ids; pieces are distinct."""
-        memo = self.memo
-        at = np.fromiter((memo.get(p, -1) for p in pieces), np.int64, len(pieces))
+        memo, pieces = self.memo, pieces.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(memo.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(at < 0)
         if not len(new):
             return self.ends[at], self.ends[at + 1]
@@ -85,7 +91,7 @@ class PieceEncoder:
         names = [pieces[k] for k in new.tolist()]
         found = self._encode_new(names)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(new) + 1 > len(self.ends):
@@ -98,6 +104,19 @@ class PieceEncoder:
         self.count += len(new)
         return self.ends[at], self.ends[at + 1]
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces one after another, and where each ends. Case (if the tokenizer drops it) and stops
+        behind a word are taken off first, so that one entry of the memo serves all forms of a word."""
+        if not self.spaced:  # special strings keep their case: only as written are they special
+            pieces = pc.if_else(pc.match_substring(pieces, "<|"), pieces, pc.ascii_lower(pieces))
+        parts = pc.extract_regex(pieces, _STOPPED)
+        words, stops = pc.coalesce(pc.struct_field(parts, "word"), pieces), pc.coalesce(pc.struct_field(parts, "stops"), pa.scalar("", pieces.type))
+        d = pa.concat_arrays([words, stops]).dictionary_encode()
+        lo, hi = self._numbers(d.dictionary)
+        code = d.indices.to_numpy().reshape(2, -1).T.ravel()
+        out, ends = _gather(self.ids, lo[code], (hi - lo)[code])
+        return out, ends[1::2]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends in them."""
         texts = [t or "" for t in texts]
@@ -107,7 +126,8 @@ class PieceEncoder:
                 if "  " in t or (t and (t[0].isspace() or t[-1].isspace())) or _ODD.search(t):
                     whole[k] = t
                     texts[k] = ""
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        joined = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(joined if self.spaced else pc.replace_substring(joined, "\n", " "), " ")
         starts = cut.offsets.to_numpy()
         flat = cut.flatten()
         if self.spaced:
@@ -115,12 +135,10 @@ class PieceEncoder:
             first[starts[:-1]] = True
             flat = pc.binary_join_element_wise(pa.array(np.where(first, "", " "), pa.large_string()), flat, pa.scalar("", pa.large_string()))
         d = flat.dictionary_encode()
-        lo, hi = self._numbers(d.dictionary.to_pylist())
-        code = d.indices.to_numpy()
-        lo, size = lo[code], (hi - lo)[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = self.ids[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])]
-        ends = ends[starts[1:]]
+        ids, ends = self._pieces(d.dictionary)
+        code, sizes = d.indices.to_numpy(), np.diff(ends, prepend=0)
+        out, ends = _gather(ids, (ends - sizes)[code], sizes[code])
+        ends = np.concatenate([[0], ends])[starts[1:]]
         if whole:
             parts, prev, total = [], 0, []
             done = dict(zip(whole, self._library(list(whole.values()))))
