@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Pieces that one worker remembers; beyond that, it starts afresh.
 MEMO_PIECES = 1_200_000
 #: Bytes of text that are cut and encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 #: A word of Latin-1 letters (none of which changes under NFC), perhaps with a space before it.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
