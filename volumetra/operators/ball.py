@@ -40,24 +40,40 @@ def _table(rows: list[tuple]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("dz", "dy", "dx", "w"), r))) for r in rows))
 
 
+def sent(bright: DataFrame, kernel: np.ndarray) -> DataFrame:
+    """z, y, x of every place that a bright voxel counts for, and its weight w there."""
+    rows = bright.select("z", "y", "x", F.explode(_table(offsets(kernel))).alias("k"))
+    return rows.select(*((F.col(a) + F.col(f"k.d{a}")).alias(a) for a in "zyx"), F.col("k.w").alias("w"))
+
+
+def valid(shape: tuple[int, int, int], kernel: np.ndarray) -> dict[str, tuple[int, int]]:
+    """First and last place on each axis where the whole ball lies inside the volume."""
+    kz, ky, kx = kernel.shape
+    if shape[1] < ky or shape[2] < kx:
+        raise ValueError("planes are smaller than the ball")
+    first = (kz // 2, (ky - 1) // 2, (kx - 1) // 2)
+    return {a: (f, f + n - k) for a, f, n, k in zip("zyx", first, shape, kernel.shape)}
+
+
 def overlap(bright: DataFrame, shape: tuple[int, int, int], xy: int, z: int) -> DataFrame:
     """z, y, x and the ball's integer overlap with the bright voxels, where the whole ball lies inside the volume and the
     overlap is not 0. Bright voxels are few, so each sends its weight to its neighbours; sums combine before the shuffle."""
     kernel = ball_kernel(xy, z)
-    if shape[1] < xy or shape[2] < xy:
-        raise ValueError("planes are smaller than the ball")
-    sent = bright.select("z", "y", "x", F.explode(_table(offsets(kernel))).alias("k"))
-    at = sent.select((F.col("z") + F.col("k.dz")).alias("z"), (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), F.col("k.w").alias("w"))
-    first = (z // 2, (xy - 1) // 2, (xy - 1) // 2)
-    valid = [F.col(a).between(f, f + n - k) for a, f, n, k in zip("zyx", first, shape, kernel.shape)]
-    return at.where(valid[0] & valid[1] & valid[2]).groupBy("z", "y", "x").agg(F.sum("w").alias("overlap"))
+    at = sent(bright, kernel)
+    for a, (first, last) in valid(shape, kernel).items():
+        at = at.where(F.col(a).between(first, last))
+    return at.groupBy("z", "y", "x").agg(F.sum("w").alias("overlap"))
 
 
 def marks(bright: DataFrame, shape: tuple[int, int, int], xy: int, z: int, fraction: Fraction, tiles: DataFrame | None = None, tile: int = 0) -> DataFrame:
     """Voxels whose overlap exceeds `fraction` of the ball, and that lie in an inside tile if tiles are given.
     All bright voxels are as given: marks do not feed back. Integers keep ties exact."""
-    limit = fraction * int(ball_kernel(xy, z).sum())
-    found = overlap(bright, shape, xy, z).where(F.col("overlap") * limit.denominator > limit.numerator).select("z", "y", "x")
+    return marked(overlap(bright, shape, xy, z), fraction * int(ball_kernel(xy, z).sum()), tiles, tile)
+
+
+def marked(overlaps: DataFrame, limit: Fraction, tiles: DataFrame | None = None, tile: int = 0) -> DataFrame:
+    """z, y, x of the overlaps beyond the limit, inside the tiles if given."""
+    found = overlaps.where(F.col("overlap") * limit.denominator > limit.numerator).select("z", "y", "x")
     if tiles is None:
         return found
     keyed = found.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))

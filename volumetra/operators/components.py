@@ -18,15 +18,22 @@ from pyspark.sql import functions as F
 TILE = 512
 
 
+def step_folder(spark: SparkSession) -> str:
+    """A new folder name where driver and executors share files; what is written there goes when the driver's JVM ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{step_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def label_points(z: np.ndarray, y: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ from volumetra.operators import ball, components, cubes, planes, points, scoring
 from volumetra.plans.detection import classify, detect
 from volumetra.settings import DetectionSettings
 from volumetra.sources.volumes import dense, grid
+from volumetra.streaming import planes as streaming
 
 SHAPE = (7, 64, 64)
 PLANE = SHAPE[1:]
@@ -201,6 +202,20 @@ def ball_overlap(spark, sf):
     return ball.overlap(spot_bright(spark, sf), SHAPE, 3, 3)
 
 
+@query(f"WITH {OVERLAP} SELECT * FROM overlap")
+def ball_overlap_stream(spark, sf):
+    """The same from a stream: planes arrive one after another, and a closing voxel lets the last ones out."""
+    folder = components.step_folder(spark)
+    bright = components.written(spot_bright(spark, sf))
+    end = spark.createDataFrame([streaming.closing(SHAPE, 3, 3)], streaming.BRIGHT_SCHEMA)
+    for plane in (*(bright.where(F.col("z") == z) for z in range(SHAPE[0])), end):
+        plane.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(streaming.BRIGHT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = streaming.overlap(arriving, SHAPE, 3, 3)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 @query(f"WITH {MARKS} SELECT * FROM marks")
 def ball_marks(spark, sf):
     return spot_marks(spark, sf)
