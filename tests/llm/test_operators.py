@@ -175,6 +175,31 @@ def test_matrices(docs):
     assert {d: sum((p[k] for k in sorted(p)), []) for d, p in got.items()} == want
 
 
+def test_matrices_pack_sorted_runs_as_one(spark):
+    # Runs of long and of medium documents, each in batches of its own: only across runs do they fill sequences.
+    texts = [" ".join(["the"] * n) for n in [2500 + k % 97 for k in range(60)] + [1300 + k % 89 for k in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(2, "doc_id").cache()
+    lengths = np.array([len(i) for _, i in sorted(_ids(docs).items())])
+    rows = binary_output.packed_matrices(docs, tokenizer_path("word_bpe_49k.json")).collect()
+    assert len(rows) == len(binary_output.best_fit_decreasing(lengths, 4096)) == 60
+    assert sorted(d for r in rows for d in r.doc_ids) == list(range(120))
+
+
+def test_best_fit_decreasing_runs():
+    r = random.Random(4)
+    for capacity, most, many in ((50, 50, 400), (50, 9, 400), (4096, 4096, 3000), (7, 7, 1)):
+        lengths = [r.randint(1, most) for _ in range(many)]
+        rooms = []
+        for n in sorted(lengths, reverse=True):
+            fit = min((x for x in rooms if x >= n), default=capacity)
+            if fit in rooms:
+                rooms.remove(fit)
+            rooms.append(fit - n)
+        got = binary_output.best_fit_decreasing(np.array(lengths), capacity)
+        assert sorted(k for x in got for k in x) == list(range(many))
+        assert sorted(capacity - sum(lengths[k] for k in x) for x in got) == sorted(rooms)
+
+
 def test_best_fit_decreasing():
     r = random.Random(1)
     lengths = [r.randint(1, 50) for _ in range(300)]

@@ -1,29 +1,34 @@
 """Token-id output: documents packed into id matrices by best fit decreasing.
 
-Packing happens inside each Arrow batch (bounded by bytes), so nothing is
-shuffled and a lost executor costs its own batches only; the price is at most
-one sequence that is not full for each batch, beyond what packing all at once
-would leave.
+All pieces of the corpus are packed at once, however the rows are ordered or
+batched. Only the histogram of piece lengths (at most `capacity` numbers)
+reaches the driver, which fits it by best fit decreasing; pieces of a length
+are numbered, and their numbers say where they go. Then ids are shuffled by
+sequence.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from volumetra.llm.tokens import encoder, slices
+from volumetra.llm.common import cut
+from volumetra.llm.pattern_packing import placed, token_pieces
 
 #: Production parameters.
 CAPACITY, END_ID, PAD_ID = 4096, 1, 0
+#: Sequences of one output batch.
+OUT_ROWS = 512
 SCHEMA = "input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
 
 
 class RoomTree:
-    """Segment tree over the rooms 0..capacity: how many open sequences have each, and the least room of at least n."""
+    """Segment tree over the rooms 0..capacity: how many runs of open sequences have each, and the least room of at least n."""
 
     def __init__(self, capacity: int):
         self.size = 1 << capacity.bit_length()
@@ -52,23 +57,51 @@ class RoomTree:
         return -1
 
 
+def best_fit_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Best fit decreasing over lengths 1..capacity and how many pieces have each: runs as placed() takes them, and the
+    number of sequences. Sequences that are filled alike stay together, so the work follows the number of lengths."""
+    tree, open_, runs, sequences = RoomTree(capacity), {}, [], 0
+
+    def put(room: int, first: int, many: int) -> None:
+        if room and many:
+            open_.setdefault(room, []).append((first, many))
+            tree.add(room, 1)
+
+    for length in sorted(histogram, reverse=True):
+        left, rank = histogram[length], 0
+        while left:
+            room = tree.least(length)
+            if room < 0:
+                room, first, many = capacity, sequences, -(-left // (capacity // length))
+                sequences += many
+            else:
+                first, many = open_[room].pop()
+                tree.add(room, -1)
+            # One piece after another goes into the same sequence as long as it fits: its room is then the least.
+            times = room // length
+            full = min(many, left // times)
+            rest = left - full * times if full < many else 0
+            for at, n, k in ((first, full, times), (first + full, min(rest, 1), rest)):
+                if n:
+                    runs.append((length, rank, at, k, capacity - room))
+                    rank += n * k
+                    left -= n * k
+                    put(room - k * length, at, n)
+            used = full + min(rest, 1)
+            put(room, first + used, many - used)
+    return runs, sequences
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Indices of the lengths in each sequence. Lengths are 1..capacity; ties go by index."""
-    tree, open_, out = RoomTree(capacity), {}, []
+    each, counts = np.unique(lengths, return_counts=True)
+    runs, sequences = best_fit_runs(dict(zip(each.tolist(), counts.tolist())), capacity)
+    runs, out, rank = sorted(runs), [[] for _ in range(sequences)], Counter()
     for k in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[k])
-        room = tree.least(n)
-        if room < 0:
-            b = len(out)
-            out.append([k])
-            room = capacity
-        else:
-            b = open_[room].pop()
-            tree.add(room, -1)
-            out[b].append(k)
-        if room > n:
-            open_.setdefault(room - n, []).append(b)
-            tree.add(room - n, 1)
+        _, before, first, times, _ = runs[bisect(runs, (n, rank[n], sequences)) - 1]
+        out[first + (rank[n] - before) // times].append(k)
+        rank[n] += 1
     return out
 
 
@@ -80,41 +113,47 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     A document is its ids followed by end_id; overlong ones are cut into several pieces without loss. Null and empty
     texts have end_id alone (without end_id: nothing). A null doc_id stays null. Other columns are ignored.
     """
+    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, "<u2").drop("start"))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    runs, _ = best_fit_runs(histogram, capacity)
+    dealt = placed(pieces, runs, sum(histogram.values()), "ids").drop("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False).encode
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        held = None
         for batch in batches:
-            texts, names = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for k, e in slices(texts):
-                ids, ends = encode(texts[k:e])
-                parts, at = [], 0
-                for j, end in enumerate(ends.tolist(), k):
-                    own = np.concatenate([ids[at:end], tail])
-                    at = end
-                    parts += [(names[j], n, own[s : s + capacity]) for n, s in enumerate(range(0, len(own), capacity))]
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for members in best_fit_decreasing(np.array([len(p[2]) for p in parts], np.int64), capacity):
-                    matrix, places = np.full(capacity, pad_id, "<u2"), np.zeros(capacity, "<u2")
-                    cu = [0]
-                    for m in members:
-                        own = parts[m][2]
-                        matrix[cu[-1] : cu[-1] + len(own)] = own
-                        places[cu[-1] : cu[-1] + len(own)] = np.arange(len(own))
-                        cu.append(cu[-1] + len(own))
-                    for x, v in zip(out, (matrix.tobytes(), cu[-1], cu, places.tobytes(), [parts[m][0] for m in members], [parts[m][1] for m in members])):
-                        x.append(v)
-                    if len(out[0]) == 512:
-                        yield _batch(out)
-                        out = ([], [], [], [], [], [])
-                yield _batch(out)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA).select(F.monotonically_increasing_id().alias("sequence_id"), "*")
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            sequence = rows[0]["sequence_id"].to_numpy()
+            last = int(np.searchsorted(sequence, sequence[-1]))  # may go on in the next batch
+            yield from _matrices(rows[0].slice(0, last), capacity, pad_id)
+            held = rows[0].slice(last)
+        if held is not None:
+            yield from _matrices(held, capacity, pad_id)
+
+    return dealt.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(run, f"sequence_id long, {SCHEMA}")
+
+
+def _matrices(rows: pa.RecordBatch, capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+    """Whole sequences, their pieces in order."""
+    sequence = rows["sequence_id"].to_numpy()
+    firsts = np.flatnonzero(np.diff(sequence, prepend=-1)).tolist()
+    for at in range(0, len(firsts), OUT_ROWS):
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        for a, b in zip(firsts[at : at + OUT_ROWS], [*firsts[at + 1 : at + OUT_ROWS + 1], len(sequence)]):
+            own = [np.frombuffer(x, "<u2") for x in rows["ids"].slice(a, b - a).to_pylist()]
+            cu = np.cumsum([0, *map(len, own)])
+            matrix, places = np.full(capacity, pad_id, "<u2"), np.zeros(capacity, "<u2")
+            matrix[: cu[-1]] = np.concatenate(own)
+            places[: cu[-1]] = np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
+            for x, v in zip(out, (int(sequence[a]), matrix.tobytes(), int(cu[-1]), cu, places.tobytes(), rows["doc_id"].slice(a, b - a).to_pylist(), rows["piece"].slice(a, b - a).to_pylist())):
+                x.append(v)
+        yield _batch(out)
 
 
 def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["input_ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "pieces"])
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["sequence_id", "input_ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "pieces"])
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -28,8 +28,8 @@ CAPACITY, END_ID = 4096, 1
 GRID, DEPTH, BUCKET_ROWS = 64, 3, 20_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit), a row for each piece of each document.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, kind: str = "<u4") -> DataFrame:
+    """doc_id, piece, start, length and ids (of that kind: little-endian unsigned 32-bit), a row for each piece of each document.
 
     A document is its ids followed by end_id; longer ones than the capacity are cut, none is dropped. Null and empty
     texts give one piece with end_id alone. Takes doc_id and text; other columns are ignored.
@@ -41,10 +41,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             texts = batch["text"].to_pylist()
             for k, e in slices(texts):
                 ids, ends = encode(texts[k:e])
-                tail = np.array([] if end_id is None else [end_id], "<u4")
+                tail = np.array([] if end_id is None else [end_id], kind)
                 row, piece, start, length, data, at = [], [], [], [], [], 0
                 for j, end in enumerate(ends.tolist(), k):
-                    own = np.concatenate([ids[at:end].astype("<u4"), tail])
+                    own = np.concatenate([ids[at:end].astype(kind), tail])
                     at = end
                     for n, s in enumerate(range(0, len(own), capacity)):
                         part = own[s : s + capacity]
@@ -154,15 +154,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at[length] = first + n * times
             offset += length * times
         sequences += n
+    return placed(pieces, runs, sum(histogram.values()))
+
+
+def placed(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], total: int, *ties: str) -> DataFrame:
+    """pieces with the sequence_id and offset that runs give them: (length, rank of its first piece, first sequence, pieces
+    in each sequence, offset of the first). Pieces of one length are ranked by doc_id, piece and ties, inside hashed
+    buckets; total is the number of pieces."""
     table = np.array(sorted(runs) or np.zeros((0, 5)), np.int64)
     schema = pieces.schema.jsonValue()
 
-    buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
+    buckets = max(1, -(-total // BUCKET_ROWS))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     base = salted.groupBy("length", "_salt").count().select(
         "length", "_salt", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
     )
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *ties)
     ranked = salted.withColumn("_n", F.row_number().over(order) - 1).join(base, ["length", "_salt"]).select(*pieces.columns, (F.col("_n") + F.col("_base")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
