@@ -21,9 +21,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays; documents without an id stay."""
-    gone = cut(jaccard_join.jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays: the one with the smallest doc_id, nulls last, ties by a hash of the text. Ids may
+    repeat or be null, as rows are told apart by a key of their own."""
+    rows = cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64("text")}))
+    found = jaccard_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    later = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_row"), "component_id"))
+    members = later.union(later.select("component_id", "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    members = cut(members.join(rows.select("_row", "doc_id", "_hash"), "_row").select("_row", "component_id", order.alias("place")))
+    kept = members.groupBy("component_id").agg(F.min("place")["_row"].alias("_kept"))
+    gone = cut(members.join(kept, "component_id").where("_row != _kept").select("_row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_ROWS else gone, "_row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,6 +324,20 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
 
 
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    words = lambda k, n=60: [f"{k}w{j}" for j in range(n)]
+    near = lambda k, *edits: " ".join([*words(k), *edits])
+    rows = [(3, near("a")), (5, near("a", "x")), (5, near("b")), (7, near("c")), (7, near("c", "y")), (None, near("d")), (None, near("d", "z")), (None, ""), (None, ""), (9, near("d", "q"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    got = rows_of(got)
+    assert {(3, near("a")), (5, near("b")), (9, near("d", "q"))} <= set(got) and got.count((None, "")) == 2
+    assert len([d for d, _ in got if d == 7]) == 1 and len(got) == 6
+
+
 def test_oracles(spark, sf):
     import duckdb
 
