@@ -324,6 +324,18 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
 
 
+def test_search_repeated_queries(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, v.tolist()) for k, v in enumerate(r.normal(size=(40, 8)))]
+    table = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>")
+    index, books = additive_search.build_index(table)
+    got = rows_of(additive_search.search(index, books, index.where("vec_id = 0"), 5))
+    x = np.array([v for _, v in rows])
+    cosine = x @ x[0] / np.linalg.norm(x, axis=1)
+    want = [(rank, int(k)) for rank, k in enumerate(np.argsort(-cosine)[1:6], 1)]
+    same([(rank, k) for _, rank, k, _ in got], want * 2)
+
+
 def test_near_copies_go_by_row(spark):
     import corpus_pipeline
 

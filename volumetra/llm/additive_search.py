@@ -100,10 +100,10 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
     """query_id, rank, vec_id and score: for each of the queries (rows of the index), its k nearest other vec_ids by cosine.
 
     Queries go in blocks of a fixed size, each against all rows. Ties go to the smaller vec_id. Rows that share the
-    query's vec_id count as its own. With no valid row the result is empty.
+    query's vec_id count as its own; each query row has a list of its own, repeated ones too. With no valid row the result is empty.
     """
     spark = index.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    schema = "query long, query_id long, vec_id long, score double"
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = None
@@ -114,7 +114,7 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
         q_ids, q = own["vec_id"].to_numpy(), _rows(own["v"].combine_chunks())
         shared = spark.sparkContext.broadcast((q_ids, q, books))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, before=b << 32) -> Iterator[pa.RecordBatch]:
             q_ids, q, books = shared.value
             m, words, d = books.shape
             unit = _unit(q) if len(q) else q
@@ -135,9 +135,9 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
                     near = near[ids[near] != q_ids[i]]
                     exact = np.einsum("ij,ij->i", v[near], np.broadcast_to(q[i], (len(near), d))) / (length[near] * np.sqrt(np.einsum("i,i->", q[i], q[i])))
                     top = np.lexsort((ids[near], -exact))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q_ids[i])), pa.array(ids[near][top]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), before + i)), pa.array(np.full(len(top), q_ids[i])), pa.array(ids[near][top]), pa.array(exact[top])], ["query", "query_id", "vec_id", "score"])
 
         part = index.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
