@@ -4,10 +4,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, jaccard_join, pattern_packing, queries, suffix_dedup, token_counts, toxicity
+from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, jaccard_join, pattern_packing, queries, repeats, suffix_dedup, token_counts, toxicity
 from volumetra.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, _norm string, hits int"
@@ -57,15 +58,41 @@ def plain(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("length,gram,hot", [(200, 80, 20_000), (40, 16, 20_000), (40, 16, 3)])
-def test_suffix_dedup(docs, length, gram, hot):
-    got = suffix_dedup.dedup_passages(docs, length, gram, hot)
+@pytest.mark.parametrize("length,gram,chunk,hot", [(200, 80, 400_000, 1000), (41, 16, 400, 3), (40, 16, 1, 1000)])
+def test_suffix_dedup(docs, length, gram, chunk, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_LEAST", hot)
+    got = suffix_dedup.dedup_passages(docs, length, gram, chunk)
     same([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, brute.sha(bytes(r.kept))) for r in got.collect()], brute.passages(plain(docs), length))
 
 
-@pytest.mark.parametrize("window,gram,hot", [(35, 15, 20_000), (6, 3, 20_000), (6, 3, 3)])
-def test_automaton_dedup(docs, window, gram, hot):
-    got = automaton_dedup.dedup_word_windows(docs, window, gram, hot)
+def test_blocks_of_long_texts(monkeypatch):
+    texts = [t for _, t, *_ in awkward()]
+    for kind, window, gram in ((repeats.Bytes, 40, 16), (repeats.Words, 6, 3)):
+        found = []
+        for most in (1 << 20, 150):
+            monkeypatch.setattr(repeats, "SLICE_BYTES", most)
+            rows = (zip(*(x.tolist() for x in part)) for part in repeats.text_blocks(kind, pa.array(texts), window, gram))
+            found.append({(d, a + k, a + p, g) for part in rows for d, a, n, p, g in part for k in range(n)})
+        assert found[0] == found[1] and len(found[0]) > 1000
+
+
+def thue_morse(k, flip=0):
+    return "".join("ab"[bin(i).count("1") + flip & 1] for i in range(k))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_words_that_fool_power_sums(spark, size):
+    words = [thue_morse(size, flip) for flip in (0, 1)]
+    docs = spark.createDataFrame([(k, f"w x y z {words[k % 2]}") for k in range(3)] + [(10 + k, " ".join([*(f"v{j}" for j in range(34)), w, w[::-1] + w[:7]])) for k, w in enumerate(words)], "doc_id long, text string")
+    same(rows_of(jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")), brute.jaccard(plain(docs)))
+    got = automaton_dedup.dedup_word_windows(docs)
+    same([(r.doc_id, r.n_words, r.n_removed, brute.sha(bytes(r.kept))) for r in got.collect()], brute.word_windows(plain(docs), 35))
+
+
+@pytest.mark.parametrize("window,gram,chunk,hot", [(35, 15, 50_000, 1000), (6, 3, 60, 3), (6, 3, 1, 1000)])
+def test_automaton_dedup(docs, window, gram, chunk, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_LEAST", hot)
+    got = automaton_dedup.dedup_word_windows(docs, window, gram, chunk)
     same([(r.doc_id, r.n_words, r.n_removed, brute.sha(bytes(r.kept))) for r in got.collect()], brute.word_windows(plain(docs), window))
 
 
@@ -79,9 +106,9 @@ def test_null_ids_and_equal_rows(spark):
     assert jaccard_join.jaccard_components(df).count() == 4
 
 
-@pytest.mark.parametrize("group,most,short", [(4_000_000, 2_000_000, 64), (300, 0, 64), (300, 0, 3)])
-def test_jaccard(docs, group, most, short):
-    got = jaccard_join.jaccard_components(docs, group_shingles=group, broadcast_rows=most, short_list=short).select("doc_id", "n_shingles", "component_id")
+@pytest.mark.parametrize("group,most,short,bits", [(4_000_000, 2_000_000, 64, 64), (300, 0, 64, 5), (300, 0, 3, 64)])
+def test_jaccard(docs, group, most, short, bits):
+    got = jaccard_join.jaccard_components(docs, group_shingles=group, broadcast_rows=most, short_list=short, bits=bits).select("doc_id", "n_shingles", "component_id")
     same(rows_of(got), brute.jaccard(plain(docs)))
 
 

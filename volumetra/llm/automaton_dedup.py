@@ -1,10 +1,13 @@
 """Removal of repeated word passages with suffix automata.
 
-The reference side is cut into shards; a shard's suffix automaton is built in
-the task that holds the shard, and the candidate passages of all documents
-that can match it (see repeats.py) stream through it for their matching
-statistics. Sending each passage to its shard, rather than every automaton to
-every task, keeps what a task holds independent of the corpus.
+The reference is the corpus itself, cut into shards of passages that can repeat
+(see repeats.py). A shard's suffix automaton is built in the task that holds the
+shard, and the passages of all documents that can match it stream through it for
+their matching statistics: at each word, the length of the longest match that ends
+there, and how often it stands in the shard. Windows within a match of at least
+their length that stands more than once are repeated. Sending passages to their
+shard, rather than every automaton to every task, keeps what a task holds
+independent of the corpus.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from volumetra.llm.common import utf8, word_spans
-from volumetra.llm.repeats import HOT_BLOCKS, Words, covered, repeated
+from volumetra.llm.repeats import Words, covered, repeated
 
 #: Production parameters: words of a repeated window, and of an anchor's gram.
 WINDOW, GRAM = 35, 15
+#: Words of a shard.
+SHARD_WORDS = 50_000
 
 
 class Automaton:
@@ -75,52 +80,44 @@ class Automaton:
         for s in np.argsort(self.length, kind="stable")[:0:-1].tolist():
             count[link[s]] += count[s]
 
-    def repeated(self, words: list, window: int) -> np.ndarray:
-        """For each window of words, whether it was added more than once."""
-        nxt, link, length, count = self.next, self.link, self.length, self.count
-        state, have, out = 0, 0, np.zeros(max(0, len(words) - window + 1), bool)
-        for e, w in enumerate(words, 1):
+    def stream(self, words: list, most: int):
+        """Matching statistics of a document: at each word, the length (up to `most`) of the longest match that ends there,
+        and its state. Matches of one length share a state only if they are equal."""
+        nxt, link, length = self.next, self.link, self.length
+        state = have = 0
+        for w in words:
             while state and w not in nxt[state]:
                 state = link[state]
                 have = length[state]
             if w in nxt[state]:
                 state = nxt[state][w]
                 have += 1
-            while length[link[state]] >= window:
+            while state and length[link[state]] >= most:
                 state = link[state]
-                have = length[state]
-            if have >= window:
-                out[e - window] = count[state] > 1
-        return out
-
-
-def solve(grams, contents: list[bytes], n, copies, window: int) -> list[np.ndarray]:
-    """An automaton for the blocks of each gram: equal windows have equal grams."""
-    out: list[np.ndarray] = []
-    ends = np.flatnonzero(np.diff(grams, append=grams[-1:] + 1)) + 1
-    k = 0
-    for e in ends.tolist():
-        shard = Automaton()
-        texts = [c.split(b" ") for c in contents[k:e]]
-        for words, times in zip(texts, copies[k:e].tolist()):
-            shard.add(words, times)
-        shard.finish()
-        out += [shard.repeated(words, window) for words in texts]
-        k = e
-    return out
+            have = min(have, length[state], most)
+            yield have, state
 
 
-def split(content: bytes, window: int) -> list[bytes]:
-    words = content.split(b" ")
-    return [b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)]
+def solve(gh: np.ndarray, contents: list[bytes], anchor: np.ndarray, n: np.ndarray, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """See repeats.repeated(): equal windows share their state in the shard's automaton."""
+    shard = Automaton()
+    for content, times in zip(contents, copies.tolist()):
+        shard.add(content.split(b" "), times)
+    shard.finish()
+    states: list[int] = []
+    for content in contents:
+        states += [state for have, state in shard.stream(content.split(b" "), window) if have == window]
+    group = np.array(states, np.int64)
+    return group, np.array(shard.count, np.int64)[group]
 
 
-def dedup_word_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def dedup_word_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD_WORDS) -> DataFrame:
     """Remove every word covered by a window of `window` words that also starts elsewhere in the corpus.
 
     Takes `doc_id` and `text` (other columns are ignored). Returns, a row for each row of docs: doc_id,
     n_words, n_removed and kept (kept words joined by one space, as UTF-8 bytes).
-    Null, empty and blank texts have no words; a null doc_id stays null; equal rows count as occurrences of each other.
+    Null, empty and blank texts have no words; a null doc_id stays null; equal rows count as occurrences of each other;
+    an empty table gives an empty one. Very long texts are searched in parts that overlap.
     """
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,4 +133,4 @@ def dedup_word_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return repeated(docs, Words, window, gram, solve, split, hot_blocks).mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept binary")
+    return repeated(docs, Words, window, gram, solve, shard).mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept binary")

@@ -15,19 +15,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share. Only a local session, as in tests, may name none: it gets one below /tmp."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "/tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends, lost executors
-    cost nothing. The files go when the driver's JVM ends."""
+    cost nothing. The files go with drop(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more. Spark removes the shuffle files of finished jobs
+    when the JVM collects their handles, so it is asked to."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        df.sparkSession._jvm.java.lang.System.gc()
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -36,6 +50,14 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.xxhash64(key) <= F.lit(small if small is not None else 0)).limit(rows)
 
 
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], many: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, whose keys are distinct. Keys that `many`, a condition on table, names (there have to be
+    few of them by its terms) are broadcast, so that no task gets all rows of such a key; rows are read twice."""
+    hot = table.where(many)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(f"NOT ({many})"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,6 +87,8 @@ def byte_slices(bounds: np.ndarray, most: int):
 
 
 # --- rolling hashes: sums of symbol * BASE**i modulo 2**64 ---------------------------------
+# Long sequences of few symbols can be made to collide, so these only choose anchors and
+# candidates; no result rests on them.
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -96,6 +120,11 @@ def prefix_sums(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of ordered pairs of hashes."""
+    return mix(mix(a.copy()) + (b ^ np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9FB21C651E98DF25))
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of symbols[start:end], the same wherever the span lies."""
     return mix((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start])
@@ -121,3 +150,26 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, bounds)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hash of each word: a sum of well-mixed (byte, place in the word), mixed with the length. No power series, whose sums
+    collide for some long words whatever the base."""
+    out = np.zeros(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        e = max(k + 1, int(np.searchsorted(ends, starts[k] + most, "right")))
+        if ends[k] - starts[k] > most:  # one very long word
+            for a in range(int(starts[k]), int(ends[k]), most):
+                part = data[a : min(a + most, int(ends[k]))].astype(np.uint64)
+                out[k] += mix((np.arange(a - starts[k], a - starts[k] + len(part), dtype=np.uint64) << np.uint64(8) | part) + np.uint64(1)).sum(dtype=np.uint64)
+        else:
+            a, b = int(starts[k]), int(ends[e - 1])
+            own = starts[k:e] - a
+            place = np.arange(b - a) - np.repeat(own, np.diff(np.append(own, b - a)))
+            code = place.astype(np.uint64) << np.uint64(8) | data[a:b]
+            each = mix(code + np.uint64(1))
+            each[_SPACES[data[a:b]]] = 0
+            out[k:e] = np.add.reduceat(each, own)
+        k = e
+    return pair_hash(out, (ends - starts).astype(np.uint64))

@@ -12,19 +12,23 @@ pairs that went on, come together in groups; within a group, an inverted index
 answers each class's T-occurrence query as DivideSkip does: short lists are
 merged, long ones are probed by binary search, overlaps are exact.
 
-Shingles are compared by 64-bit hashes, classes by a 64-bit hash of their set.
+Shingles are compared by 64-bit hashes, which mix every word's bytes with their places. Classes have a 128-bit digest
+of their set and travel by its first 64 bits; should those of two classes agree, one of them is renamed before any join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import byte_slices, cut, fixed_hash, hash_sample, mix, partitions, prefix_sums, span_hash, utf8, word_spans
+from volumetra.llm.common import byte_slices, cut, hash_sample, join_split, pair_hash, partitions, utf8, word_hashes, word_spans
 from volumetra.llm.graph import components
 
 #: Production parameters: words of a shingle, similarity in per cent.
@@ -47,24 +51,38 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> Iterator[t
     """For each text its distinct shingles' hashes, sorted, and for each the index of its first word's hash; then the word hashes."""
     data = _FOLD[data]
     starts, ends, firsts = word_spans(data, bounds)
-    hashes = span_hash(prefix_sums(data.astype(np.uint64)), starts, ends)
-    sums = prefix_sums(hashes)
-    grams = fixed_hash(sums, words)
+    hashes = word_hashes(data, starts, ends)
+    grams = hashes[: max(0, len(hashes) - words + 1)]
+    for k in range(1, words):
+        grams = pair_hash(grams, hashes[k : k + len(grams)])
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         if b - a >= words:
             out, at = np.unique(grams[a : b - words + 1], return_index=True)
             yield out, hashes, at + a
         elif b > a:
-            yield span_hash(sums, np.array([a]), np.array([b])) + np.uint64(b - a), hashes, np.array([a])
+            whole = hashes[a : a + 1]
+            for k in range(a + 1, b):
+                whole = pair_hash(whole, hashes[k : k + 1])
+            yield whole, hashes, np.array([a])
         else:
             yield grams[:0], hashes, np.zeros(0, np.int64)
 
 
-def class_of(s: np.ndarray) -> int:
-    if not len(s):
-        return 0
-    both = np.array([mix(s.copy()).sum(), mix(s + np.uint64(0x51ED27)).sum()], np.uint64) * np.array([1, 0x9E3779B97F4A7C15], np.uint64)
-    return int((both[:1] ^ both[1:]).view(np.int64)[0])
+class Classes:
+    """Names of shingle sets: the first `bits` bits of a 128-bit digest, but those in `moved` go by another name."""
+
+    def __init__(self, bits: int, moved: dict[tuple[int, int], int] | None = None):
+        self.bits, self.moved = bits, moved or {}
+
+    def both(self, s: np.ndarray) -> tuple[int, int]:
+        if not len(s):
+            return 0, 0
+        d = blake2b(s.tobytes(), digest_size=16).digest()
+        return int.from_bytes(d[:8], "little", signed=True) >> (64 - self.bits), int.from_bytes(d[8:], "little", signed=True)
+
+    def name(self, s: np.ndarray) -> int:
+        both = self.both(s)
+        return self.moved.get(both, both[0]) if self.moved else both[0]
 
 
 def _parts(batch: pa.RecordBatch, words: int):
@@ -81,13 +99,13 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _classes(words: int):
+def _classes(words: int, classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _parts(batch, words):
-                rows = [(len(s), class_of(s), bitmap(s)) for s, _, _ in sets]
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate([b for _, _, b in rows])))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([n for n, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), bits], ["doc_id", "n_shingles", "cls", "bits"])
+                rows = [(len(s), *classes.both(s), bitmap(s)) for s, _, _ in sets]
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), bits], ["doc_id", "n_shingles", "cls", "cls2", "bits"])
 
     return run
 
@@ -98,10 +116,10 @@ class Order:
     def __init__(self, texts: list, words: int):
         self.frequent, self.table = np.zeros(0, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
         data, bounds = utf8(pa.array(texts, pa.large_string()))
-        sets, seen, used = [], set(), np.zeros(1 << TABLE_BITS, np.int64)
+        sets, seen, used, names = [], set(), np.zeros(1 << TABLE_BITS, np.int64), Classes(64)
         for k, e in byte_slices(bounds, SLICE_BYTES):
             for s, hashes, _ in shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words):
-                if (c := class_of(s)) not in seen:
+                if (c := names.both(s)) not in seen:
                     seen.add(c)
                     sets.append(s)
             used += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
@@ -125,7 +143,7 @@ class Order:
         return s[np.lexsort((s, score))[:many]] if many < n else s
 
 
-def _postings(words: int, percent: int, order):
+def _postings(words: int, percent: int, order, names: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _parts(batch, words):
@@ -133,18 +151,18 @@ def _postings(words: int, percent: int, order):
                 for s, hashes, at in sets:
                     if n := len(s):
                         tokens.append(order.value.first(s, hashes, at, words, n + (-n * percent // 100) + 1))
-                        classes.append(class_of(s))
+                        classes.append(names.name(s))
                         sizes.append(len(tokens[-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), np.array(sizes, np.int64)))], ["token", "cls"])
 
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, names: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _parts(batch, words):
-                rows = [(class_of(s), s.tobytes()) for s, _, _ in sets]
+                rows = [(names.name(s), s.tobytes()) for s, _, _ in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cls", "shingles"])
 
     return run
@@ -187,9 +205,8 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[int]:
         need = -(-percent * len(own) // 100)
         long = min(need - 1, int(need / (1 + 0.01 * np.log2(1 + length[own].max()))))
         short = own[np.argsort(length[own], kind="stable")[: len(own) - long]]
-        size = length[short]
-        merged = owner[np.repeat(first[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        met, times = np.unique(merged, return_counts=True)
+        heap = merge(*(owner[a : a + n].tolist() for a, n in zip(first[short].tolist(), length[short].tolist())))
+        met, times = (np.array(x, np.int64) for x in zip(*((c, sum(1 for _ in same)) for c, same in groupby(heap))))
         fit = (times >= need - long) & (100 * sizes[met] >= percent * len(own)) & (100 * len(own) >= percent * sizes[met])
         for c in met[fit].tolist():  # linked() probes the long lists
             if find(c) != find(q) and linked(q, c):
@@ -221,18 +238,41 @@ def _links(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST) -> DataFrame:
+def _dealt(groups: DataFrame, group_shingles: int, parts: int) -> DataFrame:
+    """cls, root, n and block: a group's classes by set size, about group_shingles in a block. Running totals are taken
+    over sizes (and salts of one size) first, so that no task has to see a whole group."""
+    salts = max(1, -(-groups.count() // (20_000 * parts)))
+    salted = groups.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(salts)))
+    sums = salted.groupBy("root", "n", "_salt").agg(F.sum("n").alias("all"))
+    before = Window.partitionBy("root").orderBy("n", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("root", "n", "_salt", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("root", "n", "_salt").orderBy("cls")) - 1
+    return salted.withColumn("_rank", rank).join(base, ["root", "n", "_salt"]).select("cls", "root", "n", F.floor((F.col("base") + F.col("_rank") * F.col("n")) / group_shingles).alias("block"))
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST, bits: int = 64
+) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal shingle sets) and component_id, a row for each row of docs.
 
-    Takes `doc_id` and `text` (other columns are ignored). Null, empty and blank texts have no shingles and link with
-    nothing, so each is its own component; a null doc_id counts only where all ids of a component are null.
+    Takes `doc_id` and `text` (other columns, whatever their names, are ignored). Null, empty and blank texts have no
+    shingles and link with nothing, so each is its own component; a null doc_id counts only where all ids of a component
+    are null. Equal rows get a row each; an empty table gives an empty one.
     """
     read, spark = docs.select("doc_id", "text"), docs.sparkSession
     parts = partitions(docs)
-    rows = cut(read.mapInArrow(_classes(words), "doc_id long, n_shingles long, cls long, bits array<long>"))
+    rows = cut(read.mapInArrow(_classes(words, Classes(bits)), "doc_id long, n_shingles long, cls long, cls2 long, bits array<long>"))
+    # Expected are (number of sets) ** 2 / 2 ** 65 pairs of sets with the same 64 bits: none but in the largest corpora.
+    clash = rows.groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).where("lo < hi").select("cls", "lo")
+    moved = {(r.cls, r.cls2): r.cls2 for r in rows.join(F.broadcast(clash), "cls").where("cls2 != lo").select("cls", "cls2").distinct().collect()}
+    names = Classes(bits, moved)
+    if moved:
+        table = spark.createDataFrame([(*k, v) for k, v in moved.items()], "cls long, cls2 long, other long")
+        rows = rows.join(F.broadcast(table), ["cls", "cls2"], "left").withColumn("cls", F.coalesce("other", "cls"))
+    rows = rows.select("doc_id", "n_shingles", "cls", "bits")
     sample = [r.text for r in hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
     order = spark.sparkContext.broadcast(Order(sample, words))
-    postings = read.mapInArrow(_postings(words, percent, order), "token long, cls long")
+    postings = read.mapInArrow(_postings(words, percent, order, names), "token long, cls long")
     lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
     met = cut(postings.join(lists.select("token", "low", (F.col("m") > short_list).alias("long")), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("long").alias("long")))
     sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
@@ -250,20 +290,26 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE, percent: int = PER
     pairs = pairs.where((F.col("n1") - lone("bits1", "bits2") >= overlap) & (F.col("n2") - lone("bits2", "bits1") >= overlap))
     shared = pairs.select(F.col("cls1").alias("u"), F.col("cls2").alias("v")).union(met.where("long AND cls != low").select("low", "cls")).distinct()
     groups = components(shared)
-    sizes = rows.where("n_shingles > 0").groupBy(F.col("cls").alias("node")).agg(F.first("n_shingles").alias("n")).join(groups, "node")
-    before = Window.partitionBy("root").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
-    members = cut(sizes.select(F.col("node").alias("cls"), "root", "n", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / group_shingles).alias("block")))
+    grouped = cut(sets.select("cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls"))
+    members = cut(_dealt(grouped, group_shingles, parts))
     block = members.groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     low, high = block.select("root", F.col("block").alias("i"), F.col("most").alias("i_most")), block.select("root", F.col("block").alias("j"), F.col("least").alias("j_least"))
     both = low.join(high, "root").where((F.col("i") <= F.col("j")) & (100 * F.col("i_most") >= percent * F.col("j_least")))
     ends = both.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.xxhash64("root", "i", "j").alias("task"))
     tasks = members.join(ends, ["root", "block"]).select("cls", "task")
     wanted = cut(tasks)
-    whole = read.mapInArrow(_sets(words), "cls long, shingles binary")
+    whole = read.mapInArrow(_sets(words, names), "cls long, shingles binary")
     few = wanted.count() <= broadcast_rows
     dealt = whole.join(F.broadcast(wanted) if few else wanted, "cls").groupBy("task", "cls").agg(F.first("shingles").alias("shingles"))
     links = dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
     joined = components(links).withColumnRenamed("node", "cls")
-    placed = rows.drop("bits").join(joined, "cls", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")))
-    smallest = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Components of classes, then of rows; roots and classes that hold very many are broadcast.
+    classes = cut(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("m").alias("m_root"))
+    many = max(1000, rows.count() // (4 * parts))
+    smallest = cut(smallest)
+    classes = cut(join_split(classes, smallest, ["root"], f"m_root > {many}").select("cls", "m", "component_id"))
+    narrow = rows.select("doc_id", "n_shingles", "cls")
+    placed = join_split(narrow.where("n_shingles > 0"), classes, ["cls"], f"m > {many}")
+    single = narrow.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return placed.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(single)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetra.llm.common import cut
-from volumetra.llm.tokens import encoder, slices
+from volumetra.llm.tokens import encoder, parts
 
 #: Production parameters: tokens of a sequence, and the id behind each document.
 CAPACITY, END_ID = 4096, 1
@@ -32,25 +32,50 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """doc_id, piece, start, length and ids (of that kind: little-endian unsigned 32-bit), a row for each piece of each document.
 
     A document is its ids followed by end_id; longer ones than the capacity are cut, none is dropped. Null and empty
-    texts give one piece with end_id alone. Takes doc_id and text; other columns are ignored.
+    texts give one piece with end_id alone. A null doc_id stays null, equal rows give pieces of their own, an empty
+    table gives an empty one. Takes doc_id and text; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, False).encode
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for k, e in slices(texts):
-                ids, ends = encode(texts[k:e])
-                tail = np.array([] if end_id is None else [end_id], kind)
-                row, piece, start, length, data, at = [], [], [], [], [], 0
-                for j, end in enumerate(ends.tolist(), k):
-                    own = np.concatenate([ids[at:end].astype(kind), tail])
-                    at = end
-                    for n, s in enumerate(range(0, len(own), capacity)):
-                        part = own[s : s + capacity]
-                        for x, v in zip((row, piece, start, length, data), (j, n, s, len(part), part.tobytes())):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+            none, at, held, made = np.zeros(0, kind), 0, np.zeros(0, kind), 0  # the row at hand, its ids not put out yet, and its pieces so far
+            row, piece, data = [], [], []
+
+            def put(part: np.ndarray) -> None:
+                nonlocal made
+                for x, v in zip((row, piece, data), (at, made, part)):
+                    x.append(v)
+                made += 1
+
+            def close() -> None:
+                nonlocal held, made
+                whole = np.append(held, np.array([] if end_id is None else [end_id], kind))
+                for s in range(0, len(whole), capacity):
+                    put(whole[s : s + capacity])
+                held, made = none, 0
+
+            def batch_of() -> pa.RecordBatch:
+                out = [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity)]
+                out += [pa.array([len(p) for p in data], pa.int64()), pa.array([p.tobytes() for p in data], pa.binary())]
+                for x in (row, piece, data):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids"])
+
+            for rows, texts in parts(batch["text"], False):
+                ids, ends = encode(texts)
+                for k, a, b in zip(rows, [0, *ends.tolist()], ends.tolist()):
+                    if k != at:
+                        close()
+                        at = k
+                    held = np.concatenate([held, ids[a:b].astype(kind)])
+                    while len(held) > capacity:  # the end belongs to the last piece
+                        put(held[:capacity])
+                        held = held[capacity:]
+                yield batch_of()
+            if batch.num_rows:
+                close()
+                yield batch_of()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

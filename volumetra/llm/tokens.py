@@ -2,9 +2,9 @@
 
 A tokenizer file is opened once per Python worker.  Texts are cut at ASCII
 spaces where the cut cannot change a token, equal pieces of a batch are
-encoded once, and a bounded per-worker memo keeps the pieces met before; so
-the tokenizer library itself sees each distinct piece only.  Every id comes
-from the library.  Null text counts as empty.
+encoded once, and a per-worker memo bounded in bytes keeps the pieces met
+before; so the tokenizer library itself sees each distinct piece only.  Every
+id comes from the library.  Null text counts as empty.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that one worker remembers; beyond that, it starts afresh.
-MEMO_PIECES = 1_200_000
-#: Bytes of text that are cut and encoded together.
-SLICE_BYTES = 6 << 20
+#: Pieces, and characters of them, that one worker remembers; beyond either, it starts afresh.
+MEMO_PIECES, MEMO_CHARS = 300_000, 4 << 20
+#: Bytes of text that are cut and encoded together; longer texts are taken in parts.
+SLICE_BYTES = 1 << 20
 
 #: A word of Latin-1 letters (none of which changes under NFC), perhaps with a space before it.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
@@ -28,6 +28,8 @@ _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _STOPPED = r"(?s)\A(?P<word>.*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<stops>[.,]+)\z"
 #: A space that has other white space beside it.
 _ODD = re.compile(r"\s(?<! ) | \s")
+#: Where a text can be cut: before a lone space, or (for tokenizers that drop white space) at any.
+_LONE, _ANY = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?=[ \n])")
 #: Byte-level BPE writes the bytes 0x80-0xA0 and 0xAD as the characters from 0x122 on.
 _BYTE_CHARS = {b: 0x122 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 _encoders: dict[tuple, "PieceEncoder"] = {}
@@ -55,7 +57,7 @@ class PieceEncoder:
         self.spaced = spaced
         self.memo: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.ends, self.count = np.zeros(1 << 16, np.int64), 0
+        self.ends, self.count, self.chars = np.zeros(1 << 16, np.int64), 0, 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -84,11 +86,12 @@ class PieceEncoder:
         new = np.flatnonzero(at < 0)
         if not len(new):
             return self.ends[at], self.ends[at + 1]
-        if self.count + len(new) > MEMO_PIECES:  # start afresh
+        if self.count + len(new) > MEMO_PIECES or self.chars > MEMO_CHARS:  # start afresh
             memo.clear()
-            self.used = self.count = 0
+            self.used = self.count = self.chars = 0
             at, new = np.full(len(pieces), -1), np.arange(len(pieces))
         names = [pieces[k] for k in new.tolist()]
+        self.chars += sum(map(len, names))
         found = self._encode_new(names)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
@@ -119,12 +122,11 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends in them."""
-        texts = [t or "" for t in texts]
-        whole = {}
+        texts, odd = [t or "" for t in texts], {}
         if self.spaced:
             for k, t in enumerate(texts):
                 if "  " in t or (t and (t[0].isspace() or t[-1].isspace())) or _ODD.search(t):
-                    whole[k] = t
+                    odd[k] = _LONE.split(t)
                     texts[k] = ""
         joined = pa.array(texts, pa.large_string())
         cut = pc.split_pattern(joined if self.spaced else pc.replace_substring(joined, "\n", " "), " ")
@@ -134,20 +136,18 @@ class PieceEncoder:
             first = np.zeros(len(flat), bool)
             first[starts[:-1]] = True
             flat = pc.binary_join_element_wise(pa.array(np.where(first, "", " "), pa.large_string()), flat, pa.scalar("", pa.large_string()))
+        if odd:  # their pieces stand behind all others; bring them to their places
+            at = len(flat) + np.cumsum([0, *map(len, odd.values())])
+            flat = pa.concat_arrays([flat, pa.array(chain.from_iterable(odd.values()), pa.large_string())])
+            own = dict(zip(odd, zip(at.tolist(), at[1:].tolist())))
+            spans = [own.get(k, span) for k, span in enumerate(zip(starts.tolist(), starts[1:].tolist()))]
+            flat = flat.take(pa.array(np.concatenate([np.arange(a, b) for a, b in spans])))
+            starts = np.cumsum([0, *(b - a for a, b in spans)])
         d = flat.dictionary_encode()
         ids, ends = self._pieces(d.dictionary)
         code, sizes = d.indices.to_numpy(), np.diff(ends, prepend=0)
         out, ends = _gather(ids, (ends - sizes)[code], sizes[code])
-        ends = np.concatenate([[0], ends])[starts[1:]]
-        if whole:
-            parts, prev, total = [], 0, []
-            done = dict(zip(whole, self._library(list(whole.values()))))
-            for k, e in enumerate(ends.tolist()):
-                parts.append(np.asarray(done[k], np.uint32) if k in done else out[prev:e])
-                prev = e
-                total.append(len(parts[-1]))
-            out, ends = np.concatenate(parts), np.cumsum(total)
-        return out, ends
+        return out, np.concatenate([[0], ends])[starts[1:]]
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:
@@ -156,13 +156,27 @@ def encoder(path: str, spaced: bool) -> PieceEncoder:
     return _encoders[path, spaced]
 
 
-def slices(texts: list) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SLICE_BYTES, so that work and memory follow bytes, not rows."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_BYTES:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _cut(text: str, spaced: bool) -> Iterator[str]:
+    """A long text in parts of about SLICE_BYTES, cut where no token can change."""
+    at, step, safe = 0, max(1, SLICE_BYTES // 4), _LONE if spaced else _ANY
+    while len(text) - at > step and (found := safe.search(text, at + step)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def parts(texts: pa.Array, spaced: bool) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and texts (or parts of them, in order) of about SLICE_BYTES together, so that work and memory follow
+    bytes, not rows."""
+    rows, out, size = [], [], 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        text = texts[k].as_py() or ""
+        for part in _cut(text, spaced) if n > SLICE_BYTES else (text,):
+            rows.append(k)
+            out.append(part)
+            size += n if part is text else 4 * len(part)
+            if size >= SLICE_BYTES:
+                yield rows, out
+                rows, out, size = [], [], 0
+    if rows:
+        yield rows, out
