@@ -127,9 +127,11 @@ def test_divide_skip():
     assert pairs <= {(True, True), (False, False)}
 
 
-@pytest.mark.parametrize("rows", [10_000, 5])
-def test_exact(docs, rows, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", rows)
+@pytest.mark.parametrize("rows", [256, 1])
+def test_exact(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_ROWS", rows)
+    many = [(1000 + k % 90, "A hot text", "en", "s", 10, k, "", 1) for k in range(100)] + [(None, "a Hot text", "en", "s", 10, 1, "", 1)]
+    docs = docs.union(spark.createDataFrame(many if docs.head(1) else [], SCHEMA).select(docs.columns))
     want = brute.exact(plain(docs))
     same(rows_of(exact_dedup.exact_duplicates(docs)), want)
     kept = exact_dedup.drop_exact_duplicates(docs)
