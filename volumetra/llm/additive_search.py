@@ -146,7 +146,7 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
     shared = spark.sparkContext.broadcast(books)
     blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (index, part)))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = index.select(deal(parts).alias("part"), every(blocks).alias("block"), "row", "vec_id", "v", "code", "norm")
     asked = queries.select(every(parts).alias("part"), deal(blocks).alias("block"), "row", "vec_id", "v")
 
