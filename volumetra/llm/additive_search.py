@@ -117,7 +117,7 @@ def _best(part: pa.Table, block: pa.Table, books: np.ndarray, k: int, rerank: in
     out: tuple[list, ...] = ([], [], [], [])
     for at in range(0, len(block), TOGETHER):
         some = block.slice(at, TOGETHER)
-        q_row, q_id, q = some["row"].to_numpy(), some["vec_id"].to_numpy(), _rows(some["v"].combine_chunks())
+        q_row, q_id, q = some["q_row"].to_numpy(), some["q_id"].to_numpy(), _rows(some["q"].combine_chunks())
         tables = (_unit(q) @ books.reshape(m * words, d).T).reshape(len(q), m, words).astype(np.float32)
         guess = np.zeros((len(q), len(ids)), np.float32)
         for j in range(m):
@@ -148,7 +148,7 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = index.select(deal(parts).alias("part"), every(blocks).alias("block"), "row", "vec_id", "v", "code", "norm")
-    asked = queries.select(every(parts).alias("part"), deal(blocks).alias("block"), "row", "vec_id", "v")
+    asked = queries.select(every(parts).alias("part"), deal(blocks).alias("block"), *(F.col(c).alias(a) for c, a in (("row", "q_row"), ("vec_id", "q_id"), ("v", "q"))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):

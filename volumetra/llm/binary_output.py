@@ -105,15 +105,24 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = PAD_ID) -> DataFrame:
-    """A row for each packed sequence: input_ids (`capacity` little-endian unsigned 16-bit ids, padded behind), n_tokens,
-    cu_seqlens (0 and where each segment ends), position_ids (unsigned 16-bit, starting again with each segment; 0 in
+def id_type(tokenizer: str) -> str:
+    """Little-endian unsigned ids: 16 bits if all of the tokenizer's fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = PAD_ID, kind: str | None = None) -> DataFrame:
+    """A row for each packed sequence: input_ids (`capacity` ids of `kind`, by default id_type()'s, padded behind), n_tokens,
+    cu_seqlens (0 and where each segment ends), position_ids (of the same kind, starting again with each segment; 0 in
     the padding), doc_ids and pieces of the segments.
 
     A document is its ids followed by end_id; overlong ones are cut into several pieces without loss. Null and empty
-    texts have end_id alone (without end_id: nothing). A null doc_id stays null. Other columns are ignored.
+    texts have end_id alone (without end_id: nothing). A null doc_id stays null, equal rows are packed each, an empty table
+    gives an empty one. Other columns, whatever their names, are ignored.
     """
-    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, "<u2").drop("start"))
+    kind = kind or id_type(tokenizer)
+    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, kind).drop("start"))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, _ = best_fit_runs(histogram, capacity)
     dealt = placed(pieces, runs, sum(histogram.values()), "ids").drop("length")
@@ -126,24 +135,24 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
                 continue
             sequence = rows[0]["sequence_id"].to_numpy()
             last = int(np.searchsorted(sequence, sequence[-1]))  # may go on in the next batch
-            yield from _matrices(rows[0].slice(0, last), capacity, pad_id)
+            yield from _matrices(rows[0].slice(0, last), capacity, pad_id, kind)
             held = rows[0].slice(last)
         if held is not None:
-            yield from _matrices(held, capacity, pad_id)
+            yield from _matrices(held, capacity, pad_id, kind)
 
     return dealt.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(run, f"sequence_id long, {SCHEMA}")
 
 
-def _matrices(rows: pa.RecordBatch, capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+def _matrices(rows: pa.RecordBatch, capacity: int, pad_id: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Whole sequences, their pieces in order."""
     sequence = rows["sequence_id"].to_numpy()
     firsts = np.flatnonzero(np.diff(sequence, prepend=-1)).tolist()
     for at in range(0, len(firsts), OUT_ROWS):
         out: tuple[list, ...] = ([], [], [], [], [], [], [])
         for a, b in zip(firsts[at : at + OUT_ROWS], [*firsts[at + 1 : at + OUT_ROWS + 1], len(sequence)]):
-            own = [np.frombuffer(x, "<u2") for x in rows["ids"].slice(a, b - a).to_pylist()]
+            own = [np.frombuffer(x, kind) for x in rows["ids"].slice(a, b - a).to_pylist()]
             cu = np.cumsum([0, *map(len, own)])
-            matrix, places = np.full(capacity, pad_id, "<u2"), np.zeros(capacity, "<u2")
+            matrix, places = np.full(capacity, pad_id, kind), np.zeros(capacity, kind)
             matrix[: cu[-1]] = np.concatenate(own)
             places[: cu[-1]] = np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
             for x, v in zip(out, (int(sequence[a]), matrix.tobytes(), int(cu[-1]), cu, places.tobytes(), rows["doc_id"].slice(a, b - a).to_pylist(), rows["piece"].slice(a, b - a).to_pylist())):

@@ -14,6 +14,7 @@ the rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     return by.select("skey", "nth", "n_rows", "source_size", F.round(F.least("cap", F.col("weight") * F.col("level")), 6).alias("target"))
 
 
-def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, *, carry: bool = False) -> DataFrame:
+def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, *, carry: bool = False, whole: bool = False) -> DataFrame:
     """The mix's decision on each row of docs: doc_id, size, source_size, target, taken and placements, an array of
-    (position in 0..1, words) with an element for each time that the document is read; with carry, also row, all of docs' columns.
+    (position in 0..1, words) with an element for each time that the document is read; with carry, also row, all of docs'
+    columns. Where a source's last pass ends within a document, only its first words are taken; with whole, all or none of
+    them, whichever lies nearer the target.
 
-    Takes doc_id, source and text. Null texts have size 0 and are taken 0 times; a null source is a source of its own,
-    ordered last. Every row gets one row back; ties in the pseudo-random order go by doc_id.
+    Takes doc_id, source and text. Null and empty texts have size 0 and are taken 0 times; a null source is a source of
+    its own, ordered last; null ids may all lie in one bucket. Every row gets one row back, equal rows too; ties in the
+    pseudo-random order go by doc_id. An empty table gives an empty one; other columns, whatever their names, are ignored.
     """
     skey = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -87,6 +91,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     rows = rows.withColumn("passes", passes.cast("long")).withColumn("goal", goal)
     last = F.least("size", F.greatest(F.col("goal") - F.col("passes") * F.col("source_size") - F.col("before"), F.lit(0)))
     rows = rows.withColumn("last", last)
+    if whole:
+        rows = rows.withColumn("last", F.when(2 * F.col("last") >= F.col("size"), F.col("size")).otherwise(0))
     schedule = _pick_schedule(schedules, F.col("nth"))
     words = F.transform(F.sequence(F.lit(0), F.col("passes").cast("int")), lambda p: F.struct(p.alias("p"), F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("last")).alias("words")))
     placements = F.transform(
@@ -106,12 +112,22 @@ def range_sorted(rows: DataFrame, *by) -> DataFrame:
 
 
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
-    """docs as the run reads them: a row for each placement, range-sorted by `position`, all columns kept. A document that
-    is read in part keeps its first words, joined by one space; the rest of it is cut off."""
+    """docs as the run reads them: a row for each placement, range-sorted by position, all columns kept. Documents are read
+    whole. Rows without words are read by nobody; see curriculum() for nulls, ties and repeats."""
     columns = docs.columns
-    # Deal by position before the texts come along; a third column keeps equal positions apart.
-    one = curriculum(docs, **parameters, carry=True).select("row", F.explode("placements").alias("at"), "size")
-    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.when(F.col("at.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("at.words").cast("int")), " ")).otherwise(F.col("row.text"))
-    rows = one.select(*(part.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns), F.col("at.position").alias("_position"))
+    one = curriculum(docs, **parameters, carry=True, whole=True).select("row", F.explode("placements").alias("at"))
+    rows = one.select(*(F.col("row").getField(c).alias(c) for c in columns), F.col("at.position").alias("_position"))
     return range_sorted(rows, "_position", "doc_id").drop("_position")
+
+
+def with_place(docs: DataFrame, name: str = "place") -> DataFrame:
+    """docs with each row's place, in 0..1, in the order in which they were written (files in order of their names, as
+    Spark numbers the partitions of a sorted table), or in which they come, if they were not read from files."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        rows.schema
+    except AnalysisException:  # no files
+        rows = docs.select("*", F.shiftright(F.monotonically_increasing_id(), 33).alias("_file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_rows"))
+    numbered = files.withColumn("_nth", F.row_number().over(Window.orderBy("_file")) - 1).withColumn("_files", F.count("*").over(Window.partitionBy()))
+    return rows.join(F.broadcast(numbered), "_file").select(*(docs[c] for c in docs.columns), ((F.col("_nth") + F.col("_at") / F.col("_rows")) / F.col("_files")).alias(name))

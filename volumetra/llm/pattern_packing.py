@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from volumetra.llm.common import cut
 from volumetra.llm.tokens import encoder, parts
@@ -28,12 +29,12 @@ CAPACITY, END_ID = 4096, 1
 GRID, DEPTH, BUCKET_ROWS = 64, 3, 20_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, kind: str = "<u4") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, kind: str = "<u4", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, piece, start, length and ids (of that kind: little-endian unsigned 32-bit), a row for each piece of each document.
 
     A document is its ids followed by end_id; longer ones than the capacity are cut, none is dropped. Null and empty
     texts give one piece with end_id alone. A null doc_id stays null, equal rows give pieces of their own, an empty
-    table gives an empty one. Takes doc_id and text; other columns are ignored.
+    table gives an empty one. Takes doc_id and text; columns that carry names come along, others are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +57,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 held, made = none, 0
 
             def batch_of() -> pa.RecordBatch:
-                out = [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity)]
-                out += [pa.array([len(p) for p in data], pa.int64()), pa.array([p.tobytes() for p in data], pa.binary())]
+                own = pa.array(row, pa.int64())
+                out = [batch["doc_id"].take(own), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity)]
+                out += [pa.array([len(p) for p in data], pa.int64()), pa.array([p.tobytes() for p in data], pa.binary()), *(batch[c].take(own) for c in carry)]
                 for x in (row, piece, data):
                     x.clear()
-                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids"])
+                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids", *carry])
 
             for rows, texts in parts(batch["text"], False):
                 ids, ends = encode(texts)
@@ -77,7 +79,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 close()
                 yield batch_of()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    schema = StructType.fromDDL("doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, StructType([*schema, *(docs.schema[c] for c in carry)]))
 
 
 def patterns(grid: int = GRID, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -164,10 +167,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID)
     return [x for x in out if x[0]]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
     """pieces (with doc_id, piece and length in 1..capacity) and where each goes: sequence_id, offset.
 
-    Any other columns come along. Equal rows are pieces of their own. An empty table gives an empty table.
+    Any other columns come along; place names one, in 0..1, that pieces of one length are taken in order of. Equal rows
+    are pieces of their own. An empty table gives an empty table.
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, at, sequences = [], {}, 0
@@ -179,25 +183,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at[length] = first + n * times
             offset += length * times
         sequences += n
-    return placed(pieces, runs, sum(histogram.values()))
+    return placed(pieces, runs, sum(histogram.values()), place=place)
 
 
-def placed(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], total: int, *ties: str) -> DataFrame:
+def placed(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], total: int, *ties: str, place: str | None = None) -> DataFrame:
     """pieces with the sequence_id and offset that runs give them: (length, rank of its first piece, first sequence, pieces
     in each sequence, offset of the first). Pieces of one length are ranked by doc_id, piece and ties, inside hashed
-    buckets; total is the number of pieces."""
+    buckets, or else by place, inside ranges of it; total is the number of pieces."""
     table = np.array(sorted(runs) or np.zeros((0, 5)), np.int64)
     schema = pieces.schema.jsonValue()
 
     buckets = max(1, -(-total // BUCKET_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)) if place is None else F.floor(F.col(place) * buckets)
+    salted = pieces.withColumn("_salt", salt)
     base = salted.groupBy("length", "_salt").count().select(
         "length", "_salt", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
     )
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *ties)
+    order = Window.partitionBy("length", "_salt").orderBy(*([place] if place else []), "doc_id", "piece", *ties)
     ranked = salted.withColumn("_n", F.row_number().over(order) - 1).join(base, ["length", "_salt"]).select(*pieces.columns, (F.col("_n") + F.col("_base")).alias("_rank"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table[:, 0] << 44 | table[:, 1]
         for batch in batches:
             length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
@@ -208,10 +213,19 @@ def placed(pieces: DataFrame, runs: list[tuple[int, int, int, int, int]], total:
             yield pa.RecordBatch.from_pydict(columns)
 
     out = type(pieces.schema).fromJson(schema).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, out)
-
-
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
-    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    pieces = token_pieces(docs, tokenizer, capacity, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(cut(pieces), capacity)
+    return ranked.mapInArrow(put, out)
+
+
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, place: str | None = None) -> DataFrame:
+    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece. See
+    token_pieces() for nulls, repeats and empty tables.
+
+    place: a column of docs, in 0..1, that says where in the training run a row is read. It comes along, tells rows of one
+    document apart, and gives sequence_place, the mean of a sequence's pieces: sequences are to be read in its order."""
+    carry = () if place is None else (place,)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, carry=carry).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    packed = pack(cut(pieces), capacity, place)
+    if place is None:
+        return packed
+    packed = cut(packed)
+    return packed.join(packed.groupBy("sequence_id").agg(F.avg(place).alias("sequence_place")), "sequence_id")
