@@ -62,6 +62,7 @@ def plain(docs):
 @pytest.mark.parametrize("length,gram,chunk,hot", [(200, 80, 400_000, 1000), (41, 16, 400, 3), (40, 16, 1, 1000)])
 def test_suffix_dedup(docs, length, gram, chunk, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_LEAST", hot)
+    monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
     got = suffix_dedup.dedup_passages(docs, length, gram, chunk)
     same([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, brute.sha(bytes(r.kept))) for r in got.collect()], brute.passages(plain(docs), length))
 
@@ -93,6 +94,7 @@ def test_long_words_that_fool_power_sums(spark, size):
 @pytest.mark.parametrize("window,gram,chunk,hot", [(35, 15, 50_000, 1000), (6, 3, 60, 3), (6, 3, 1, 1000)])
 def test_automaton_dedup(docs, window, gram, chunk, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_LEAST", hot)
+    monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
     got = automaton_dedup.dedup_word_windows(docs, window, gram, chunk)
     same([(r.doc_id, r.n_words, r.n_removed, brute.sha(bytes(r.kept))) for r in got.collect()], brute.word_windows(plain(docs), window))
 

@@ -24,7 +24,7 @@ from volumetra.llm.repeats import Words, covered, repeated
 #: Production parameters: words of a repeated window, and of an anchor's gram.
 WINDOW, GRAM = 35, 15
 #: Words of a shard.
-SHARD_WORDS = 50_000
+SHARD_WORDS = 150_000
 
 
 class Automaton:

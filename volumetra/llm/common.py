@@ -22,12 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or "/tmp/checkpoints"
 
 
+#: Spark removes a query's shuffle files as soon as it ends: what cut() has written stands in for them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends, lost executors
     cost nothing. The files go with drop(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was) if was is not None else spark.conf.unset(_CLEAN)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -36,12 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that cut() wrote and that nothing reads any more. Spark removes the shuffle files of finished jobs
-    when the JVM collects their handles, so it is asked to."""
+    """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:
         where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-        df.sparkSession._jvm.java.lang.System.gc()
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -10,11 +10,11 @@ anchors at equal places, and a block holds the consecutive windows of one anchor
 2. Blocks of the other grams are read from the texts. Equal ones travel once, with
    the number of their copies.
 3. Sampled splitters range-partition the blocks by what stands at their anchor,
-   first bytes first, so that all blocks of a gram are neighbours, over as many
-   buckets as they need. In each bucket a solver (sorted suffixes, or automata)
-   compares the windows of a bounded number of blocks at a time.
-4. Where a gram's blocks lie on both sides of such a boundary, its distinct windows
-   are compared across it.
+   first bytes first, so that all blocks of a gram are neighbours; those of a gram with
+   very many are dealt over several buckets. In each bucket a solver (sorted suffixes, or
+   automata) compares the windows of a bounded number of blocks at a time.
+4. Where a gram's blocks lie on both sides of a boundary, its distinct windows are
+   compared across it.
 
 Keys that may hold any share of the rows (a gram, a block with very many copies) are
 dealt out by salt, or joined by broadcasting the few of them there can be.
@@ -34,11 +34,12 @@ from volumetra.llm.common import byte_slices, cut, drop, fixed_hash, mix, pair_h
 
 #: Bytes of text worked on at a time, symbols of blocks that a solver holds at a time, and blocks whose content a task
 #: remembers to have sent.
-SLICE_BYTES, CHUNK_SYMBOLS, SENT = 1 << 20, 400_000, 100_000
+SLICE_BYTES, CHUNK_SYMBOLS, SENT = 1 << 20, 2_500_000, 100_000
 #: Bytes of the leading gram that blocks are ordered by before its hash.
 LEAD = 16
-#: A key met this often, and in more than a quarter of a mean partition's share, is dealt out.
-HOT_LEAST = 1000
+#: A key met this often, and in more than a quarter of a mean partition's share, is dealt out; a gram's distinct blocks
+#: are from this many on.
+HOT_LEAST, HOT_BLOCKS = 1000, 4000
 
 
 class Bytes:
@@ -220,7 +221,8 @@ SETTLED = "c1 long, c2 long, copies long, marked array<int>, open array<struct<o
 
 def _settled(kind, solve: Callable, window: int, chunk_symbols: int):
     """Run the solver over a bucket sorted by gram, about chunk_symbols at a time. Chunks end between grams if they can;
-    `open` holds the distinct windows of grams that may go on in another chunk or bucket."""
+    `open` holds the distinct windows of grams that may go on in another chunk or bucket. Only grams with a salt may be
+    in several buckets."""
 
     def done(rows: pa.Table, open_first: bool, open_last: bool) -> pa.RecordBatch:
         gh, content, n, copies = rows["gh"].to_numpy(), rows["content"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["copies"].to_numpy()
@@ -233,6 +235,7 @@ def _settled(kind, solve: Callable, window: int, chunk_symbols: int):
             wide |= gh == gh[0]
         if open_last:
             wide |= gh == gh[-1]
+        wide |= rows["salt"].to_numpy() > 0
         if wide.any():
             at = np.flatnonzero(np.repeat(wide, n))
             at = at[np.unique(group[at], return_index=True)[1]]
@@ -248,7 +251,7 @@ def _settled(kind, solve: Callable, window: int, chunk_symbols: int):
         return pa.RecordBatch.from_arrays(columns, ["c1", "c2", "copies", "marked", "open"]).filter(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_first = None, True
+        held, open_first = None, False
         for batch in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
             while True:
@@ -263,7 +266,7 @@ def _settled(kind, solve: Callable, window: int, chunk_symbols: int):
                 yield done(held.slice(0, end), open_first, inside)
                 held, open_first = held.slice(end), inside
         if held is not None and len(held):
-            yield done(held, open_first, True)
+            yield done(held, open_first, False)
 
     return run
 
@@ -294,8 +297,13 @@ def repeated(docs: DataFrame, kind, window: int, gram: int, solve: Callable, chu
     drop(found)
     columns = ("lead", "gh", "p", "n", "content")
     distinct = candidates.groupBy("c1", "c2").agg(F.count("*").alias("copies"), *(F.first(c, True).alias(c) for c in columns))
+    sent = cut(candidates.where("gh is not null").groupBy("gh").agg(F.count("*").alias("blocks")))  # a block counts once a task at most
+    wide = max(HOT_BLOCKS, (sent.agg(F.sum("blocks")).first()[0] or 0) // (4 * parts))
+    large = sent.where(F.col("blocks") > wide).select("gh", F.ceil(F.col("blocks") / wide).alias("salts"))  # fewer than 4 * parts
+    dealt_out = distinct.join(F.broadcast(large), "gh", "left").withColumn("salt", F.coalesce(F.pmod("c1", "salts") + 1, F.lit(0)))
+    order = ("lead", "gh", "salt")
     settled = cut(
-        distinct.repartitionByRange(parts, "lead", "gh", "c1").sortWithinPartitions("lead", "gh", "c1").select("gh", "p", "n", "copies", "c1", "c2", "content")
+        dealt_out.repartitionByRange(parts, *order).sortWithinPartitions(*order, "c1").select("gh", "p", "n", "copies", "c1", "c2", "salt", "content")
         .mapInArrow(_settled(kind, solve, window, chunk_symbols), SETTLED)
     )
     opened = settled.select("c1", "c2", F.explode("open").alias("w")).groupBy("w.h1", "w.h2").agg(
@@ -313,7 +321,7 @@ def repeated(docs: DataFrame, kind, window: int, gram: int, solve: Callable, chu
         members.join(F.broadcast(often), ["c1", "c2"]).unionByName(rest)
         .select("r1", "r2", F.transform("marked", lambda m: m + F.col("a")).alias("m")).groupBy("r1", "r2").agg(F.flatten(F.collect_set("m")).alias("ranges"))
     )
-    drop(candidates, settled, marked)
+    drop(candidates, sent, settled, marked)
     return dealt.join(marks, ["r1", "r2"], "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<long>")).alias("ranges"))
 
 
