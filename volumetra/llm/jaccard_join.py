@@ -20,8 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -205,8 +203,9 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[int]:
         need = -(-percent * len(own) // 100)
         long = min(need - 1, int(need / (1 + 0.01 * np.log2(1 + length[own].max()))))
         short = own[np.argsort(length[own], kind="stable")[: len(own) - long]]
-        heap = merge(*(owner[a : a + n].tolist() for a, n in zip(first[short].tolist(), length[short].tolist())))
-        met, times = (np.array(x, np.int64) for x in zip(*((c, sum(1 for _ in same)) for c, same in groupby(heap))))
+        size = length[short]
+        runs = owner[np.repeat(first[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        met, times = np.unique(np.sort(runs, kind="stable"), return_counts=True)  # a merge of sorted runs, one a list
         fit = (times >= need - long) & (100 * sizes[met] >= percent * len(own)) & (100 * len(own) >= percent * sizes[met])
         for c in met[fit].tolist():  # linked() probes the long lists
             if find(c) != find(q) and linked(q, c):
