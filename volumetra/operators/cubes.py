@@ -29,6 +29,22 @@ def bounds(points: DataFrame, cube: dict[str, int]) -> DataFrame:
     return out
 
 
+def centre_inside(box: dict[str, tuple[Column, Column]]) -> Column:
+    """Whether a point counts as inside: false only if it lies beyond the box on every axis."""
+    beyond = [(F.col(a) < lo) | (F.col(a) >= hi) for a, (lo, hi) in box.items()]
+    out = beyond[0]
+    for b in beyond[1:]:
+        out = out & b
+    return ~out
+
+
+def promoted(voxel_sizes: tuple[float, ...], network_sizes: tuple[float, ...]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Voxel sizes (z, y, x) of a single plane's data and network: z is 1 where it was left out, and the network's z is the
+    data's, so that a cube of one plane is never rescaled in z."""
+    data, network = ((1.0, *s) if len(s) == 2 else tuple(s) for s in (voxel_sizes, network_sizes))
+    return data, (data[0], *network[1:])
+
+
 def full_only(bounded: DataFrame, shape: dict[str, int]) -> DataFrame:
     keep = None
     for a, n in shape.items():

@@ -46,10 +46,17 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def batches(points: DataFrame, axis: str, size: int) -> DataFrame:
-    """Points in order of axis, then idx, in batches of `size`. Positions come from counts for each axis value, so that no
-    task sees all points."""
+def held_out(key: Column, share: float, seed: int) -> Column:
+    """Whether a row goes to the test side of a random split: the same for a key whenever it is asked."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return drawn < share * 2**32
+
+
+def batches(points: DataFrame, axis: str, size: int, seed: int | None = None) -> DataFrame:
+    """Points in order of axis, then idx (with a seed, shuffled within equal values, another way for each seed, say the
+    epoch), in batches of `size`. Positions come from counts for each axis value, so that no task sees all points."""
     counts = points.groupBy(axis).count()
     base = counts.select(axis, (F.sum("count").over(Window.orderBy(axis)) - F.col("count")).alias("base"))
-    n = F.row_number().over(Window.partitionBy(axis).orderBy("idx")) - 1
+    drawn = [] if seed is None else [F.md5(F.concat(F.lit(f"{seed}-"), F.col("idx").cast("string")).cast("binary"))]
+    n = F.row_number().over(Window.partitionBy(axis).orderBy(*drawn, "idx")) - 1
     return points.withColumn("_n", n).join(base, axis).withColumn("position", (F.col("base") + F.col("_n")).cast("long")).withColumn("batch", F.floor(F.col("position") / size)).drop("base", "_n")

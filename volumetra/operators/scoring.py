@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volumetra.operators.structures import ARTIFACT, CELL, NO_CELL
+
 
 class Scorer(Protocol):
     """Loaded once per task; scores a batch (n, values) as class probabilities (n, classes)."""
@@ -59,3 +61,23 @@ def join_back(points: DataFrame, scores: DataFrame) -> DataFrame:
 
 def one_hot(kind: Column, classes: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda k: (k == kind).cast("int"))
+
+
+#: Names of types 1 and 2.
+NAMES = ("no_cell", "cell")
+
+
+def target(kind: Column, mode: str | None) -> Column:
+    """What a model is trained towards: one-hot (None), "index" from 0, or "label"."""
+    if mode is None:
+        return one_hot(kind, len(NAMES))
+    if mode == "index":
+        return kind - 1
+    if mode == "label":
+        return F.element_at(F.array(*(F.lit(n) for n in NAMES)), kind)
+    raise ValueError(f"unknown target {mode!r}")
+
+
+def labelled_type(label: Column) -> Column:
+    """Type of a cube by its label; without one it is an artifact."""
+    return F.when(label == NAMES[1], CELL).when(label == NAMES[0], NO_CELL).otherwise(ARTIFACT)

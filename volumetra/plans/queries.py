@@ -372,14 +372,17 @@ def sphere_mask(spark, sf):
 
 
 def _two(spark, sf) -> tuple[DataFrame, DataFrame]:
-    p = some_points(spark, sf).select(*(F.col(a).cast("long").alias(a) for a in "xyz"), "idx")
-    return p.where("idx % 3 = 0").drop("idx"), p.where("idx % 5 = 1").drop("idx")
+    """All points of orders, and all of lineitem."""
+    a = some_points(spark, sf).select(*(F.col(c).cast("long").alias(c) for c in "xyz"))
+    places = ((F.col("l_orderkey") % 61).alias("x"), (F.col("l_partkey") % 67).alias("y"), (F.col("l_suppkey") % 9).alias("z"))
+    return a, read(spark, sf, "lineitem").select(*places)
 
 
-_TWO = POINTS + ", i AS (SELECT idx, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM pts), a AS (SELECT x, y, z FROM i WHERE idx % 3 = 0), c AS (SELECT x, y, z FROM i WHERE idx % 5 = 1)"
+_TWO = POINTS + ", a AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM pts), c AS (SELECT l_orderkey % 61 AS x, l_partkey % 67 AS y, l_suppkey % 9 AS z FROM lineitem)"
+_NEAR = "near AS (SELECT DISTINCT x + i.range AS x, y + j.range AS y, z + k.range AS z FROM c, range(-2, 3) i, range(-2, 3) j, range(-2, 3) k)"
 
 
-@query(f"WITH {_TWO} SELECT DISTINCT a.x, a.y, a.z FROM a JOIN c ON ABS(a.x - c.x) <= 2 AND ABS(a.y - c.y) <= 2 AND ABS(a.z - c.z) <= 2")
+@query(f"WITH {_TWO}, {_NEAR} SELECT DISTINCT a.x, a.y, a.z FROM a JOIN near ON a.x = near.x AND a.y = near.y AND a.z = near.z")
 def match_within_tolerance(spark, sf):
     return points.matched(*_two(spark, sf), 2)
 
@@ -436,6 +439,34 @@ def channel_file_names(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.regexp_extract("p_name", r"(\d+)", 1).alias("digits"), points.channel_path(F.col("p_name"), F.col("p_size") % 10).alias("file"))
 
 
+@query(f"WITH {POINTS} SELECT idx, CAST('0x' || substr(md5('7-' || idx), 1, 8) AS BIGINT) < 0.2 * 4294967296 AS test FROM pts")
+def train_test_split(spark, sf):
+    return some_points(spark, sf).select("idx", points.held_out(F.col("idx"), 0.2, 7).alias("test"))
+
+
+@query(f"WITH {POINTS} SELECT idx, ROW_NUMBER() OVER (ORDER BY z, md5('3-' || idx), idx) - 1 AS position, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY z, md5('3-' || idx), idx) - 1) / 32) AS BIGINT) AS batch FROM pts")
+def shuffled_batches(spark, sf):
+    return points.batches(some_points(spark, sf), "z", 32, seed=3).select("idx", "position", "batch")
+
+
+@query(f"WITH {POINTS} SELECT idx, [CAST(type = 1 AS INT), CAST(type = 2 AS INT)] AS one_hot, type - 1 AS index, CASE type WHEN 1 THEN 'no_cell' ELSE 'cell' END AS label FROM pts")
+def target_modes(spark, sf):
+    kind = F.col("type")
+    return some_points(spark, sf).select("idx", scoring.target(kind, None).alias("one_hot"), scoring.target(kind, "index").alias("index"), scoring.target(kind, "label").alias("label"))
+
+
+@query("SELECT label || '' AS name, CASE label WHEN 'cell' THEN 2 WHEN 'no_cell' THEN 1 ELSE -1 END AS type FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'cell' WHEN 1 THEN 'no_cell' END AS label FROM labels)")
+def label_types(spark, sf):
+    name = F.when(F.col("doc_id") % 3 == 0, "cell").when(F.col("doc_id") % 3 == 1, "no_cell")
+    return read(spark, sf, "labels").select(name.alias("name"), scoring.labelled_type(name).alias("type"))
+
+
+@query(f"WITH {BOUNDS} SELECT idx, NOT ((x < x0 OR x >= x1) AND (y < y0 OR y >= y1) AND (z < z0 OR z >= z1)) AS inside FROM (SELECT idx, x, y, z, 20 AS x0, 40 AS x1, 10 AS y0, 30 AS y1, 2 AS z0, 5 AS z1 FROM pts)")
+def centre_in_cuboid(spark, sf):
+    box = {"x": (20, 40), "y": (10, 30), "z": (2, 5)}
+    return some_points(spark, sf).select("idx", cubes.centre_inside({a: (F.lit(lo), F.lit(hi)) for a, (lo, hi) in box.items()}).alias("inside"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold, label, measure and sort structures by size class."""
     return structures.centres(labelled(spark, sf_dir)).withColumn("kind", structures.triage(F.col("volume"), 8, 100))

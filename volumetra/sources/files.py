@@ -75,6 +75,72 @@ def list_channel_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower("path").rlike(r"ch\d+\.tif$")).select("path", F.regexp_extract(F.lower("path"), r"ch(\d+)\.tif$", 1).cast("int").alias("channel"))
 
 
+def channel_files(spark: SparkSession, path: str, channels: list[int]) -> DataFrame:
+    """file, channels (an array of channel and path) and complete, a row for each cube that has a file of the first of
+    `channels`, in natural order of `place`; complete says whether it has one of every channel."""
+    from volumetra.operators.points import natural_key
+
+    found = list_channel_files(spark, path).where(F.col("channel").isin(channels)).withColumn("cube", F.regexp_replace(F.lower("path"), r"ch\d+\.tif$", ""))
+    every = found.groupBy("cube").agg(F.array_sort(F.collect_set(F.struct("channel", "path"))).alias("channels"))
+    first = F.filter("channels", lambda c: c["channel"] == channels[0])
+    rows = every.where(F.size(first) > 0).withColumn("file", first[0]["path"])
+    return rows.select("file", "channels", (F.size("channels") == len(set(channels))).alias("complete"), natural_key(F.col("file")).alias("place"))
+
+
+def read_cubes(files: DataFrame) -> DataFrame:
+    """file, channel and the cube (dz, dy, dx, v) of channel_files(): each file is read and decoded in the task that has it."""
+    spark = files.sparkSession
+    each = files.select("file", F.explode("channels").alias("c")).select("file", F.col("c.channel").alias("channel"), F.col("c.path").alias("path"))
+    paths = [r.path for r in each.select(F.regexp_replace("path", "[^/]*$", "").alias("path")).distinct().collect()]  # folders
+    data = spark.read.format("binaryFile").load(paths).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, channel, content in zip(*(b[c].to_pylist() for c in ("file", "channel", "content"))):
+                cube = np.stack(decode_tiff(content))
+                z, y, x = (i.ravel() for i in np.indices(cube.shape))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * cube.size), pa.array([channel] * cube.size, pa.int32()), *(pa.array(i) for i in (z, y, x)), pa.array(cube.ravel().astype(np.float64))], ["file", "channel", "dz", "dy", "dx", "v"])
+
+    return each.join(data, "path").select("file", "channel", "content").mapInArrow(run, "file string, channel int, dz long, dy long, dx long, v double")
+
+
+def encode_stack(planes: np.ndarray) -> bytes:
+    """Planes as directories of one uncompressed TIFF."""
+    out, at = [], 8
+    for k, plane in enumerate(planes):
+        one = encode_tiff(plane)
+        body, next_at = one[8:], at + len(one) - 8
+        n = struct.unpack("<H", body[:2])[0]
+        tags = bytearray(body)
+        place = 2 + 12 * next(i for i in range(n) if struct.unpack("<H", body[2 + 12 * i : 4 + 12 * i])[0] == OFFSETS) + 8
+        tags[place : place + 4] = struct.pack("<I", at + struct.unpack("<I", body[place : place + 4])[0] - 8)
+        tags[2 + 12 * n : 6 + 12 * n] = struct.pack("<I", next_at if k < len(planes) - 1 else 0)
+        out.append(bytes(tags))
+        at = next_at
+    return b"II*\0" + struct.pack("<I", 8) + b"".join(out)
+
+
+def cube_name(x: int, y: int, z: int, channel: int) -> str:
+    return f"pCellz{z}y{y}x{x}Ch{channel}.tif"
+
+
+def write_cubes(cubes: DataFrame, folder: str, dtype: str = "uint16") -> DataFrame:
+    """Write each cube (x, y, z, channel, shape and cube: values in z, y, x order) as a TIFF of its own into a folder that
+    all executors reach; the names that were written. A retried task writes the same file again."""
+    import os
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = []
+            for row in b.to_pylist():
+                names.append(cube_name(row["x"], row["y"], row["z"], row["channel"]))
+                with open(os.path.join(folder, names[-1]), "wb") as f:
+                    f.write(encode_stack(np.array(row["cube"]).reshape(row["shape"]).astype(dtype)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return cubes.select("x", "y", "z", "channel", "shape", "cube").mapInArrow(run, "name string")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z and type of a cells file."""
     rows = spark.read.format("xml").option("rowTag", "Marker_Type").schema(CELLS_SCHEMA).load(path)
