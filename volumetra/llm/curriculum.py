@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import WORD, cut, partitions
+from volumetra.llm.common import WORD, cut, drop, partitions
 
 #: Production parameters: weights by turns, words to take in parts of all words, and most repeats of a source.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -65,11 +65,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     return by.select("skey", "nth", "n_rows", "source_size", F.round(F.least("cap", F.col("weight") * F.col("level")), 6).alias("target"))
 
 
-def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, *, carry: bool = False, whole: bool = False) -> DataFrame:
+def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, *, carry: bool = False, whole: bool = False, made: list | None = None) -> DataFrame:
     """The mix's decision on each row of docs: doc_id, size, source_size, target, taken and placements, an array of
     (position in 0..1, words) with an element for each time that the document is read; with carry, also row, all of docs'
     columns. Where a source's last pass ends within a document, only its first words are taken; with whole, all or none of
-    them, whichever lies nearer the target.
+    them, whichever lies nearer the target. A list `made` is given the tables that can go once the result is written.
 
     Takes doc_id, source and text. Null and empty texts have size 0 and are taken 0 times; a null source is a source of
     its own, ordered last; null ids may all lie in one bucket. Every row gets one row back, equal rows too; ties in the
@@ -80,6 +80,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     sized = docs.select("doc_id", skey.alias("skey"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), *([F.struct("*").alias("row")] if carry else []))
     sized = cut(sized)
     targets = cut(source_targets(sized, weights, share, repeats))
+    if made is not None:
+        made += [sized, targets]
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_rows") / BUCKET_ROWS) / 2**32)
     placed = sized.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, "skey").withColumn("bucket", bucket)
     sums = placed.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
@@ -115,7 +117,10 @@ def training_order(docs: DataFrame, **parameters) -> DataFrame:
     """docs as the run reads them: a row for each placement, range-sorted by position, all columns kept. Documents are read
     whole. Rows without words are read by nobody; see curriculum() for nulls, ties and repeats."""
     columns = docs.columns
-    one = curriculum(docs, **parameters, carry=True, whole=True).select("row", F.explode("placements").alias("at"))
+    made: list[DataFrame] = []
+    one = curriculum(docs, **parameters, carry=True, whole=True, made=made).select("row", F.explode("placements").alias("at"))
+    one = cut(one)  # the texts have moved for the running totals: those files go before they move for the order
+    drop(*made)
     rows = one.select(*(F.col("row").getField(c).alias(c) for c in columns), F.col("at.position").alias("_position"))
     return range_sorted(rows, "_position", "doc_id").drop("_position")
 
