@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +54,27 @@ def full_only(bounded: DataFrame, shape: dict[str, int]) -> DataFrame:
 
 def extract(bounded: DataFrame, voxels: DataFrame, tile: int = 64) -> DataFrame:
     """idx, dz, dy, dx and v: a range join, made one on keys. Each cube goes to the (plane, tile, tile) cells that it
-    meets, and voxels to their own, so work follows the cubes and no plane is gathered."""
+    meets, and voxels to their own, so work follows the cubes and no plane is gathered. A column channel of voxels is kept."""
+    channel = ["channel"] if "channel" in voxels.columns else []
     cells = bounded.select("idx", *(c for a in "zyx" for c in (f"{a}0", f"{a}1")), F.explode(F.sequence("z0", F.col("z1") - 1)).alias("z"))
     for a in "yx":
         cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor((F.col(f"{a}1") - 1) / tile))))
     keyed = voxels.withColumn("cy", F.floor(F.col("y") / tile)).withColumn("cx", F.floor(F.col("x") / tile))
     near = keyed.join(cells, ["z", "cy", "cx"])
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return near.where(inside).select("idx", *((F.col(a) - F.col(f"{a}0")).alias(f"d{a}") for a in "zyx"), "v")
+    return near.where(inside).select("idx", *channel, *((F.col(a) - F.col(f"{a}0")).alias(f"d{a}") for a in "zyx"), "v")
 
 
 def normalised(cubes: DataFrame, mean: float, std: float) -> DataFrame:
     return cubes.withColumn("v", (F.col("v") - mean) / std)
 
 
+def normalised_by(cubes: DataFrame, norms: DataFrame, *by: str) -> DataFrame:
+    """cubes with v normalised by the mean and std that norms has for their `by` columns, say file and channel."""
+    known = norms.select(*by, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    return cubes.join(known, list(by)).withColumn("v", (F.col("v") - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
+
+
 def _shares(n: int, m: int) -> Column:
     """For each source index, the target indices it counts for and its weights; pixel centres lie at half steps."""
     own: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -105,17 +111,5 @@ def resample_array(cube: np.ndarray, to: tuple[int, int, int]) -> np.ndarray:
     return cube
 
 
-def cube_arrays(cubes: DataFrame, shape: tuple[int, int, int], to: tuple[int, int, int] | None = None) -> DataFrame:
-    """idx and cube (float array in z, y, x order), resampled if asked for. A cube is what a task holds at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(shape)
-        c[pdf["dz"], pdf["dy"], pdf["dx"]] = pdf["v"]
-        c = c if to is None else resample_array(c, to)
-        return pd.DataFrame({"idx": [pdf["idx"].iloc[0]], "cube": [c.ravel().astype(np.float32)]})
-
-    return cubes.groupBy("idx").applyInPandas(run, "idx long, cube array<float>")
-
-
 def flip(cubes: DataFrame, axis: str, size: int) -> DataFrame:
     return cubes.withColumn(f"d{axis}", size - 1 - F.col(f"d{axis}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -35,9 +36,22 @@ def detect(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSe
     return single.unionByName(parts.select("x", "y", "z", F.lit(structures.UNKNOWN).alias("type")))
 
 
-def classify(points: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], cube: tuple[int, int, int], to: tuple[int, int, int], mean: float, std: float, scorer: scoring.Scorer) -> DataFrame:
-    """Points (idx, x, y, z) whose cube (sizes z, y, x) lies inside the volume, typed by the model; the others are left out."""
+def classify(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int, int, int], cube: tuple[int, int, int], to: tuple[int, int, int], scorer: scoring.Scorer, norms: Sequence[tuple[float, float]] | None = None, norm_planes: int | None = None) -> DataFrame:
+    """Points (idx, x, y, z) whose cube (sizes z, y, x) lies inside the volume, typed by the model; the others are left out.
+    channels: the signal's voxels, then the background's if there is one. Each is normalised by its (mean, std) in norms, or
+    by those of norm_planes of its own planes, if either is given."""
+    wanted = getattr(scorer, "channels", len(channels))
+    if wanted != len(channels):
+        raise ValueError(f"the model takes {wanted} channels, but {len(channels)} were given")
+    if norms is None and norm_planes is not None:
+        norms = [tuple(planes.sampled_stats(c, shape[0], norm_planes).first()) for c in channels]
     bounded = cubes.full_only(cubes.bounds(points, dict(zip("zyx", cube))), dict(zip("zyx", shape)))
-    values = cubes.normalised(cubes.extract(bounded, voxels), mean, std)
-    scores = scoring.predictions(cubes.cube_arrays(values, cube, to if to != cube else None), scorer)
+    voxels = None
+    for k, c in enumerate(channels):
+        one = c.select("z", "y", "x", F.col("v").cast("double").alias("v"))
+        if norms is not None:
+            one = one.withColumn("v", (F.col("v") - norms[k][0]) / norms[k][1])
+        one = one.withColumn("channel", F.lit(k))
+        voxels = one if voxels is None else voxels.unionByName(one)
+    scores = scoring.predictions(cubes.extract(bounded, voxels), cube, scorer, to if to != cube else None, len(channels))
     return scoring.join_back(points, scores)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions.dtypes import clip, convert, detection_code
-from volumetra.operators import ball, components, cubes, planes, points, scoring, structures
+from volumetra.operators import ball, components, cubes, planes, points, resnet, scoring, structures
 from volumetra.plans.detection import classify, detect
 from volumetra.settings import DetectionSettings
 from volumetra.sources.volumes import dense, grid
@@ -337,7 +337,32 @@ def predictions_join_back(spark, sf):
 @query()
 def classify_points(spark, sf):
     w = np.stack([np.linspace(-1, 1, 75), np.linspace(1, -1, 75)], 1)
-    return classify(some_points(spark, sf), vox(spark, sf), SHAPE, (3, 5, 5), (3, 5, 5), 20, 8, scoring.LinearSoftmax(w, np.zeros(2)))
+    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(w, np.zeros(2)), [(20, 8)])
+
+
+@query(f"""WITH {FULL}, {VOX}, e AS (SELECT idx, SUM((k - 37) * (a - 20) / 8.0 + (40 - k) * (b - 16) / 4.0) AS e
+  FROM (SELECT idx, (v.z - z0) * 25 + (v.y - y0) * 5 + v.x - x0 AS k, v.v AS a, u.v AS b FROM full_ f JOIN vox v ON v.z >= z0 AND v.z < z1 AND v.y >= y0 AND v.y < y1 AND v.x >= x0 AND v.x < x1 JOIN vox u ON u.z = v.z AND u.y = v.x AND u.x = v.y) GROUP BY idx)
+  SELECT idx, x, y, z, CASE WHEN e >= 0 THEN 1 ELSE 2 END AS type FROM pts JOIN e USING (idx)""")
+def classify_two_channels(spark, sf):
+    """Signal and background (its transpose), with whole-numbered weights, so that scores are exact."""
+    signal, k = vox(spark, sf), np.arange(75)
+    background = signal.select("z", F.col("x").alias("y"), F.col("y").alias("x"), "v")
+    w = np.stack([k - 37, 40 - k], 1).ravel().astype(float)
+    return classify(some_points(spark, sf), [signal, background], SHAPE, (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2)), [(20, 8), (16, 4)])
+
+
+@query()
+def classify_residual(spark, sf):
+    """Cubes resampled to 24 x 24 x 12 and scored by an untrained residual network; its labels mean nothing."""
+    described = dict(depth="18-layer", shape=(24, 24, 12, 1), features=2)
+    model = resnet.ResidualNetwork(resnet.ResidualNetwork("", **described).initial(), **described)
+    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (12, 24, 24), model, norm_planes=3)
+
+
+@query(f"WITH {_CUBES} SELECT idx, dz, dy, dx, ROUND((v - idx % 7 - 10) / (idx % 3 + 4), 6) AS v FROM cube")
+def channel_normalize_by_file(spark, sf):
+    norms = some_points(spark, sf).select("idx", (F.col("idx") % 7 + 10).alias("mean"), (F.col("idx") % 3 + 4).alias("std"))
+    return cubes.normalised_by(_cubes(spark, sf), norms, "idx").withColumn("v", F.round("v", 6))
 
 
 @query("SELECT doc_id, [CAST(toxic = 0 AS INT), CAST(toxic = 1 AS INT)] AS target FROM labels")
