@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and characters of them, that one worker remembers; beyond either, it starts afresh.
-MEMO_PIECES, MEMO_CHARS = 300_000, 4 << 20
+MEMO_PIECES, MEMO_CHARS = 600_000, 8 << 20
 #: Bytes of text that are cut and encoded together; longer texts are taken in parts.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 
 #: A word of Latin-1 letters (none of which changes under NFC), perhaps with a space before it.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
