@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, jaccard_join, pattern_packing, suffix_dedup, token_counts, toxicity
+from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, filter_audit, jaccard_join, pattern_packing, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,9 +64,14 @@ def op10_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_search.search(index, books, index.where("vec_id % 50 = 0"), 5)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, for each language."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_curriculum_mix, op2_pattern_packing, op3_suffix_dedup, op4_jaccard_join, op5_automaton_dedup,
-    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search,
+    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search, op13_filter_audit,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,4 +82,19 @@ ORACLES = {
         r AS (SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                      row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) AS n FROM t)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, n = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op13_filter_audit": """
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+                     regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), min(doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e FROM w),
+        g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY 1, 2),
+        l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) x(f, i)),
+        o AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.i, w.i, x.i, y.i, z.i] AS o FROM l v, l w, l x, l y, l z WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5),
+        s AS (SELECT part, filter_order, s.step, fails[o[s.step]] AS own, len(list_filter(o[:s.step - 1], lambda k: fails[k])) > 0 AS early, len(list_filter(fails, lambda k: k)) = 1 AS one, n, good, toxic, o[s.step] AS f
+              FROM m, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s),
+        r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT early THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT early THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN own AND early THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own AND one THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN own AND NOT early THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT early THEN toxic ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }
