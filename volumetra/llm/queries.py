@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, filter_audit, jaccard_join, pattern_packing, suffix_dedup, token_counts, toxicity
+from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, dual_tree, exact_dedup, filter_audit, jaccard_join, pattern_packing, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +64,11 @@ def op10_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_search.search(index, books, index.where("vec_id % 50 = 0"), 5)
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors, after ten rounds."""
+    return dual_tree.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders, for each language."""
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,17 +76,40 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_curriculum_mix, op2_pattern_packing, op3_suffix_dedup, op4_jaccard_join, op5_automaton_dedup,
-    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search, op13_filter_audit,
+    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search, op11_dual_tree_lloyd, op13_filter_audit,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of Lloyd as one table each; distances and sums go component by component."""
+    near = "SELECT vec_id, row, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT x.vec_id, x.row, x.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - m.m[i]) * (x.v[i] - m.m[i]))) AS d FROM x, c{} m) GROUP BY ALL"
+    near = near.replace("arg_min(c, (d, c))", "first(c ORDER BY d, c)").replace("GROUP BY ALL", "GROUP BY vec_id, row, v")
+    out = [
+        "p AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, row, list_transform(e, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM p)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('3:' || vec_id) AS h, v FROM x ORDER BY h LIMIT {k}))",
+    ]
+    for n in range(rounds):
+        out += [
+            f"a{n} AS MATERIALIZED ({near.format(n)})",
+            f"s{n} AS MATERIALIZED (SELECT c, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m FROM (SELECT c, i, sum(v[i]) AS t, count(*) AS n FROM a{n}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c)",
+            f"c{n + 1} AS MATERIALIZED (SELECT c, CAST(coalesce(s.m, b.m) AS BIGINT[]) AS m FROM c{n} b LEFT JOIN s{n} s USING (c))",
+        ]
+    out.append(f"z AS MATERIALIZED ({near.format(rounds)})")
+    return "WITH " + ", ".join(out) + f""" SELECT vec_id, CAST(z.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM z JOIN c{rounds} m ON m.c = z.c"""
+
+
 ORACLES = {
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
         r AS (SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                      row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) AS n FROM t)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, n = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op11_dual_tree_lloyd": _lloyd_sql(),
     "op13_filter_audit": """
         WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
         f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
