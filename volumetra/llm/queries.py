@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, dual_tree, exact_dedup, filter_audit, jaccard_join, pattern_packing, suffix_dedup, token_counts, toxicity
+from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, dual_tree, exact_dedup, filter_audit, jaccard_join, pattern_packing, simhash, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +69,11 @@ def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of fingerprints that differ in at most three bits."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders, for each language."""
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -76,7 +81,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_curriculum_mix, op2_pattern_packing, op3_suffix_dedup, op4_jaccard_join, op5_automaton_dedup,
-    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search, op11_dual_tree_lloyd, op13_filter_audit,
+    op6_toxicity, op7_packed_matrices, op8_exact_dedup, op9_token_counts, op10_additive_search, op11_dual_tree_lloyd, op12_simhash_dedup, op13_filter_audit,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
