@@ -385,6 +385,28 @@ def test_search_repeated_queries(spark):
     same([(rank, k) for _, rank, k, _ in got], want * 2)
 
 
+def test_cosines_of_tiny_and_huge_vectors(spark):
+    """Scores hold however small or large a vector's components are, down to subnormal and up to the largest doubles."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 8))
+    scales = np.ones(60)
+    scales[[3, 7, 50]], scales[[4, 8]], scales[[5]] = 1e-200, 1e200, 1e300
+    rows = [(k, (v * s).tolist()) for k, (v, s) in enumerate(zip(x, scales))]
+    table = spark.createDataFrame([*rows, (60, [5e-324, 0.0] * 4), (61, [1.7e308] * 8)], "vec_id long, embedding array<double>")
+    index, books = additive_search.build_index(table)
+    got = defaultdict(list)
+    for r in additive_search.search(index, books, index.where("vec_id % 50 = 0 OR vec_id IN (3, 4, 60, 61)"), 5).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = np.vstack([x, [1.0, 0.0] * 4, np.ones(8)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == {0, 3, 4, 50, 60, 61}
+    for q, own in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        want = np.argsort(-s, kind="stable")[:5]
+        assert [k for k, _ in own] == want.tolist() and np.allclose([v for _, v in own], s[want], rtol=0, atol=1e-12)
+
+
 def test_near_copies_go_by_row(spark):
     import corpus_pipeline
 

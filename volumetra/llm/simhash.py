@@ -121,7 +121,7 @@ def bits_of(prints: np.ndarray) -> np.ndarray:
 
 def correlated_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
     """The bits' numbers in partitions of about one size; each takes the bit that goes best with those it has."""
-    x = bits - bits.mean(0)
+    x = bits - (bits.mean(0) if len(bits) else 0)
     scale = np.sqrt(np.square(x).sum(0))
     together = np.abs(x.T @ x) / np.maximum(np.outer(scale, scale), 1e-9)
     np.fill_diagonal(together, 0)
