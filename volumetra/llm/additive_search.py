@@ -38,10 +38,16 @@ def _rows(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True, initial=1e-300)
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: cosines stay the same to the last bit, and no
+    product of very small or large components leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
+
+
 def train_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """(books, words, dimensions): k-means of what the books before have left over."""
     rng, rest, out = np.random.default_rng(seed), x.copy(), []
@@ -113,11 +119,12 @@ def _best(part: pa.Table, block: pa.Table, books: np.ndarray, k: int, rerank: in
     m, words, d = books.shape
     codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(ids), m)
     norms, keep = part["norm"].to_numpy().astype(np.float32), min(rerank, len(ids))
+    v = _scaled(v)
     length = np.sqrt(np.einsum("ij,ij->i", v, v))
     out: tuple[list, ...] = ([], [], [], [])
     for at in range(0, len(block), TOGETHER):
         some = block.slice(at, TOGETHER)
-        q_row, q_id, q = some["q_row"].to_numpy(), some["q_id"].to_numpy(), _rows(some["q"].combine_chunks())
+        q_row, q_id, q = some["q_row"].to_numpy(), some["q_id"].to_numpy(), _scaled(_rows(some["q"].combine_chunks()))
         tables = (_unit(q) @ books.reshape(m * words, d).T).reshape(len(q), m, words).astype(np.float32)
         guess = np.zeros((len(q), len(ids)), np.float32)
         for j in range(m):
