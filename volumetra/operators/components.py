@@ -19,9 +19,12 @@ TILE = 512
 
 
 def step_folder(spark: SparkSession) -> str:
-    """A new folder name where driver and executors share files; what is written there goes when the driver's JVM ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
+    """A new folder where driver and executors share files; what is written there goes when the driver's JVM ends. Only a
+    local session, as in tests, may leave spark.checkpoint.dir unset: it gets one below /tmp."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(shared or '/tmp/checkpoints').rstrip('/')}/step-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(where)
@@ -39,8 +42,6 @@ def written(df: DataFrame) -> DataFrame:
 def label_points(z: np.ndarray, y: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each voxel the smallest id of its component."""
     n = len(ids)
-    order = np.argsort(ids)
-    known = ids[order]
     parent = np.arange(n)
 
     def find(k: int) -> int:
@@ -65,7 +66,6 @@ def label_points(z: np.ndarray, y: np.ndarray, x: np.ndarray, ids: np.ndarray) -
                     parent[rb] = ra
                 else:
                     parent[ra] = rb
-    del known
     return ids[[find(k) for k in range(n)]]
 
 

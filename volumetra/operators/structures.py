@@ -60,7 +60,7 @@ def erode(bright: np.ndarray, kernel: np.ndarray, limit: Fraction) -> np.ndarray
     return out
 
 
-def split_points(points: np.ndarray, ball: tuple[int, int], fraction: Fraction, rounds: int, plane: tuple[int, int] | None = None, correct: bool = False) -> np.ndarray:
+def split_points(points: np.ndarray, ball: tuple[int, int], fraction: Fraction, rounds: int, correct: bool = False) -> np.ndarray:
     """Centres (x, y, z) that a structure's voxels (x, y, z) fall into: those of the first erosion round with the most
     pieces, if more than one. Unless `correct`, they carry the padding's shift, as the original method's results do."""
     xy, z = ball

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.operators import ball, components, cubes, planes, scoring, structures
+from volumetra.operators import ball, components, cubes, feedback, planes, scoring, structures
 from volumetra.settings import DetectionSettings, check_volume
 
 
@@ -27,7 +28,8 @@ def detect(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSe
     else:
         bright = planes.global_threshold(peaks, settings.n_sds_above_mean_thresh)
     ratio = Fraction(str(settings.ball_overlap_fraction))
-    found = ball.marks(bright, (depth, *plane), settings.ball_xy, settings.ball_z, ratio, tiles, settings.tile)
+    marks = partial(feedback.marks, components.written(bright), batch=settings.batch_size, slab=settings.slab_planes) if settings.z_feedback else partial(ball.marks, bright)
+    found = marks((depth, *plane), settings.ball_xy, settings.ball_z, ratio, tiles=tiles, tile=settings.tile)
     labelled = components.written(components.connected_components(found, (depth, *plane), settings.slab_planes).withColumn("z", F.col("z") + settings.start_plane))
     kinds = structures.centres(labelled).withColumn("kind", structures.triage(F.col("volume"), settings.max_cell_volume, settings.max_cluster_size))
     single = kinds.where("kind != 'needs_split'").select("x", "y", "z", F.when(F.col("kind") == "cell", structures.UNKNOWN).otherwise(structures.ARTIFACT).alias("type"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions.dtypes import clip, convert, detection_code
-from volumetra.operators import ball, components, cubes, planes, points, resnet, scoring, structures
+from volumetra.operators import ball, components, cubes, feedback, planes, points, resnet, scoring, structures
 from volumetra.plans.detection import classify, detect
 from volumetra.settings import DetectionSettings
 from volumetra.sources.volumes import dense, grid
+from volumetra.streaming import ordered
 from volumetra.streaming import planes as streaming
 
 SHAPE = (7, 64, 64)
@@ -221,6 +222,58 @@ def ball_marks(spark, sf):
     return spot_marks(spark, sf)
 
 
+def feedback_sql(batches: list[list[int]]) -> str:
+    """Marks of the planes that each batch can judge, which later batches see as bright."""
+    steps = ["f0 AS (SELECT z, y, x FROM bright)"]
+    for k, judged in enumerate(batches):
+        own = f"SELECT b.z - kz + 1 AS z, b.y - ky + 1 AS y, b.x - kx + 1 AS x, SUM(w) AS w FROM f{k} b, kernel WHERE w > 0 AND b.z - kz + 1 BETWEEN {judged[0]} AND {judged[-1]} GROUP BY 1, 2, 3"
+        steps.append(f"k{k} AS MATERIALIZED (SELECT o.z, o.y, o.x FROM ({own}) o JOIN tile ON tile.z = o.z AND tile.ty = o.y // 8 AND tile.tx = o.x // 8 AND inside WHERE o.y BETWEEN 1 AND 62 AND o.x BETWEEN 1 AND 62 AND 5 * o.w > 3 * (SELECT SUM(w) FROM kernel))")
+        steps.append(f"f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION SELECT * FROM k{k})")
+    return f"WITH {OVERLAP}, {TILES}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(len(batches)))
+
+
+@query(feedback_sql([[1], [2], [3], [4], [5]]))
+def ball_feedback(spark, sf):
+    """Marks that count as bright for the planes behind them, plane after plane."""
+    tiles = planes.bright_tiles(spot(spark, sf), PLANE, 8)
+    return feedback.marks(components.written(spot_bright(spark, sf)), SHAPE, 3, 3, RATIO, tiles, 8, slab=3, size=24)
+
+
+def arriving(bright: DataFrame, folder: str) -> DataFrame:
+    """A stream of the voxels and of a row for each plane that is whole, two files at a time."""
+    ends = bright.sparkSession.range(SHAPE[0]).select(F.col("id").alias("z"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("x"))
+    bright.unionByName(ends).repartitionByRange(SHAPE[0], "z").write.parquet(f"{folder}/in")
+    return bright.sparkSession.readStream.schema(ordered.ARRIVED).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+
+@query(feedback_sql([[1, 2], [3, 4], [5]]))
+def ball_feedback_stream(spark, sf):
+    """The same in batches of two planes, from a stream."""
+    folder = components.step_folder(spark)
+    tiles = components.written(planes.bright_tiles(spot(spark, sf), PLANE, 8))
+    fed = ordered.feedback_marks(folder, SHAPE, 3, 3, RATIO, tiles, 8, batch=2, size=24)
+    fed.run(arriving(spot_bright(spark, sf), folder))
+    return fed.result(spark, "marks")
+
+
+def _labelled_stream(spark, sf) -> ordered.Ordered:
+    folder = components.step_folder(spark)
+    found = ordered.labelled_structures(folder, SHAPE, slab=2, tile=32)
+    found.run(arriving(foreground(spark, sf), folder))
+    return found
+
+
+@query(f"WITH RECURSIVE {VOX}, {bright_sql('vox', K, 'b')}, {components_sql('b')} SELECT * FROM comp")
+def components_stream(spark, sf):
+    return ordered.whole(_labelled_stream(spark, sf), spark)
+
+
+@query(f"WITH RECURSIVE {VOX}, {bright_sql('vox', K, 'b')}, {components_sql('b')} SELECT sid, CAST(ROUND_EVEN(AVG(x), 0) AS BIGINT) AS x, CAST(ROUND_EVEN(AVG(y), 0) AS BIGINT) AS y, CAST(ROUND_EVEN(AVG(z), 0) AS BIGINT) AS z, COUNT(*) AS volume FROM comp GROUP BY sid")
+def structures_stream(spark, sf):
+    """Centres and volumes of structures, let out once no later plane can add to them."""
+    return _labelled_stream(spark, sf).result(spark, "structures")
+
+
 @query(f"WITH RECURSIVE {VOX}, {bright_sql('vox', K, 'b')}, {components_sql('b')} SELECT * FROM comp")
 def connected_components(spark, sf):
     return labelled(spark, sf)

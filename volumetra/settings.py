@@ -28,7 +28,8 @@ class DetectionSettings:
     split_ball_z_size_um: float = 15
     split_ball_overlap_fraction: float = 0.8
     n_splitting_iter: int = 10
-    z_feedback: bool = False
+    z_feedback: bool = False  # marks count as bright for the planes behind them, after each batch of planes
+    batch_size: int = 1
     correct_split_offset: bool = False
     slab_planes: int = field(default=16)
 
@@ -39,10 +40,6 @@ class DetectionSettings:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**given)
 
-    @property
-    def filter_dtype(self) -> str:
-        return filtering_dtype(self.dtype)
-
     @property
     def clip_value(self) -> int:
         return max_exact(self.dtype) - 2
