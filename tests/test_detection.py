@@ -65,6 +65,27 @@ def test_two_balls_are_split_with_the_known_shift():
     assert sorted(map(tuple, got.tolist())) == [(10, 11, 11), (20, 11, 11)]
 
 
+@pytest.mark.parametrize("size", [512, 9, 5])
+def test_enhancement_does_not_hang_on_tiles(spark, size):
+    """Tiles smaller than the stencils' reach, and planes narrower than it, against whole planes."""
+    r = np.random.default_rng(6)
+    for shape, sigma in (((2, 31, 22), 0.9), ((2, 3, 40), 1.6)):
+        volume = r.integers(0, 500, shape).astype(float)
+        got = np.zeros(shape)
+        for row in planes.enhance(rows(spark, volume), shape[1:], sigma, 1000.0, size).collect():
+            got[row.z, row.y, row.x] = row.v
+        assert np.allclose(got, [planes.enhance_plane(p, sigma, 1000.0) for p in volume], atol=1e-9)
+
+
+def test_marks_that_feed_back(spark):
+    """Through the whole plan: a batch of all planes gives what no feedback gives."""
+    volume = np.where(sphere((20, 50, 50), (25, 25, 10), 2), 100.0, 0.0)
+    volume += np.random.default_rng(1).integers(0, 3, volume.shape)
+    plain = found(spark, volume)
+    assert plain and found(spark, volume, z_feedback=True, batch_size=20) == plain
+    assert found(spark, volume, z_feedback=True)
+
+
 def test_enhanced_planes_are_composed_of_the_checked_stencils(spark):
     """The pandas path against median, Gaussian, Laplacian and normalisation, each of which SQL checks."""
     volume = np.random.default_rng(4).integers(0, 500, (2, 12, 15)).astype(float)

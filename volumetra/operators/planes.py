@@ -148,10 +148,10 @@ def gaussian(voxels: DataFrame, shape: tuple[int, int], sigma: float) -> DataFra
     return along(along(voxels, "y", "x", shape[0]), "x", "y", shape[1]).select("z", "y", "x", "v")
 
 
-def enhance_plane(plane: np.ndarray, sigma: float, most: float) -> np.ndarray:
-    """Median, Gaussian, Laplacian, flipped normalisation of one plane."""
-    p = np.pad(plane, 1)
-    out = np.median(np.stack([p[i : i + plane.shape[0], j : j + plane.shape[1]] for i in range(3) for j in range(3)]), 0)
+def flipped_peaks(part: np.ndarray, sigma: float) -> np.ndarray:
+    """Median, Gaussian and negated Laplacian of a plane, or of a part of one whose borders with the rest do not count."""
+    p = np.pad(part, 1)
+    out = np.median(np.stack([p[i : i + part.shape[0], j : j + part.shape[1]] for i in range(3) for j in range(3)]), 0)
     weights = np.array(gaussian_weights(sigma))
     radius = len(weights) // 2
     for axis in (0, 1):
@@ -160,22 +160,40 @@ def enhance_plane(plane: np.ndarray, sigma: float, most: float) -> np.ndarray:
         wide = np.take(out, np.where(at < n, at, 2 * n - 1 - at), axis)
         out = sum(w * np.take(wide, range(k, k + n), axis) for k, w in enumerate(weights))
     e = np.pad(out, 1, mode="edge")
-    lap = e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:] - 4 * out
-    flipped = -lap
+    return 4 * out - (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:])
+
+
+def enhance_plane(plane: np.ndarray, sigma: float, most: float) -> np.ndarray:
+    """Median, Gaussian, Laplacian, flipped normalisation of one plane."""
+    flipped = flipped_peaks(plane, sigma)
     flipped = flipped - flipped.min()
     return flipped / (flipped.max() or 1.0) * most
 
 
-def enhance(voxels: DataFrame, shape: tuple[int, int], sigma: float, most: float) -> DataFrame:
-    """Peak enhancement; planes are independent, and one plane is what a task holds."""
+def with_border(voxels: DataFrame, shape: tuple[int, int], size: int, border: int) -> DataFrame:
+    """voxels, once for each tile (ty, tx) of that size that they lie in or within `border` of."""
+    near = lambda a, n: F.explode(F.sequence(F.greatest(F.floor((F.col(a) - border) / size), F.lit(0)), F.least(F.floor((F.col(a) + border) / size), F.lit((n - 1) // size).cast("long"))))
+    return voxels.select("z", "y", "x", "v", near("y", shape[0]).alias("ty")).select("*", near("x", shape[1]).alias("tx"))
+
+
+def enhance(voxels: DataFrame, shape: tuple[int, int], sigma: float, most: float, size: int = 512) -> DataFrame:
+    """Peak enhancement. Each task has a tile of a plane and as much around it as the three stencils reach, so that planes
+    may be of any size; the smallest and largest value of a plane, which normalise it, are an aggregate behind that."""
+    border = 2 + len(gaussian_weights(sigma)) // 2
+    size = max(size, border)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros(shape)
-        plane[pdf["y"], pdf["x"]] = pdf["v"]
-        y, x = np.indices(shape)
-        return pd.DataFrame({"z": pdf["z"].iloc[0], "y": y.ravel(), "x": x.ravel(), "v": enhance_plane(plane, sigma, most).ravel()})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = [max(0, int(k) * size - border) for k in key[1:]]
+        high = [min(n, (int(k) + 1) * size + border) for k, n in zip(key[1:], shape)]
+        part = np.zeros([b - a for a, b in zip(low, high)])
+        part[pdf["y"] - low[0], pdf["x"] - low[1]] = pdf["v"]
+        own = [slice(int(k) * size - a, min((int(k) + 1) * size, n) - a) for k, a, n in zip(key[1:], low, shape)]
+        peaks = flipped_peaks(part, sigma)[*own]
+        y, x = np.indices(peaks.shape)
+        return pd.DataFrame({"z": int(key[0]), "y": y.ravel() + own[0].start + low[0], "x": x.ravel() + own[1].start + low[1], "v": peaks.ravel()})
 
-    return voxels.groupBy("z").applyInPandas(run, "z long, y long, x long, v double")
+    peaks = with_border(voxels, shape, size, border).groupBy("z", "ty", "tx").applyInPandas(run, "z long, y long, x long, v double")
+    return normalise(peaks, most, flip=False)
 
 
 def bin_mean_2d(voxels: DataFrame, height: int, width: int) -> DataFrame:

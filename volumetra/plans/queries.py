@@ -187,9 +187,21 @@ def gaussian_separable(spark, sf):
     return planes.gaussian(vox(spark, sf), PLANE, 1.0).withColumn("v", F.round("v", 6))
 
 
-@query()
+_ENHANCED = f"""WITH {VOX}, o AS (SELECT a.range - 1 AS d, b.range - 1 AS e FROM range(3) a, range(3) b),
+  med AS MATERIALIZED (SELECT z, y, x, list_sort(list(n))[5] AS v FROM (SELECT a.z, a.y, a.x, COALESCE(b.v, 0) AS n FROM vox a CROSS JOIN o LEFT JOIN vox b ON b.z = a.z AND b.y = a.y + d AND b.x = a.x + e) GROUP BY 1, 2, 3),
+  wt AS (SELECT k.range - 6 AS k, EXP(-0.5 * ((k.range - 6) / 1.6) ** 2) AS w FROM range(13) k), ww AS (SELECT k, w / (SELECT SUM(w) FROM wt) AS w FROM wt),
+  refl AS (SELECT p.range AS p, k, CASE WHEN (p.range + k + 128) % 128 < 64 THEN (p.range + k + 128) % 128 ELSE 127 - (p.range + k + 128) % 128 END AS q, w FROM range(64) p, ww),
+  g AS MATERIALIZED (SELECT z, refl.p AS y, x, SUM(w * v) AS v FROM med JOIN refl ON med.y = refl.q GROUP BY 1, 2, 3),
+  s AS MATERIALIZED (SELECT z, y, refl.p AS x, SUM(w * v) AS v FROM g JOIN refl ON g.x = refl.q GROUP BY 1, 2, 3),
+  l AS (SELECT a.z, a.y, a.x, 4 * a.v - COALESCE(n.v, a.v) - COALESCE(t.v, a.v) - COALESCE(w.v, a.v) - COALESCE(e.v, a.v) AS v FROM s a
+    LEFT JOIN s n ON n.z = a.z AND n.y = a.y - 1 AND n.x = a.x LEFT JOIN s t ON t.z = a.z AND t.y = a.y + 1 AND t.x = a.x
+    LEFT JOIN s w ON w.z = a.z AND w.y = a.y AND w.x = a.x - 1 LEFT JOIN s e ON e.z = a.z AND e.y = a.y AND e.x = a.x + 1)
+  SELECT l.z, y, x, ROUND((v - lo) / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 65533, 2) AS v FROM l JOIN (SELECT z, MIN(v) AS lo, MAX(v) AS hi FROM l GROUP BY z) m ON l.z = m.z"""
+
+
+@query(_ENHANCED)
 def peak_enhance(spark, sf):
-    return planes.enhance(vox(spark, sf), PLANE, 1.6, 65533)
+    return planes.enhance(vox(spark, sf), PLANE, 1.6, 65533, 24).withColumn("v", F.round("v", 2))
 
 
 @query(f"WITH {KERNEL} SELECT kz, ky, kx, w FROM kernel")
