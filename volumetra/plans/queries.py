@@ -12,6 +12,7 @@ from volumetra.functions.dtypes import clip, convert, detection_code
 from volumetra.operators import ball, components, cubes, feedback, planes, points, resnet, scoring, structures
 from volumetra.plans.detection import classify, detect
 from volumetra.settings import DetectionSettings
+from volumetra.sources import stacks
 from volumetra.sources.volumes import dense, grid
 from volumetra.streaming import ordered
 from volumetra.streaming import planes as streaming
@@ -519,6 +520,14 @@ def plane_range_scan(spark, sf):
     return planes.plane_range(vox(spark, sf), 2, 5)
 
 
+@query(f"WITH {VOX} SELECT z, y, x, CAST(LEAST(v, 65535) AS DOUBLE) AS v FROM vox WHERE z >= 2 AND z < 5")
+def tiff_stack_scan(spark, sf):
+    """The volume written as compressed planes, and a range of them read again: other planes' files are not opened for pixels."""
+    folder = components.step_folder(spark)
+    stacks.write_planes(vox(spark, sf), SHAPE, f"{folder}/planes", compression="lzw", rows=16, differences=True)
+    return planes.plane_range(stacks.read_planes(spark, f"{folder}/planes", each=1), 2, 5)
+
+
 @query(f"WITH {VOX} SELECT z, COALESCE(MIN(NULLIF(v, 0)), 65535) AS v, COUNT(DISTINCT v) <= 1 AS equal FROM vox GROUP BY z")
 def nonzero_min(spark, sf):
     return vox(spark, sf).groupBy("z").agg(structures.non_zero_min(F.col("v"), 65535).alias("v"), points.all_equal("v").alias("equal"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,63 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELLS_SCHEMA = "Type int, Marker array<struct<MarkerX: double, MarkerY: double, MarkerZ: double>>"
-# TIFF tags, and numpy kinds of TIFF sample formats.
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 279, 339
-KINDS = {1: "u", 2: "i", 3: "f"}
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 16: 8}
-
-
-def decode_tiff(data: bytes) -> list[np.ndarray]:
-    """Planes of an uncompressed single-channel TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF")
-    (at,), planes = struct.unpack(order + "I", data[4:8]), []
-    while at:
-        (n,), tags = struct.unpack(order + "H", data[at : at + 2]), {}
-        for k in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-            size = SIZES.get(kind, 4) * count
-            place = at + 10 + 12 * k
-            place = place if size <= 4 else struct.unpack(order + "I", data[place : place + 4])[0]
-            if kind in (3, 4):
-                tags[tag] = struct.unpack(order + str(count) + ("H" if kind == 3 else "I"), data[place : place + size])
-        if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1:
-            raise ValueError("only uncompressed TIFF with one sample a pixel is read")
-        shape = tags[HEIGHT][0], tags[WIDTH][0]
-        kind = np.dtype(f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{tags[BITS][0] // 8}")
-        strips = zip(tags[OFFSETS], tags.get(COUNTS, (shape[0] * shape[1] * kind.itemsize,)))
-        planes.append(np.frombuffer(b"".join(data[o : o + c] for o, c in strips), kind).reshape(shape))
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
-    return planes
-
-
-def encode_tiff(plane: np.ndarray) -> bytes:
-    """One plane as uncompressed TIFF."""
-    plane = np.ascontiguousarray(plane.astype(plane.dtype.newbyteorder("<")))
-    kind = {v: k for k, v in KINDS.items()}[plane.dtype.kind]
-    tags = [(WIDTH, 4, plane.shape[1]), (HEIGHT, 4, plane.shape[0]), (BITS, 3, plane.itemsize * 8), (COMPRESSION, 3, 1), (262, 3, 1), (OFFSETS, 4, 8 + 2 + 12 * 10 + 4), (SAMPLES, 3, 1), (278, 4, plane.shape[0]), (COUNTS, 4, plane.nbytes), (FORMAT, 3, kind)]
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + struct.pack("<I", 0) + plane.tobytes()
-
-
-def read_planes(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """z, y, x, v of a folder of TIFF planes; z follows the files' names in natural order. Planes are decoded where they are read."""
-    from pyspark.sql import Window
-
-    from volumetra.operators.points import natural_key
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    order = files.select("path").withColumn("z0", F.row_number().over(Window.orderBy(natural_key(F.col("path")))).cast("long") - 1)
+from volumetra.operators.points import natural_key
+from volumetra.sources.stacks import read_planes, write_files
+from volumetra.sources.tiff import decode_tiff, encode_stack, encode_tiff
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for z0, data in zip(b["z0"].to_pylist(), b["content"].to_pylist()):
-                for k, plane in enumerate(decode_tiff(data)):
-                    y, x = (i.ravel() for i in np.indices(plane.shape))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(plane.size, z0 + k)), pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.float64))], ["z", "y", "x", "v"])
+__all__ = ["decode_tiff", "encode_stack", "encode_tiff", "read_planes"]
 
-    return files.select("path", "content").join(order, "path").mapInArrow(run, "z long, y long, x long, v double")
+CELLS_SCHEMA = "Type int, Marker array<struct<MarkerX: double, MarkerY: double, MarkerZ: double>>"
 
 
 def list_channel_files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +27,6 @@ def list_channel_files(spark: SparkSession, path: str) -> DataFrame:
 def channel_files(spark: SparkSession, path: str, channels: list[int]) -> DataFrame:
     """file, channels (an array of channel and path) and complete, a row for each cube that has a file of the first of
     `channels`, in natural order of `place`; complete says whether it has one of every channel."""
-    from volumetra.operators.points import natural_key
-
     found = list_channel_files(spark, path).where(F.col("channel").isin(channels)).withColumn("cube", F.regexp_replace(F.lower("path"), r"ch\d+\.tif$", ""))
     every = found.groupBy("cube").agg(F.array_sort(F.collect_set(F.struct("channel", "path"))).alias("channels"))
     first = F.filter("channels", lambda c: c["channel"] == channels[0])
@@ -104,41 +51,20 @@ def read_cubes(files: DataFrame) -> DataFrame:
     return each.join(data, "path").select("file", "channel", "content").mapInArrow(run, "file string, channel int, dz long, dy long, dx long, v double")
 
 
-def encode_stack(planes: np.ndarray) -> bytes:
-    """Planes as directories of one uncompressed TIFF."""
-    out, at = [], 8
-    for k, plane in enumerate(planes):
-        one = encode_tiff(plane)
-        body, next_at = one[8:], at + len(one) - 8
-        n = struct.unpack("<H", body[:2])[0]
-        tags = bytearray(body)
-        place = 2 + 12 * next(i for i in range(n) if struct.unpack("<H", body[2 + 12 * i : 4 + 12 * i])[0] == OFFSETS) + 8
-        tags[place : place + 4] = struct.pack("<I", at + struct.unpack("<I", body[place : place + 4])[0] - 8)
-        tags[2 + 12 * n : 6 + 12 * n] = struct.pack("<I", next_at if k < len(planes) - 1 else 0)
-        out.append(bytes(tags))
-        at = next_at
-    return b"II*\0" + struct.pack("<I", 8) + b"".join(out)
-
-
 def cube_name(x: int, y: int, z: int, channel: int) -> str:
     return f"pCellz{z}y{y}x{x}Ch{channel}.tif"
 
 
-def write_cubes(cubes: DataFrame, folder: str, dtype: str = "uint16") -> DataFrame:
-    """Write each cube (x, y, z, channel, shape and cube: values in z, y, x order) as a TIFF of its own into a folder that
-    all executors reach; the names that were written. A retried task writes the same file again."""
-    import os
+def write_cubes(cubes: DataFrame, folder: str, dtype: str = "uint16", **how) -> None:
+    """Write each cube (x, y, z, channel, shape and cube: values in z, y, x order) as a TIFF file of its own, all or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = []
             for row in b.to_pylist():
-                names.append(cube_name(row["x"], row["y"], row["z"], row["channel"]))
-                with open(os.path.join(folder, names[-1]), "wb") as f:
-                    f.write(encode_stack(np.array(row["cube"]).reshape(row["shape"]).astype(dtype)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+                content = encode_stack(np.array(row["cube"]).reshape(row["shape"]).astype(dtype), **how)
+                yield pa.RecordBatch.from_arrays([pa.array([cube_name(row["x"], row["y"], row["z"], row["channel"])]), pa.array([content], pa.binary())], ["name", "content"])
 
-    return cubes.select("x", "y", "z", "channel", "shape", "cube").mapInArrow(run, "name string")
+    write_files(cubes.select("x", "y", "z", "channel", "shape", "cube").mapInArrow(run, "name string, content binary"), folder)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -147,8 +73,13 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("Type", F.explode("Marker").alias("m")).select(F.col("m.MarkerX").alias("x"), F.col("m.MarkerY").alias("y"), F.col("m.MarkerZ").alias("z"), F.col("Type").alias("type"))
 
 
-def write_cells(points: DataFrame, path: str) -> None:
-    rows = points.groupBy(F.col("type").alias("Type")).agg(F.collect_list(F.struct(*(F.col(a).alias(f"Marker{a.upper()}") for a in "xyz"))).alias("Marker"))
+def write_cells(points: DataFrame, path: str, most: int = 10_000) -> None:
+    """Points as XML, at most about `most` in an element; an element for a type may stand several times, which readers of
+    the format add up. No task has to hold all points of a type."""
+    each = F.struct(*(F.col(a).alias(f"Marker{a.upper()}") for a in "xyz"))
+    sizes = points.groupBy("type").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = points.join(F.broadcast(sizes), "type").withColumn("_part", F.pmod(F.xxhash64("x", "y", "z", F.monotonically_increasing_id()), F.col("_parts")))
+    rows = dealt.groupBy(F.col("type").alias("Type"), "_part").agg(F.collect_list(each).alias("Marker")).drop("_part")
     rows.write.format("xml").option("rootTag", "Marker_Data").option("rowTag", "Marker_Type").save(path)
 
 
