@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +116,34 @@ def resample_array(cube: np.ndarray, to: tuple[int, int, int]) -> np.ndarray:
 
 def flip(cubes: DataFrame, axis: str, size: int) -> DataFrame:
     return cubes.withColumn(f"d{axis}", size - 1 - F.col(f"d{axis}"))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], shape: tuple[int, int, int], channels: int = 1, block: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """idx and dense cubes (n, channels, z, y, x) out of rows in order of idx, whole cubes only, across batches; `block` cubes
+    are held at a time. Voxels without a row are 0."""
+    names = ["idx", *(["channel"] if channels > 1 else []), "dz", "dy", "dx", "v"]
+
+    def dense(idx: np.ndarray, *rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
+        ends = np.r_[first[1:], len(idx)]
+        for k in range(0, len(first), block):
+            part, n = slice(first[k], ends[min(k + block, len(ends)) - 1]), min(block, len(first) - k)
+            cube = np.zeros((n, channels, *shape), np.float32)
+            place = np.repeat(np.arange(n), (ends - first)[k : k + n])
+            cube[(place, rest[0][part] if channels > 1 else 0, *(i[part] for i in rest[-4:-1]))] = rest[-1][part]
+            yield idx[first[k : k + n]], cube
+
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b[c].to_numpy(zero_copy_only=False) for c in names]
+        last = np.searchsorted(new[0], new[0][-1])  # rows from here on may go on in the next batch
+        if last or (held and held[-1][0][-1] != new[0][0]):
+            whole = [np.concatenate(c) for c in zip(*held, [c[:last] for c in new])]
+            if len(whole[0]):
+                yield from dense(*whole)
+            held = []
+        held.append([c[last:] for c in new])
+    if held:
+        yield from dense(*(np.concatenate(c) for c in zip(*held)))

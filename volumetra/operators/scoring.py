@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.operators.cubes import resample_array
+from volumetra.operators.cubes import in_blocks, resample_array
 from volumetra.operators.structures import ARTIFACT, CELL, NO_CELL
 
 
@@ -45,36 +45,11 @@ def predictions(cubes: DataFrame, shape: tuple[int, int, int], scorer: Scorer, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer.load()
-
-        def scored(idx: np.ndarray, at: list[np.ndarray], v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Of rows in order of idx, whole cubes only."""
-            first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
-            ends = np.r_[first[1:], len(idx)]
-            for k in range(0, len(first), block):
-                part, n = slice(first[k], ends[min(k + block, len(ends)) - 1]), min(block, len(first) - k)
-                cube = np.zeros((n, channels, *shape), np.float32)
-                place = np.repeat(np.arange(n), (ends - first)[k : k + n])
-                cube[(place, at[0][part] if channels > 1 else 0, *(i[part] for i in at[-3:]))] = v[part]
-                if to is not None:
-                    cube = np.stack([[resample_array(c, to) for c in one] for one in cube]).astype(np.float32)
-                p = model.score(np.moveaxis(cube, 1, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(idx[first[k : k + n]]), pa.array(list(p.astype(np.float64)), pa.list_(pa.float64()))], ["idx", "p"])
-
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b[c].to_numpy(zero_copy_only=False) for c in names]
-            last = np.searchsorted(new[0], new[0][-1])  # rows from here on may go on in the next batch
-            if last or (held and held[-1][0][-1] != new[0][0]):
-                whole = [np.concatenate(c) for c in zip(*held, [c[:last] for c in new])]
-                if len(whole[0]):
-                    yield from scored(whole[0], whole[1:-1], whole[-1])
-                held = []
-            held.append([c[last:] for c in new])
-        if held:
-            whole = [np.concatenate(c) for c in zip(*held)]
-            yield from scored(whole[0], whole[1:-1], whole[-1])
+        for idx, cube in in_blocks(batches, shape, channels, block):
+            if to is not None:
+                cube = np.stack([[resample_array(c, to) for c in one] for one in cube]).astype(np.float32)
+            p = model.score(np.moveaxis(cube, 1, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(list(p.astype(np.float64)), pa.list_(pa.float64()))], ["idx", "p"])
 
     return cubes.where("idx IS NOT NULL").select(*names).repartition("idx").sortWithinPartitions("idx").mapInArrow(run, "idx long, p array<double>")
 

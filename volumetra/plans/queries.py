@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions.dtypes import clip, convert, detection_code
-from volumetra.operators import ball, components, cubes, feedback, planes, points, resnet, scoring, structures
+from volumetra.operators import augment, ball, components, cubes, feedback, planes, points, resnet, scoring, structures
 from volumetra.plans.detection import classify, detect
 from volumetra.settings import DetectionSettings
 from volumetra.sources import stacks
@@ -367,6 +367,21 @@ def flip_axis(spark, sf):
     return cubes.flip(_cubes(spark, sf), "x", 5)
 
 
+_FIVE = dict(z=5, y=5, x=5)
+_DRAWN = "CAST('0x' || substr(md5('4-2-' || idx || '-{}'), 1, 8) AS BIGINT) < 0.5 * 4294967296"
+
+
+@query(f"""WITH {POINTS}, {VOX}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0, CAST(z - 2 AS BIGINT) AS z0, {_DRAWN.format('affine')} AS moved, {_DRAWN.format('flip x')} AS flipped FROM pts),
+  g AS (SELECT *, a.range AS dz, b.range AS dy, c.range AS dx, CASE WHEN flipped THEN 4 - c.range ELSE c.range END AS ox FROM f, range(5) a, range(5) b, range(5) c WHERE x0 BETWEEN 0 AND 59 AND y0 BETWEEN 0 AND 59 AND z0 BETWEEN 0 AND 2),
+  s AS (SELECT *, CASE WHEN moved THEN LEAST(GREATEST(dz - 1, 0), 4) ELSE dz END AS sz, CASE WHEN moved THEN 4 - ox ELSE dy END AS sy, CASE WHEN moved THEN dy ELSE ox END AS sx FROM g)
+  SELECT idx, dz, dy, dx, CAST(v AS DOUBLE) AS v FROM s JOIN vox ON vox.z = z0 + sz AND vox.y = y0 + sy AND vox.x = x0 + sx""")
+def augment_cubes(spark, sf):
+    """A quarter turn around z with a step of one voxel along z, and a flip along x, each of about half of the cubes."""
+    how = augment.Augmentation(likelihood=0.5, flip=("x",), rotate={"z": np.pi / 2}, translate={"z": 0.2}, seed=4)
+    some = cubes.extract(cubes.full_only(cubes.bounds(some_points(spark, sf), _FIVE), WHOLE), vox(spark, sf), 16)
+    return augment.augmented(some, (5, 5, 5), how, epoch=2).withColumn("v", F.round("v", 6))
+
+
 @query(f"""WITH {_CUBES}, ax AS (SELECT 'z' AS a, t.range AS t, LEAST(GREATEST((t.range + 0.5) * 3 / 6.0 - 0.5, 0), 2) AS s, 2 AS top FROM range(6) t UNION ALL SELECT 'p', t.range, LEAST(GREATEST((t.range + 0.5) * 5 / 8.0 - 0.5, 0), 4), 4 FROM range(8) t),
   cr AS (SELECT a, t, CAST(FLOOR(s) AS BIGINT) AS i, 1 - (s - FLOOR(s)) AS w FROM ax UNION ALL SELECT a, t, CAST(LEAST(FLOOR(s) + 1, top) AS BIGINT), s - FLOOR(s) FROM ax)
   SELECT idx, cz.t AS tz, cy.t AS ty, cx.t AS tx, ROUND(SUM(cz.w * cy.w * cx.w * v), 6) AS v FROM cube JOIN cr cz ON cz.a = 'z' AND cz.i = dz JOIN cr cy ON cy.a = 'p' AND cy.i = dy JOIN cr cx ON cx.a = 'p' AND cx.i = dx
