@@ -40,10 +40,11 @@ def _table(rows: list[tuple]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("dz", "dy", "dx", "w"), r))) for r in rows))
 
 
-def sent(bright: DataFrame, kernel: np.ndarray) -> DataFrame:
-    """z, y, x of every place that a bright voxel counts for, and its weight w there."""
+def sent(bright: DataFrame, kernel: np.ndarray, offset: bool = False) -> DataFrame:
+    """z, y, x of every place that a bright voxel counts for, and its weight w there; if asked for, the offset dz, dy, dx too."""
     rows = bright.select("z", "y", "x", F.explode(_table(offsets(kernel))).alias("k"))
-    return rows.select(*((F.col(a) + F.col(f"k.d{a}")).alias(a) for a in "zyx"), F.col("k.w").alias("w"))
+    steps = [F.col(f"k.d{a}").alias(f"d{a}") for a in "zyx"] if offset else []
+    return rows.select(*((F.col(a) + F.col(f"k.d{a}")).alias(a) for a in "zyx"), F.col("k.w").alias("w"), *steps)
 
 
 def valid(shape: tuple[int, int, int], kernel: np.ndarray) -> dict[str, tuple[int, int]]:

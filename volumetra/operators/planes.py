@@ -23,6 +23,15 @@ def plane_range(voxels: DataFrame, start: int, end: int) -> DataFrame:
     return rows if end < 0 else rows.where(F.col("z") < end)
 
 
+def misshapen(voxels: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """z and message of each plane that is not dense or not of that shape, by one aggregate; none, if all is well."""
+    h, w = shape
+    seen = voxels.groupBy("z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"), F.count("v").alias("known"))
+    fits = (F.col("y0") == 0) & (F.col("x0") == 0) & (F.col("y1") == h - 1) & (F.col("x1") == w - 1) & (F.col("n") == h * w) & (F.col("known") == h * w)
+    said = F.format_string("rows %d to %d, columns %d to %d, %d pixels, %d of them known; expected %d x %d", "y0", "y1", "x0", "x1", "n", "known", F.lit(h), F.lit(w))
+    return seen.where(~F.coalesce(fits, F.lit(False))).select("z", said.alias("message"))
+
+
 def plane_stats(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("z").agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), F.stddev_samp("v").alias("v_std"))
 
@@ -226,6 +235,11 @@ def pad_centre(voxels: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -
     return voxels.select("z", targets("y", shape[0], to[0]).alias("y"), "x", "v").select("z", "y", targets("x", shape[1], to[1]).alias("x"), "v")
 
 
+def in_sphere(voxels: DataFrame, centre: dict[str, float], radius: dict[str, float]) -> DataFrame:
+    """Voxels in an ellipsoid, its surface included."""
+    return voxels.where(sum((F.pow((F.col(a) - c) / radius[a], F.lit(2)) for a, c in centre.items()), F.lit(0.0)) <= 1)
+
+
 def sampled_stats(voxels: DataFrame, planes: int, sampled: int) -> DataFrame:
     """Mean and sample deviation over every step-th plane."""
     step = max(1, planes // sampled)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.operators.ball import ball_kernel
+from volumetra.operators.ball import ball_kernel, sphere
 from volumetra.operators.components import label_points
 
 #: Codes of point types. The artifact's is a choice of this library.
@@ -84,11 +85,35 @@ def split_points(points: np.ndarray, ball: tuple[int, int], fraction: Fraction,
     return best
 
 
-def split_structures(labelled: DataFrame, ball: tuple[int, int], fraction: Fraction, rounds: int, correct: bool = False) -> DataFrame:
-    """sid, x, y and z of the centres of each structure. Structures to split are bounded by the largest cluster size."""
+def split_or_error(labelled: DataFrame, ball: tuple[int, int], fraction: Fraction, rounds: int, correct: bool = False, split: Callable[..., np.ndarray] = split_points) -> DataFrame:
+    """sid, x, y, z and error of the centres of each structure; a structure that cannot be split gives one row with its
+    error and no place, and costs the others nothing. Structures to split are bounded by the largest cluster size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = split_points(pdf[["x", "y", "z"]].to_numpy(), ball, fraction, rounds, correct=correct)
-        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+        try:
+            out = split(pdf[["x", "y", "z"]].to_numpy(), ball, fraction, rounds, correct=correct)
+            rows = {"x": out[:, 0], "y": out[:, 1], "z": out[:, 2], "error": None}
+        except Exception as e:
+            rows = {"x": [None], "y": [None], "z": [None], "error": [f"{type(e).__name__}: {e}"]}
+        frame = pd.DataFrame(rows).astype({"x": "Int64", "y": "Int64", "z": "Int64"})
+        return frame.assign(sid=pdf["sid"].iloc[0])[["sid", "x", "y", "z", "error"]]
+
+    return labelled.groupBy("sid").applyInPandas(run, "sid long, x long, y long, z long, error string")
 
-    return labelled.groupBy("sid").applyInPandas(run, "sid long, x long, y long, z long")
+
+def split_structures(labelled: DataFrame, ball: tuple[int, int], fraction: Fraction, rounds: int, correct: bool = False) -> DataFrame:
+    """sid, x, y and z of the centres of each structure; one that cannot be split fails the job, with its sid."""
+    rows = split_or_error(labelled, ball, fraction, rounds, correct)
+    broken = F.raise_error(F.concat(F.lit("structure "), F.col("sid").cast("string"), F.lit(": "), F.col("error"))).cast("long")
+    return rows.select("sid", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("x")).alias("x"), "y", "z")
+
+
+def stamped(points: DataFrame, shape: tuple[int, int, int], radius: int) -> DataFrame:
+    """z, y, x and idx of a ball around each point (idx, x, y, z, whole numbers); of balls that overlap, the smallest idx
+    shows. Balls that do not lie in the volume as a whole are left out. Only the balls' voxels are rows."""
+    inside = points
+    for a, n in zip("zyx", shape):
+        inside = inside.where(F.col(a).between(radius, n - 1 - radius))
+    steps = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"d{a}") for a, v in zip("zyx", at))) for at in sphere(radius)))
+    each = inside.select("idx", "z", "y", "x", F.explode(steps).alias("s"))
+    return each.groupBy(*((F.col(a) + F.col(f"s.d{a}")).cast("long").alias(a) for a in "zyx")).agg(F.min("idx").alias("idx"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 from functools import partial
 
@@ -14,7 +14,18 @@ from volumetra.settings import DetectionSettings, check_volume
 
 
 def detect(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSettings) -> DataFrame:
-    """x, y, z and type of the points found in a volume. z counts from the volume's first plane, whatever range is looked at."""
+    """x, y, z and type of the points found in a volume. z counts from the volume's first plane, whatever range is looked at.
+    A structure that cannot be split fails the job; `detect_with_errors` goes on without it."""
+    return _detect(voxels, shape, settings, structures.split_structures)[0]
+
+
+def detect_with_errors(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSettings, split: Callable = structures.split_points) -> tuple[DataFrame, DataFrame]:
+    """The points as from `detect`, and sid and error of structures that could not be split, which have no point."""
+    found, parts = _detect(voxels, shape, settings, lambda *how: components.written(structures.split_or_error(*how, split=split)))
+    return found.where("x IS NOT NULL"), parts.where("error IS NOT NULL").select("sid", "error")
+
+
+def _detect(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSettings, split: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
     check_volume(settings.dtype, shape)
     end = shape[0] if settings.end_plane < 0 else min(shape[0], settings.end_plane)
     depth, plane = end - settings.start_plane, shape[1:]
@@ -34,17 +45,14 @@ def detect(voxels: DataFrame, shape: tuple[int, int, int], settings: DetectionSe
     kinds = structures.centres(labelled).withColumn("kind", structures.triage(F.col("volume"), settings.max_cell_volume, settings.max_cluster_size))
     single = kinds.where("kind != 'needs_split'").select("x", "y", "z", F.when(F.col("kind") == "cell", structures.UNKNOWN).otherwise(structures.ARTIFACT).alias("type"))
     large = labelled.join(kinds.where("kind = 'needs_split'").select("sid"), "sid", "left_semi")
-    parts = structures.split_structures(large, settings.split_ball, Fraction(str(settings.split_ball_overlap_fraction)), settings.n_splitting_iter, settings.correct_split_offset)
-    return single.unionByName(parts.select("x", "y", "z", F.lit(structures.UNKNOWN).alias("type")))
+    parts = split(large, settings.split_ball, Fraction(str(settings.split_ball_overlap_fraction)), settings.n_splitting_iter, settings.correct_split_offset)
+    return single.unionByName(parts.select("x", "y", "z", F.lit(structures.UNKNOWN).alias("type"))), parts
 
 
-def classify(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int, int, int], cube: tuple[int, int, int], to: tuple[int, int, int], scorer: scoring.Scorer, norms: Sequence[tuple[float, float]] | None = None, norm_planes: int | None = None) -> DataFrame:
-    """Points (idx, x, y, z) whose cube (sizes z, y, x) lies inside the volume, typed by the model; the others are left out.
-    channels: the signal's voxels, then the background's if there is one. Each is normalised by its (mean, std) in norms, or
-    by those of norm_planes of its own planes, if either is given."""
-    wanted = getattr(scorer, "channels", len(channels))
-    if wanted != len(channels):
-        raise ValueError(f"the model takes {wanted} channels, but {len(channels)} were given")
+def channel_cubes(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int, int, int], cube: tuple[int, int, int], norms: Sequence[tuple[float, float]] | None = None, norm_planes: int | None = None) -> DataFrame:
+    """idx, channel, dz, dy, dx and v of the cubes (sizes z, y, x) around points (idx, x, y, z) that lie inside the volume; the
+    others are left out. channels: the signal's voxels, then the background's if there is one. Each is normalised by its
+    (mean, std) in norms, or by those of norm_planes of its own planes, if either is given."""
     if norms is None and norm_planes is not None:
         norms = [tuple(planes.sampled_stats(c, shape[0], norm_planes).first()) for c in channels]
     bounded = cubes.full_only(cubes.bounds(points, dict(zip("zyx", cube))), dict(zip("zyx", shape)))
@@ -55,5 +63,26 @@ def classify(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int,
             one = one.withColumn("v", (F.col("v") - norms[k][0]) / norms[k][1])
         one = one.withColumn("channel", F.lit(k))
         voxels = one if voxels is None else voxels.unionByName(one)
-    scores = scoring.predictions(cubes.extract(bounded, voxels), cube, scorer, to if to != cube else None, len(channels))
-    return scoring.join_back(points, scores)
+    return cubes.extract(bounded, voxels)
+
+
+def classify(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int, int, int], cube: tuple[int, int, int], to: tuple[int, int, int], scorer: scoring.Scorer, norms: Sequence[tuple[float, float]] | None = None, norm_planes: int | None = None) -> DataFrame:
+    """Points (idx, x, y, z) whose cube lies inside the volume, typed by the model; the others are left out. Cubes and norms
+    are those of `channel_cubes`; cubes are resampled to the model's sizes `to`."""
+    wanted = getattr(scorer, "channels", len(channels))
+    if wanted != len(channels):
+        raise ValueError(f"the model takes {wanted} channels, but {len(channels)} were given")
+    each = channel_cubes(points, channels, shape, cube, norms, norm_planes)
+    return scoring.join_back(points, scoring.predictions(each, cube, scorer, to if to != cube else None, len(channels)))
+
+
+def classify_plane(points: DataFrame, channels: Sequence[DataFrame], shape: tuple[int, int], voxel_sizes: tuple[float, ...], network: tuple[tuple[int, int], tuple[float, ...]], scorer: scoring.Scorer, **norms) -> DataFrame:
+    """2-D data (points idx, x, y and voxels y, x, v) through `classify`, as a volume of one plane whose z voxel size is the
+    network's, so that nothing is rescaled in z. network: sizes y, x of the model's cubes, and its voxel sizes. All points
+    share one plane; batches and joins deal by row and column, not by plane."""
+    data, own = cubes.promoted(voxel_sizes, network[1])
+    to = (1, *network[0])
+    cube = tuple(cubes.data_voxels(n, a, b) for n, a, b in zip(to, own, data))
+    flat = points.withColumn("z", F.lit(0.0))
+    typed = classify(flat, [c.withColumn("z", F.lit(0).cast("long")) for c in channels], (1, *shape), cube, to, scorer, **norms)
+    return typed.drop("z")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetra.functions.dtypes import clip, convert, detection_code
-from volumetra.operators import augment, ball, components, cubes, feedback, planes, points, resnet, scoring, structures
-from volumetra.plans.detection import classify, detect
+from volumetra.operators import augment, ball, components, cubes, feedback, planes, points, resnet, scoring, structures, training
+from volumetra.plans.detection import channel_cubes, classify, detect
+from volumetra.plans.detection import classify_plane as plane_plan
 from volumetra.settings import DetectionSettings
 from volumetra.sources import stacks
-from volumetra.sources.volumes import dense, grid
+from volumetra.sources.volumes import dense
 from volumetra.streaming import ordered
 from volumetra.streaming import planes as streaming
 
@@ -205,10 +206,14 @@ def peak_enhance(spark, sf):
     return planes.enhance(vox(spark, sf), PLANE, 1.6, 65533, 24).withColumn("v", F.round("v", 2))
 
 
-@query(f"WITH {KERNEL} SELECT kz, ky, kx, w FROM kernel")
+@query(f"""WITH {SPOT}, {bright_sql("spot", K_SPOT, "bright")}, {KERNEL}
+  SELECT 1 - kz AS dz, 1 - ky AS dy, 1 - kx AS dx, w, COUNT(*) AS n FROM bright b, kernel WHERE w > 0 AND b.z + 1 - kz BETWEEN 1 AND 5 AND b.y + 1 - ky BETWEEN 1 AND 62 AND b.x + 1 - kx BETWEEN 1 AND 62 GROUP BY ALL""")
 def ball_kernel(spark, sf):
-    rows = [(*map(int, at), int(w)) for at, w in np.ndenumerate(ball.ball_kernel(3, 3))]
-    return spark.createDataFrame(rows, "kz long, ky long, kx long, w long")
+    """The kernel's weights by their offsets, and how many bright voxels count somewhere in the volume by each."""
+    at = ball.sent(spot_bright(spark, sf), ball.ball_kernel(3, 3), offset=True)
+    for a, (first, last) in ball.valid(SHAPE, ball.ball_kernel(3, 3)).items():
+        at = at.where(F.col(a).between(first, last))
+    return at.groupBy("dz", "dy", "dx", "w").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OVERLAP} SELECT * FROM overlap")
@@ -432,6 +437,27 @@ def classify_two_channels(spark, sf):
     return classify(some_points(spark, sf), [signal, background], SHAPE, (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2)), [(20, 8), (16, 4)])
 
 
+@query(f"""WITH {POINTS}, {VOX}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0 FROM pts),
+  e AS (SELECT idx, SUM(((y - y0) * 5 + x - x0 - 12) * (v - 20)) AS e FROM (SELECT * FROM f WHERE x0 BETWEEN 0 AND 59 AND y0 BETWEEN 0 AND 59) g JOIN vox v ON v.z = 3 AND v.y >= y0 AND v.y < y0 + 5 AND v.x >= x0 AND v.x < x0 + 5 GROUP BY idx)
+  SELECT idx, x, y, CASE WHEN e >= 0 THEN 1 ELSE 2 END AS type FROM pts JOIN e USING (idx)""")
+def classify_plane(spark, sf):
+    """2-D points and one plane of voxels, with whole-numbered weights, so that scores are exact."""
+    plane = vox(spark, sf).where("z = 3").select("y", "x", "v")
+    w = np.arange(25.0) - 12
+    scorer = scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2))
+    return plane_plan(some_points(spark, sf).drop("z"), [plane], PLANE, (2.0, 2.0), ((5, 5), (5.0, 2.0, 2.0)), scorer, norms=[(20, 1)])
+
+
+@query()
+def classify_fitted(spark, sf):
+    """Weights fitted on labels (whether a cube is brighter than most), then all points typed by them."""
+    given = components.written(channel_cubes(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), [(20, 8)]))
+    totals = given.groupBy("idx").agg(F.sum("v").alias("total"))
+    labels = totals.join(F.broadcast(totals.agg(F.avg("total").alias("mean")))).select("idx", F.when(F.col("total") > F.col("mean"), 2).otherwise(1).alias("type"))
+    fitted = training.fit(given, labels, (3, 5, 5), test_share=0.2, seed=1)
+    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (3, 5, 5), fitted, [(20, 8)])
+
+
 @query()
 def classify_residual(spark, sf):
     """Cubes resampled to 24 x 24 x 12 and scored by an untrained residual network; its labels mean nothing."""
@@ -471,10 +497,28 @@ def pad_center(spark, sf):
     return planes.pad_centre(vox(spark, sf), PLANE, (71, 68))
 
 
-@query(f"WITH {VOX} SELECT z, y, x FROM vox WHERE ((z - 3) / 3.0) ** 2 + ((y - 32) / 20.0) ** 2 + ((x - 32) / 10.0) ** 2 <= 1")
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE ((z - 3) / 3.0) ** 2 + ((y - 32) / 20.0) ** 2 + ((x - 32) / 10.0) ** 2 <= 1")
 def sphere_mask(spark, sf):
-    r = sum((F.pow((F.col(a) - c) / n, F.lit(2)) for a, c, n in (("z", 3, 3.0), ("y", 32, 20.0), ("x", 32, 10.0))), F.lit(0.0))
-    return grid(spark, SHAPE).where(r <= 1)
+    return planes.in_sphere(vox(spark, sf), dict(z=3, y=32, x=32), dict(z=3.0, y=20.0, x=10.0))
+
+
+_WHOLE = POINTS + ", w AS (SELECT idx, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM pts)"
+
+
+@query(f"""WITH {_WHOLE} SELECT z + c.range AS z, y + b.range AS y, x + a.range AS x, MIN(idx) AS idx FROM w, range(-2, 3) a, range(-2, 3) b, range(-2, 3) c
+  WHERE z BETWEEN 2 AND 4 AND y BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61 AND a.range * a.range + b.range * b.range + c.range * c.range <= 4 GROUP BY 1, 2, 3""")
+def stamp_spheres(spark, sf):
+    whole = some_points(spark, sf).select("idx", *(F.col(a).cast("long").alias(a) for a in "zyx"))
+    return structures.stamped(whole, SHAPE, 2)
+
+
+@query("""WITH s AS (SELECT l_linenumber - 1 AS z, l_orderkey % 64 AS y, l_partkey % 64 AS x, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+  p AS (SELECT z, MIN(y) AS a, MAX(y) AS b, MIN(x) AS c, MAX(x) AS d, COUNT(*) AS n, COUNT(v) AS k FROM s GROUP BY z)
+  SELECT CAST(z AS BIGINT) AS z, format('rows {} to {}, columns {} to {}, {} pixels, {} of them known; expected 64 x 64', a, b, c, d, n, k) AS message FROM p WHERE NOT (a = 0 AND b = 63 AND c = 0 AND d = 63 AND n = 4096 AND k = 4096)""")
+def plane_shape_errors(spark, sf):
+    """Planes of the sums as they are, before gaps are filled."""
+    rows = read(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_orderkey") % 64).alias("y"), (F.col("l_partkey") % 64).alias("x"), F.col("l_quantity").alias("v"))
+    return planes.misshapen(rows.groupBy("z", "y", "x").agg(F.sum("v").alias("v")), PLANE)
 
 
 def _two(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -510,8 +554,7 @@ def list_union(spark, sf):
 
 @query(f"WITH {_TWO} SELECT * FROM a INTERSECT SELECT * FROM c")
 def list_intersection(spark, sf):
-    a, b = _two(spark, sf)
-    return a.intersect(b)
+    return points.common(*_two(spark, sf))
 
 
 @query("SELECT page_id, list_has_any(string_split(url, '/'), ['a', 'blog', 'news', 'docs']) AS overlaps FROM pages")
@@ -527,7 +570,7 @@ def duplicates(spark, sf):
 
 @query(f"WITH {POINTS} SELECT z AS a0, y AS a1, x AS a2 FROM pts WHERE type = 2")
 def axis_reorder(spark, sf):
-    return some_points(spark, sf).where("type = 2").select(F.col("z").alias("a0"), F.col("y").alias("a1"), F.col("x").alias("a2"))
+    return points.as_layer(some_points(spark, sf), 2)
 
 
 @query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z >= 2 AND z < 5")

@@ -113,3 +113,7 @@ def bins_of(sizes, widths):
     if isinstance(sizes, dict):
         return {k: int(v / widths[k]) for k, v in sizes.items()}
     return tuple(int(a / b) for a, b in zip(sizes, widths))
+
+
+#: Steps from a pixel to those that share an edge with it.
+FOUR_CONNECTED = ((-1, 0), (0, -1), (0, 1), (1, 0))

@@ -51,6 +51,18 @@ def read_cubes(files: DataFrame) -> DataFrame:
     return each.join(data, "path").select("file", "channel", "content").mapInArrow(run, "file string, channel int, dz long, dy long, dx long, v double")
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path and length of all files below a folder, whose contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+
+def subfolders(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the folders in a folder that hold files, at any depth, and how many."""
+    root = F.regexp_replace(F.lit(path), "^file:/+", "/")
+    rest = F.substring(F.regexp_replace("path", "^file:/+", "/"), F.length(F.regexp_replace(root, "/+$", "")) + 2, 1 << 20)
+    return list_files(spark, path).select(F.regexp_extract(rest, "^([^/]+)/", 1).alias("name")).where("name != ''").groupBy("name").agg(F.count("*").alias("files"))
+
+
 def cube_name(x: int, y: int, z: int, channel: int) -> str:
     return f"pCellz{z}y{y}x{x}Ch{channel}.tif"
 
@@ -87,8 +99,8 @@ def write_structures(rows: DataFrame, path: str) -> None:
     rows.select("id", "x", "y", "z", "volume", "volume_type").write.option("header", True).csv(path)
 
 
-def read_training(spark: SparkSession, text: str) -> DataFrame:
-    """The `data` list of a training file: flat mappings of names to scalars."""
+def training_rows(text: str) -> list[dict[str, str]]:
+    """The `data` list of a training file: flat mappings of names to scalars, as text."""
     rows: list[dict] = []
     inside = False
     for line in text.splitlines():
@@ -106,9 +118,20 @@ def read_training(spark: SparkSession, text: str) -> DataFrame:
             if item:
                 name, _, value = item.partition(":")
                 rows[-1][name.strip()] = value.strip().strip("'\"")
-    kinds = {"cube_dir": "string", "cell_def": "string", "type": "string", "signal_channel": "int", "bg_channel": "int", "signal_mean": "double", "signal_std": "double", "bg_mean": "double", "bg_std": "double"}
-    raw = spark.createDataFrame([tuple(r.get(k) for k in kinds) for r in rows], ", ".join(f"{k} string" for k in kinds))
-    return raw.select(*(F.col(k).cast(t).alias(k) for k, t in kinds.items()))
+    return rows
+
+
+TRAINING_KINDS = {"cube_dir": "string", "cell_def": "string", "type": "string", "signal_channel": "int", "bg_channel": "int", "signal_mean": "double", "signal_std": "double", "bg_mean": "double", "bg_std": "double"}
+
+
+def training_table(spark: SparkSession, rows: list[dict[str, str]]) -> DataFrame:
+    """The items as a table, numbered by definition."""
+    raw = spark.createDataFrame([(k, *(r.get(c) for c in TRAINING_KINDS)) for k, r in enumerate(rows)], "definition long, " + ", ".join(f"{k} string" for k in TRAINING_KINDS))
+    return raw.select("definition", *(F.col(k).cast(t).alias(k) for k, t in TRAINING_KINDS.items()))
+
+
+def read_training(spark: SparkSession, text: str) -> DataFrame:
+    return training_table(spark, training_rows(text)).drop("definition")
 
 
 def training_text(rows: list[dict]) -> str:

@@ -29,6 +29,7 @@ class Ordered:
 
     def __init__(self, folder: str, planes: int, step: Step, state: dict[str, str], out: dict[str, str], group: int = 1):
         self.folder, self.planes, self.step, self.state, self.out, self.group = folder.rstrip("/"), planes, step, state, out, group
+        self.on_plane: Callable[[int], None] | None = None  # called on the driver for each plane, once its step is written
 
     def _at(self, batch: int, name: str) -> str:
         return f"{self.folder}/state/{batch}/{name}"
@@ -58,6 +59,9 @@ class Ordered:
             tables[name].write.mode("overwrite").parquet(self._at(batch, name))
         rows.where(F.col("z") >= end).write.mode("overwrite").parquet(self._at(batch, "waiting"))
         spark.createDataFrame([(end,)], "next long").coalesce(1).write.mode("overwrite").parquet(self._at(batch, "next"))
+        if self.on_plane:
+            for z in range(begin, end):
+                self.on_plane(z)
         if batch > 1:
             old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{batch - 2}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
