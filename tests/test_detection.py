@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 
 from volumetra.operators import planes, structures
-from volumetra.plans.detection import detect
+from volumetra.plans.detection import detect, detect_with_errors
 from volumetra.settings import DetectionSettings
+from volumetra.sources.volumes import spheres
 
 
 def sphere(shape, centre, radius):
@@ -93,3 +94,55 @@ def test_enhanced_planes_are_composed_of_the_checked_stencils(spark):
     want = planes.normalise(planes.laplacian(planes.gaussian(planes.median3(table, shape), shape, 0.9)), 1000.0)
     got = {(r.z, r.y, r.x): r.v for r in planes.enhance(table, shape, 0.9, 1000.0).collect()}
     assert all(abs(got[r.z, r.y, r.x] - r.v) < 1e-6 for r in want.collect()) and len(got) == volume.size
+
+
+def test_eight_spots_with_defaults(spark):
+    """One voxel of the largest value, blurred, at each of eight places of a true cube."""
+    volume = np.zeros((100, 100, 100))
+    volume[np.ix_((25, 75), (25, 75), (25, 75))] = 65535
+    weights = np.array(planes.gaussian_weights(2.0))
+    for axis in range(3):
+        volume = sum(w * np.roll(volume, k - 8, axis) for k, w in enumerate(weights))
+    got = [tuple(r) for r in detect(rows(spark, volume.astype(np.uint16)), volume.shape, DetectionSettings()).select("x", "y", "z").collect()]
+    assert len(got) == 8 and all(min(abs(v - c) for c in (25, 75)) <= 1 for g in got for v in g)
+
+
+def test_spheres_of_the_source(spark):
+    table = spheres(spark, (9, 12, 12), 2, [(4, 5, 4), (8, 6, 4)], 7.0)
+    got = np.zeros((9, 12, 12))
+    for r in table.collect():
+        got[r.z, r.y, r.x] = r.v
+    assert (got == 7.0 * (sphere(got.shape, (4, 5, 4), 2) | sphere(got.shape, (8, 6, 4), 2))).all()
+
+
+def broken_for_some(points, ball, fraction, n, correct=False):
+    if points[:, 0].min() < 40:
+        raise ValueError("no kernel fits")
+    return structures.split_points(points, ball, fraction, n, correct=correct)
+
+
+def test_errors_cost_their_structure_only(spark):
+    volume = np.zeros((20, 100, 100))
+    for c in ((30, 20, 10), (39, 20, 10), (60, 70, 10), (69, 70, 10)):
+        volume[sphere(volume.shape, c, 5)] = 100
+    s = DetectionSettings(dtype="float32", n_sds_above_mean_thresh=1.0)
+    want = found(spark, volume, dtype="float32")
+    points, errors = detect_with_errors(rows(spark, volume), volume.shape, s, broken_for_some)
+    assert sorted(tuple(r) for r in points.select("x", "y", "z", "type").collect()) == [w for w in want if w[0] > 50]
+    assert [r.error for r in errors.collect()] == ["ValueError: no kernel fits"]
+    points, errors = detect_with_errors(rows(spark, volume), volume.shape, s)
+    assert points.count() == len(want) == 4 and errors.count() == 0
+
+
+def test_a_structure_that_fails_names_itself(spark):
+    table = spark.createDataFrame([(17, 3, 4, 5)], "sid long, x long, y long, z long")
+    with pytest.raises(Exception, match="structure 17: TypeError"):
+        structures.split_structures(table, (3, 3), None, 3).collect()
+
+
+def test_plane_shapes(spark):
+    volume = np.ones((4, 3, 5))
+    table = rows(spark, volume).where("NOT (z = 1 AND x = 2 AND y = 1) AND NOT (z = 3 AND x = 4)")
+    bad = {r.z: r.message for r in planes.misshapen(table, (3, 5)).collect()}
+    assert set(bad) == {1, 3} and bad[1] == "rows 0 to 2, columns 0 to 4, 14 pixels, 14 of them known; expected 3 x 5"
+    assert planes.misshapen(rows(spark, volume), (3, 5)).count() == 0

@@ -87,7 +87,10 @@ def stream(spark, folder, mask, order, many=1):
 def test_feedback_of_a_stream(spark, tmp_path, bright, batch, order, many):
     kernel = ball.ball_kernel(XY, Z)
     fed = ordered.feedback_marks(str(tmp_path), SHAPE, XY, Z, RATIO, batch=batch, size=9)
+    seen = []
+    fed.on_plane = seen.append
     fed.run(stream(spark, tmp_path, bright, order, many))
+    assert seen == list(range(SHAPE[0]))  # each plane once, in order
     assert places(fed.result(spark, "marks")) == where(sequential(bright, kernel, RATIO * int(kernel.sum()), batch))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def training_set(spark: SparkSession, defined: DataFrame) -> DataFrame:
         )).alias("c"),
     ).where("c.channel IS NOT NULL")
     sizes = each.groupBy("definition").agg(F.count("*").alias("wanted"))
-    listed = spark.read.format("binaryFile").load(sorted({d.cube_dir for d in known})).select("path")
+    listed = spark.read.format("binaryFile").load(sorted({re.sub("^file:/+", "/", d.cube_dir).rstrip("/") for d in known})).select("path")  # each folder once
     listed = listed.select("path", F.regexp_replace(plain(F.col("path")), "/[^/]*$", "").alias("folder"), F.regexp_extract(F.lower("path"), r"ch(\d+)\.tif$", 1).alias("number"))
     listed = listed.where("number != ''").select("path", "folder", F.col("number").cast("int").alias("channel"), F.regexp_replace(F.lower("path"), r"ch\d+\.tif$", "").alias("cube"))
     met = listed.join(F.broadcast(each), (listed.folder == each.folder) & (listed.channel == F.col("c.channel")))
