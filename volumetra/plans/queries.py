@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -18,15 +19,19 @@ from volumetra.sources.volumes import dense
 from volumetra.streaming import ordered
 from volumetra.streaming import planes as streaming
 
-SHAPE = (7, 64, 64)
-PLANE = SHAPE[1:]
+#: Planes of the volumes, edge of their planes for small tables, and rows of lineitem for each such square.
+PLANES, EDGE, ROWS = 7, 64, 60_000
 K, K_SPOT, RATIO = 1.0, 1.5, Fraction(3, 5)
 
-VOX = """vox AS (SELECT g.z, g.y, g.x, COALESCE(h.v, 0) AS v
-  FROM (SELECT a.range AS z, b.range AS y, c.range AS x FROM range(7) a, range(64) b, range(64) c) g
-  LEFT JOIN (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_orderkey % 64 AS y, l_partkey % 64 AS x, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3) h
+E = "(SELECT e FROM dim)"
+DIM = f"dim AS MATERIALIZED (SELECT {EDGE} * GREATEST(1, CAST(FLOOR(SQRT(COUNT(*) / {ROWS}.0)) AS BIGINT)) AS e FROM lineitem)"
+ACROSS = f"(SELECT unnest(range({E})) AS range)"
+VOXELS = f"""vox AS MATERIALIZED (SELECT g.z, g.y, g.x, COALESCE(h.v, 0) AS v
+  FROM (SELECT a.range AS z, b.range AS y, c.range AS x FROM range(7) a, {ACROSS} b, {ACROSS} c) g
+  LEFT JOIN (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_orderkey % {E} AS y, l_partkey % {E} AS x, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3) h
   ON g.z = h.z AND g.y = h.y AND g.x = h.x)"""
-SPOT = VOX + ", spot AS (SELECT z, y, x, CAST(v * (GREATEST(0, 24 - ABS(y - 36)) * GREATEST(0, 24 - ABS(x - 36))) // 64 AS BIGINT) AS v FROM vox)"
+VOX = f"{DIM}, {VOXELS}"
+SPOT = VOX + f", spot AS MATERIALIZED (SELECT z, y, x, CAST(v * (GREATEST(0, 24 - ABS(y * 64 // {E} - 36)) * GREATEST(0, 24 - ABS(x * 64 // {E} - 36))) // 64 AS BIGINT) AS v FROM vox)"
 
 
 def bright_sql(table: str, k: float, name: str) -> str:
@@ -35,17 +40,17 @@ def bright_sql(table: str, k: float, name: str) -> str:
 
 def components_sql(table: str) -> str:
     """Needs WITH RECURSIVE; gives comp(z, y, x, sid)."""
-    return f"""vid AS (SELECT z * 4096 + y * 64 + x AS id, z, y, x FROM {table}),
-  adj AS (SELECT a.id AS u, b.id AS w FROM vid a JOIN vid b ON ABS(a.z - b.z) + ABS(a.y - b.y) + ABS(a.x - b.x) = 1 AND b.id IN (a.id + 1, a.id - 1, a.id + 64, a.id - 64, a.id + 4096, a.id - 4096)),
+    return f"""vid AS (SELECT z * {E} * {E} + y * {E} + x AS id, z, y, x FROM {table}),
+  adj AS (SELECT a.id AS u, b.id AS w FROM vid a JOIN vid b ON ABS(a.z - b.z) + ABS(a.y - b.y) + ABS(a.x - b.x) = 1 AND b.id IN (a.id + 1, a.id - 1, a.id + {E}, a.id - {E}, a.id + {E} * {E}, a.id - {E} * {E})),
   reach(id, r) AS (SELECT id, id FROM vid UNION SELECT adj.w, reach.r FROM reach JOIN adj ON reach.id = adj.u WHERE reach.r < adj.w),
   comp AS (SELECT vid.z, vid.y, vid.x, t.sid FROM vid JOIN (SELECT id, MIN(r) AS sid FROM reach GROUP BY id) t ON vid.id = t.id)"""
 
 
 KERNEL = """fine AS (SELECT a.range AS z, b.range AS y, c.range AS x FROM range(21) a, range(21) b, range(21) c),
   kernel AS (SELECT z // 7 AS kz, y // 7 AS ky, x // 7 AS kx, COUNT(*) FILTER (WHERE (z-10)*(z-10) + (y-10)*(y-10) + (x-10)*(x-10) <= 10.5*10.5) AS w FROM fine GROUP BY 1, 2, 3)"""
-OVERLAP = SPOT + ", " + bright_sql("spot", K_SPOT, "bright") + ", " + KERNEL + """,
+OVERLAP = SPOT + ", " + bright_sql("spot", K_SPOT, "bright") + ", " + KERNEL + f""",
   overlap AS (SELECT b.z - kz + 1 AS z, b.y - ky + 1 AS y, b.x - kx + 1 AS x, CAST(SUM(w) AS BIGINT) AS overlap FROM bright b, kernel WHERE w > 0 GROUP BY 1, 2, 3
-              HAVING b.z - kz + 1 BETWEEN 1 AND 5 AND b.y - ky + 1 BETWEEN 1 AND 62 AND b.x - kx + 1 BETWEEN 1 AND 62)"""
+              HAVING b.z - kz + 1 BETWEEN 1 AND 5 AND b.y - ky + 1 BETWEEN 1 AND {E} - 2 AND b.x - kx + 1 BETWEEN 1 AND {E} - 2)"""
 TILES = "tile AS (SELECT t.z, t.ty, t.tx, t.a >= c.m + 2 * c.s + 1 AS inside FROM (SELECT z, y // 8 AS ty, x // 8 AS tx, AVG(v) AS a FROM spot GROUP BY 1, 2, 3) t JOIN (SELECT z, AVG(v) AS m, STDDEV_POP(v) AS s FROM spot WHERE y < 8 AND x < 8 GROUP BY z) c ON t.z = c.z)"
 MARKS = OVERLAP + ", " + TILES + ", marks AS (SELECT o.z, o.y, o.x FROM overlap o JOIN tile ON tile.z = o.z AND tile.ty = o.y // 8 AND tile.tx = o.x // 8 AND inside WHERE 5 * overlap > 3 * (SELECT SUM(w) FROM kernel))"
 
@@ -54,13 +59,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """Of the volumes below: their planes grow with the table that they come from."""
+    edge = EDGE * max(1, math.isqrt(read(spark, sf_dir, "lineitem").count() // ROWS))
+    return PLANES, edge, edge
+
+
 def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_orderkey") % 64).alias("y"), (F.col("l_partkey") % 64).alias("x"), F.col("l_quantity").alias("v"))
-    return dense(rows, SHAPE)
+    whole = shape(spark, sf_dir)
+    e = whole[1]
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_orderkey") % e).alias("y"), (F.col("l_partkey") % e).alias("x"), F.col("l_quantity").alias("v"))
+    return dense(rows, whole)
 
 
 def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = F.greatest(F.lit(0), 24 - F.abs(F.col("y") - 36)) * F.greatest(F.lit(0), 24 - F.abs(F.col("x") - 36))
+    e = shape(spark, sf_dir)[1]
+    near = [F.greatest(F.lit(0), 24 - F.abs(F.floor(F.col(a) * 64 / e) - 36)) for a in "yx"]
+    weight = near[0] * near[1]
     return vox(spark, sf_dir).withColumn("v", F.floor(F.col("v") * weight / 64))
 
 
@@ -69,7 +84,7 @@ def foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(foreground(spark, sf_dir), SHAPE, slab=2, tile=32)
+    return components.connected_components(foreground(spark, sf_dir), shape(spark, sf_dir), slab=2, tile=32)
 
 
 def spot_bright(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,24 +92,28 @@ def spot_bright(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spot_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = planes.bright_tiles(spot(spark, sf_dir), PLANE, 8)
-    return ball.marks(spot_bright(spark, sf_dir), SHAPE, 3, 3, RATIO, tiles, 8)
+    tiles = planes.bright_tiles(spot(spark, sf_dir), shape(spark, sf_dir)[1:], 8)
+    return ball.marks(spot_bright(spark, sf_dir), shape(spark, sf_dir), 3, 3, RATIO, tiles, 8)
 
 
 def spot_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(spot_marks(spark, sf_dir), SHAPE, slab=2, tile=32)
+    return components.connected_components(spot_marks(spark, sf_dir), shape(spark, sf_dir), slab=2, tile=32)
 
 
 def some_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").select(k.alias("idx"), (k * 7 % 64).cast("double").alias("x"), (k * 13 % 64).cast("double").alias("y"), (F.col("o_custkey") % 7).cast("double").alias("z"), (k % 2 + 1).cast("int").alias("type"))
+    k, e = F.col("o_orderkey"), shape(spark, sf_dir)[1]
+    return read(spark, sf_dir, "orders").select(k.alias("idx"), (k * 7 % e).cast("double").alias("x"), (k * 13 % e).cast("double").alias("y"), (F.col("o_custkey") % 7).cast("double").alias("z"), (k % 2 + 1).cast("int").alias("type"))
 
 
-POINTS = "pts AS (SELECT o_orderkey AS idx, CAST(o_orderkey * 7 % 64 AS DOUBLE) AS x, CAST(o_orderkey * 13 % 64 AS DOUBLE) AS y, CAST(o_custkey % 7 AS DOUBLE) AS z, CAST(o_orderkey % 2 + 1 AS INT) AS type FROM orders)"
+POINTS = f"{DIM}, pts AS (SELECT o_orderkey AS idx, CAST(o_orderkey * 7 % {E} AS DOUBLE) AS x, CAST(o_orderkey * 13 % {E} AS DOUBLE) AS y, CAST(o_custkey % 7 AS DOUBLE) AS z, CAST(o_orderkey % 2 + 1 AS INT) AS type FROM orders)"
 BOUNDS = POINTS + ", b AS (SELECT *, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0, CAST(TRUNC(z - 1) AS BIGINT) AS z0 FROM pts), bb AS (SELECT *, x0 + 5 AS x1, y0 + 5 AS y1, z0 + 3 AS z1 FROM b)"
-FULL = BOUNDS + ", full_ AS (SELECT * FROM bb WHERE x0 >= 0 AND x1 <= 64 AND y0 >= 0 AND y1 <= 64 AND z0 >= 0 AND z1 <= 7)"
+FULL = BOUNDS + f", full_ AS (SELECT * FROM bb WHERE x0 >= 0 AND x1 <= {E} AND y0 >= 0 AND y1 <= {E} AND z0 >= 0 AND z1 <= 7)"
 CUBE = dict(z=3, y=5, x=5)
-WHOLE = dict(zip("zyx", SHAPE))
+
+
+def whole(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return dict(zip("zyx", shape(spark, sf_dir)))
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,22 +169,24 @@ def corner_tile_stats(spark, sf):
     return s.select("z", F.round("corner_mean", 6).alias("corner_mean"), F.round("corner_std", 6).alias("corner_std"))
 
 
-@query(f"WITH {SPOT} SELECT z, y // 12 AS ty, x // 12 AS tx, ROUND(AVG(v), 6) AS tile_mean FROM spot WHERE y < 60 AND x < 60 GROUP BY 1, 2, 3")
+@query(f"WITH {SPOT} SELECT z, y // 12 AS ty, x // 12 AS tx, ROUND(AVG(v), 6) AS tile_mean FROM spot WHERE y < {E} // 12 * 12 AND x < {E} // 12 * 12 GROUP BY 1, 2, 3")
 def tile_means(spark, sf):
-    return planes.tile_means(spot(spark, sf), PLANE, 12).withColumn("tile_mean", F.round("tile_mean", 6))
+    return planes.tile_means(spot(spark, sf), shape(spark, sf)[1:], 12).withColumn("tile_mean", F.round("tile_mean", 6))
 
 
 @query(f"WITH {SPOT}, {TILES} SELECT * FROM tile")
 def bright_tile_mask(spark, sf):
-    return planes.bright_tiles(spot(spark, sf), PLANE, 8)
+    return planes.bright_tiles(spot(spark, sf), shape(spark, sf)[1:], 8)
 
 
 @query(f"""WITH {SPOT}, {bright_sql('spot', 0.5, 'b')},
-  axis AS (SELECT p.range AS p, t.range AS t, p.range BETWEEN 2 + t.range * 5 AND 11 + t.range * 5 AS holds, t.range = LEAST(GREATEST((p.range + 0) // 5 - 1, 0), 11) AS own FROM range(64) p, range(11) t),
-  st AS (SELECT z, a.t AS ty, c.t AS tx, AVG(v) AS m, STDDEV_SAMP(v) AS s FROM spot JOIN axis a ON a.p = y AND a.holds JOIN axis c ON c.p = x AND c.holds GROUP BY 1, 2, 3)
-  SELECT b.z, b.y, b.x, b.v FROM b JOIN st ON b.z = st.z AND st.ty = LEAST(GREATEST(b.y // 5 - 1, 0), 10) AND st.tx = LEAST(GREATEST(b.x // 5 - 1, 0), 10) WHERE b.v > st.m + 0.5 * st.s""")
+  lay AS (SELECT e // 5 - 1 AS n, e % 5 // 2 AS off, (5 - e % 5) // 2 AS lead FROM dim),
+  axis AS (SELECT p.range AS p, t.t AS t, LEAST(GREATEST((p.range + lead) // 5 - 1, 0), n - 1) AS own FROM {ACROSS} p, lay, (SELECT unnest(range((SELECT n FROM lay))) AS t) t WHERE p.range BETWEEN off + t.t * 5 AND off + 9 + t.t * 5 OR t.t = LEAST(GREATEST((p.range + lead) // 5 - 1, 0), n - 1)),
+  holds AS (SELECT p, t FROM axis, lay WHERE p BETWEEN off + t * 5 AND off + 9 + t * 5), mine AS (SELECT DISTINCT p, own FROM axis),
+  st AS (SELECT z, a.t AS ty, c.t AS tx, AVG(v) AS m, STDDEV_SAMP(v) AS s FROM spot JOIN holds a ON a.p = y JOIN holds c ON c.p = x GROUP BY 1, 2, 3)
+  SELECT b.z, b.y, b.x, b.v FROM b JOIN mine q ON q.p = b.y JOIN mine r ON r.p = b.x JOIN st ON b.z = st.z AND st.ty = q.own AND st.tx = r.own WHERE b.v > st.m + 0.5 * st.s""")
 def tiled_threshold(spark, sf):
-    return planes.tiled_threshold(spot(spark, sf), PLANE, 10, 0.5, 0.5)
+    return planes.tiled_threshold(spot(spark, sf), shape(spark, sf)[1:], 10, 0.5, 0.5)
 
 
 @query(f"""WITH {VOX} SELECT a.z, a.y, a.x, COALESCE(n.v, a.v) + COALESCE(s.v, a.v) + COALESCE(w.v, a.v) + COALESCE(e.v, a.v) - 4 * a.v AS v FROM vox a
@@ -178,21 +199,21 @@ def laplacian(spark, sf):
 @query(f"""WITH {VOX}, o AS (SELECT a.range - 1 AS d, b.range - 1 AS e FROM range(3) a, range(3) b)
   SELECT z, y, x, CAST(list_sort(list(n))[5] AS BIGINT) AS v FROM (SELECT a.z, a.y, a.x, COALESCE(b.v, 0) AS n FROM vox a CROSS JOIN o LEFT JOIN vox b ON b.z = a.z AND b.y = a.y + d AND b.x = a.x + e) GROUP BY 1, 2, 3""")
 def median3x3(spark, sf):
-    return planes.median3(vox(spark, sf), PLANE)
+    return planes.median3(vox(spark, sf), shape(spark, sf)[1:])
 
 
 @query(f"""WITH {VOX}, wt AS (SELECT k.range - 4 AS k, EXP(-0.5 * ((k.range - 4) / 1.0) ** 2) AS w FROM range(9) k), ww AS (SELECT k, w / (SELECT SUM(w) FROM wt) AS w FROM wt),
-  refl AS (SELECT p.range AS p, k, CASE WHEN (p.range + k + 128) % 128 < 64 THEN (p.range + k + 128) % 128 ELSE 127 - (p.range + k + 128) % 128 END AS q, w FROM range(64) p, ww),
+  refl AS (SELECT p.range AS p, k, CASE WHEN (p.range + k + 2 * {E}) % (2 * {E}) < {E} THEN (p.range + k + 2 * {E}) % (2 * {E}) ELSE 2 * {E} - 1 - (p.range + k + 2 * {E}) % (2 * {E}) END AS q, w FROM {ACROSS} p, ww),
   g AS (SELECT z, refl.p AS y, x, SUM(w * v) AS v FROM vox JOIN refl ON vox.y = refl.q GROUP BY 1, 2, 3)
   SELECT z, y, refl.p AS x, ROUND(SUM(w * v), 6) AS v FROM g JOIN refl ON g.x = refl.q GROUP BY 1, 2, 3""")
 def gaussian_separable(spark, sf):
-    return planes.gaussian(vox(spark, sf), PLANE, 1.0).withColumn("v", F.round("v", 6))
+    return planes.gaussian(vox(spark, sf), shape(spark, sf)[1:], 1.0).withColumn("v", F.round("v", 6))
 
 
 _ENHANCED = f"""WITH {VOX}, o AS (SELECT a.range - 1 AS d, b.range - 1 AS e FROM range(3) a, range(3) b),
   med AS MATERIALIZED (SELECT z, y, x, list_sort(list(n))[5] AS v FROM (SELECT a.z, a.y, a.x, COALESCE(b.v, 0) AS n FROM vox a CROSS JOIN o LEFT JOIN vox b ON b.z = a.z AND b.y = a.y + d AND b.x = a.x + e) GROUP BY 1, 2, 3),
   wt AS (SELECT k.range - 6 AS k, EXP(-0.5 * ((k.range - 6) / 1.6) ** 2) AS w FROM range(13) k), ww AS (SELECT k, w / (SELECT SUM(w) FROM wt) AS w FROM wt),
-  refl AS (SELECT p.range AS p, k, CASE WHEN (p.range + k + 128) % 128 < 64 THEN (p.range + k + 128) % 128 ELSE 127 - (p.range + k + 128) % 128 END AS q, w FROM range(64) p, ww),
+  refl AS (SELECT p.range AS p, k, CASE WHEN (p.range + k + 2 * {E}) % (2 * {E}) < {E} THEN (p.range + k + 2 * {E}) % (2 * {E}) ELSE 2 * {E} - 1 - (p.range + k + 2 * {E}) % (2 * {E}) END AS q, w FROM {ACROSS} p, ww),
   g AS MATERIALIZED (SELECT z, refl.p AS y, x, SUM(w * v) AS v FROM med JOIN refl ON med.y = refl.q GROUP BY 1, 2, 3),
   s AS MATERIALIZED (SELECT z, y, refl.p AS x, SUM(w * v) AS v FROM g JOIN refl ON g.x = refl.q GROUP BY 1, 2, 3),
   l AS (SELECT a.z, a.y, a.x, 4 * a.v - COALESCE(n.v, a.v) - COALESCE(t.v, a.v) - COALESCE(w.v, a.v) - COALESCE(e.v, a.v) AS v FROM s a
@@ -203,22 +224,22 @@ _ENHANCED = f"""WITH {VOX}, o AS (SELECT a.range - 1 AS d, b.range - 1 AS e FROM
 
 @query(_ENHANCED)
 def peak_enhance(spark, sf):
-    return planes.enhance(vox(spark, sf), PLANE, 1.6, 65533, 24).withColumn("v", F.round("v", 2))
+    return planes.enhance(vox(spark, sf), shape(spark, sf)[1:], 1.6, 65533, 24).withColumn("v", F.round("v", 2))
 
 
 @query(f"""WITH {SPOT}, {bright_sql("spot", K_SPOT, "bright")}, {KERNEL}
-  SELECT 1 - kz AS dz, 1 - ky AS dy, 1 - kx AS dx, w, COUNT(*) AS n FROM bright b, kernel WHERE w > 0 AND b.z + 1 - kz BETWEEN 1 AND 5 AND b.y + 1 - ky BETWEEN 1 AND 62 AND b.x + 1 - kx BETWEEN 1 AND 62 GROUP BY ALL""")
+  SELECT 1 - kz AS dz, 1 - ky AS dy, 1 - kx AS dx, w, COUNT(*) AS n FROM bright b, kernel WHERE w > 0 AND b.z + 1 - kz BETWEEN 1 AND 5 AND b.y + 1 - ky BETWEEN 1 AND {E} - 2 AND b.x + 1 - kx BETWEEN 1 AND {E} - 2 GROUP BY ALL""")
 def ball_kernel(spark, sf):
     """The kernel's weights by their offsets, and how many bright voxels count somewhere in the volume by each."""
     at = ball.sent(spot_bright(spark, sf), ball.ball_kernel(3, 3), offset=True)
-    for a, (first, last) in ball.valid(SHAPE, ball.ball_kernel(3, 3)).items():
+    for a, (first, last) in ball.valid(shape(spark, sf), ball.ball_kernel(3, 3)).items():
         at = at.where(F.col(a).between(first, last))
     return at.groupBy("dz", "dy", "dx", "w").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OVERLAP} SELECT * FROM overlap")
 def ball_overlap(spark, sf):
-    return ball.overlap(spot_bright(spark, sf), SHAPE, 3, 3)
+    return ball.overlap(spot_bright(spark, sf), shape(spark, sf), 3, 3)
 
 
 @query(f"WITH {OVERLAP} SELECT * FROM overlap")
@@ -226,11 +247,11 @@ def ball_overlap_stream(spark, sf):
     """The same from a stream: planes arrive one after another, and a closing voxel lets the last ones out."""
     folder = components.step_folder(spark)
     bright = components.written(spot_bright(spark, sf))
-    end = spark.createDataFrame([streaming.closing(SHAPE, 3, 3)], streaming.BRIGHT_SCHEMA)
-    for plane in (*(bright.where(F.col("z") == z) for z in range(SHAPE[0])), end):
+    end = spark.createDataFrame([streaming.closing(shape(spark, sf), 3, 3)], streaming.BRIGHT_SCHEMA)
+    for plane in (*(bright.where(F.col("z") == z) for z in range(PLANES)), end):
         plane.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     arriving = spark.readStream.schema(streaming.BRIGHT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = streaming.overlap(arriving, SHAPE, 3, 3)
+    found = streaming.overlap(arriving, shape(spark, sf), 3, 3)
     found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
@@ -245,7 +266,7 @@ def feedback_sql(batches: list[list[int]]) -> str:
     steps = ["f0 AS (SELECT z, y, x FROM bright)"]
     for k, judged in enumerate(batches):
         own = f"SELECT b.z - kz + 1 AS z, b.y - ky + 1 AS y, b.x - kx + 1 AS x, SUM(w) AS w FROM f{k} b, kernel WHERE w > 0 AND b.z - kz + 1 BETWEEN {judged[0]} AND {judged[-1]} GROUP BY 1, 2, 3"
-        steps.append(f"k{k} AS MATERIALIZED (SELECT o.z, o.y, o.x FROM ({own}) o JOIN tile ON tile.z = o.z AND tile.ty = o.y // 8 AND tile.tx = o.x // 8 AND inside WHERE o.y BETWEEN 1 AND 62 AND o.x BETWEEN 1 AND 62 AND 5 * o.w > 3 * (SELECT SUM(w) FROM kernel))")
+        steps.append(f"k{k} AS MATERIALIZED (SELECT o.z, o.y, o.x FROM ({own}) o JOIN tile ON tile.z = o.z AND tile.ty = o.y // 8 AND tile.tx = o.x // 8 AND inside WHERE o.y BETWEEN 1 AND {E} - 2 AND o.x BETWEEN 1 AND {E} - 2 AND 5 * o.w > 3 * (SELECT SUM(w) FROM kernel))")
         steps.append(f"f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION SELECT * FROM k{k})")
     return f"WITH {OVERLAP}, {TILES}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(len(batches)))
 
@@ -253,14 +274,14 @@ def feedback_sql(batches: list[list[int]]) -> str:
 @query(feedback_sql([[1], [2], [3], [4], [5]]))
 def ball_feedback(spark, sf):
     """Marks that count as bright for the planes behind them, plane after plane."""
-    tiles = planes.bright_tiles(spot(spark, sf), PLANE, 8)
-    return feedback.marks(components.written(spot_bright(spark, sf)), SHAPE, 3, 3, RATIO, tiles, 8, slab=3, size=24)
+    tiles = planes.bright_tiles(spot(spark, sf), shape(spark, sf)[1:], 8)
+    return feedback.marks(components.written(spot_bright(spark, sf)), shape(spark, sf), 3, 3, RATIO, tiles, 8, slab=3, size=24)
 
 
 def arriving(bright: DataFrame, folder: str) -> DataFrame:
     """A stream of the voxels and of a row for each plane that is whole, two files at a time."""
-    ends = bright.sparkSession.range(SHAPE[0]).select(F.col("id").alias("z"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("x"))
-    bright.unionByName(ends).repartitionByRange(SHAPE[0], "z").write.parquet(f"{folder}/in")
+    ends = bright.sparkSession.range(PLANES).select(F.col("id").alias("z"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("x"))
+    bright.unionByName(ends).repartitionByRange(PLANES, "z").write.parquet(f"{folder}/in")
     return bright.sparkSession.readStream.schema(ordered.ARRIVED).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
@@ -268,15 +289,15 @@ def arriving(bright: DataFrame, folder: str) -> DataFrame:
 def ball_feedback_stream(spark, sf):
     """The same in batches of two planes, from a stream."""
     folder = components.step_folder(spark)
-    tiles = components.written(planes.bright_tiles(spot(spark, sf), PLANE, 8))
-    fed = ordered.feedback_marks(folder, SHAPE, 3, 3, RATIO, tiles, 8, batch=2, size=24)
+    tiles = components.written(planes.bright_tiles(spot(spark, sf), shape(spark, sf)[1:], 8))
+    fed = ordered.feedback_marks(folder, shape(spark, sf), 3, 3, RATIO, tiles, 8, batch=2, size=24)
     fed.run(arriving(spot_bright(spark, sf), folder))
     return fed.result(spark, "marks")
 
 
 def _labelled_stream(spark, sf) -> ordered.Ordered:
     folder = components.step_folder(spark)
-    found = ordered.labelled_structures(folder, SHAPE, slab=2, tile=32)
+    found = ordered.labelled_structures(folder, shape(spark, sf), slab=2, tile=32)
     found.run(arriving(foreground(spark, sf), folder))
     return found
 
@@ -337,7 +358,7 @@ def split_structures(spark, sf):
 @query()
 def detect_pipeline(spark, sf):
     s = DetectionSettings(dtype="uint16", n_sds_above_mean_thresh=1, soma_diameter_um=8, voxel_sizes=(5, 2, 2), slab_planes=4)
-    return detect(spot(spark, sf), SHAPE, s)
+    return detect(spot(spark, sf), shape(spark, sf), s)
 
 
 @query(f"WITH {BOUNDS} SELECT idx, x0, x1, y0, y1, z0, z1 FROM bb")
@@ -347,14 +368,14 @@ def cuboid_bounds(spark, sf):
 
 @query(f"WITH {FULL} SELECT idx, x, y, z, type FROM full_")
 def full_cuboid_filter(spark, sf):
-    return cubes.full_only(cubes.bounds(some_points(spark, sf), CUBE), WHOLE).select("idx", "x", "y", "z", "type")
+    return cubes.full_only(cubes.bounds(some_points(spark, sf), CUBE), whole(spark, sf)).select("idx", "x", "y", "z", "type")
 
 
 def _cubes(spark, sf) -> DataFrame:
-    return cubes.extract(cubes.full_only(cubes.bounds(some_points(spark, sf), CUBE), WHOLE), vox(spark, sf), 16)
+    return cubes.extract(cubes.full_only(cubes.bounds(some_points(spark, sf), CUBE), whole(spark, sf)), vox(spark, sf), 16)
 
 
-_CUBES = FULL + ", " + VOX + ", cube AS (SELECT idx, v.z - z0 AS dz, v.y - y0 AS dy, v.x - x0 AS dx, v FROM full_ f JOIN vox v ON v.z >= z0 AND v.z < z1 AND v.y >= y0 AND v.y < y1 AND v.x >= x0 AND v.x < x1)"
+_CUBES = FULL + ", " + VOXELS + ", cube AS (SELECT idx, v.z - z0 AS dz, v.y - y0 AS dy, v.x - x0 AS dx, v FROM full_ f JOIN vox v ON v.z >= z0 AND v.z < z1 AND v.y >= y0 AND v.y < y1 AND v.x >= x0 AND v.x < x1)"
 
 
 @query(f"WITH {_CUBES} SELECT idx, COUNT(*) AS n, CAST(SUM(v) AS BIGINT) AS total FROM cube GROUP BY idx")
@@ -376,14 +397,14 @@ _FIVE = dict(z=5, y=5, x=5)
 _DRAWN = "CAST('0x' || substr(md5('4-2-' || idx || '-{}'), 1, 8) AS BIGINT) < 0.5 * 4294967296"
 
 
-@query(f"""WITH {POINTS}, {VOX}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0, CAST(z - 2 AS BIGINT) AS z0, {_DRAWN.format('affine')} AS moved, {_DRAWN.format('flip x')} AS flipped FROM pts),
-  g AS (SELECT *, a.range AS dz, b.range AS dy, c.range AS dx, CASE WHEN flipped THEN 4 - c.range ELSE c.range END AS ox FROM f, range(5) a, range(5) b, range(5) c WHERE x0 BETWEEN 0 AND 59 AND y0 BETWEEN 0 AND 59 AND z0 BETWEEN 0 AND 2),
+@query(f"""WITH {POINTS}, {VOXELS}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0, CAST(z - 2 AS BIGINT) AS z0, {_DRAWN.format('affine')} AS moved, {_DRAWN.format('flip x')} AS flipped FROM pts),
+  g AS (SELECT *, a.range AS dz, b.range AS dy, c.range AS dx, CASE WHEN flipped THEN 4 - c.range ELSE c.range END AS ox FROM f, range(5) a, range(5) b, range(5) c WHERE x0 BETWEEN 0 AND {E} - 5 AND y0 BETWEEN 0 AND {E} - 5 AND z0 BETWEEN 0 AND 2),
   s AS (SELECT *, CASE WHEN moved THEN LEAST(GREATEST(dz - 1, 0), 4) ELSE dz END AS sz, CASE WHEN moved THEN 4 - ox ELSE dy END AS sy, CASE WHEN moved THEN dy ELSE ox END AS sx FROM g)
   SELECT idx, dz, dy, dx, CAST(v AS DOUBLE) AS v FROM s JOIN vox ON vox.z = z0 + sz AND vox.y = y0 + sy AND vox.x = x0 + sx""")
 def augment_cubes(spark, sf):
     """A quarter turn around z with a step of one voxel along z, and a flip along x, each of about half of the cubes."""
     how = augment.Augmentation(likelihood=0.5, flip=("x",), rotate={"z": np.pi / 2}, translate={"z": 0.2}, seed=4)
-    some = cubes.extract(cubes.full_only(cubes.bounds(some_points(spark, sf), _FIVE), WHOLE), vox(spark, sf), 16)
+    some = cubes.extract(cubes.full_only(cubes.bounds(some_points(spark, sf), _FIVE), whole(spark, sf)), vox(spark, sf), 16)
     return augment.augmented(some, (5, 5, 5), how, epoch=2).withColumn("v", F.round("v", 6))
 
 
@@ -423,10 +444,10 @@ def predictions_join_back(spark, sf):
 @query()
 def classify_points(spark, sf):
     w = np.stack([np.linspace(-1, 1, 75), np.linspace(1, -1, 75)], 1)
-    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(w, np.zeros(2)), [(20, 8)])
+    return classify(some_points(spark, sf), [vox(spark, sf)], shape(spark, sf), (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(w, np.zeros(2)), [(20, 8)])
 
 
-@query(f"""WITH {FULL}, {VOX}, e AS (SELECT idx, SUM((k - 37) * (a - 20) / 8.0 + (40 - k) * (b - 16) / 4.0) AS e
+@query(f"""WITH {FULL}, {VOXELS}, e AS (SELECT idx, SUM((k - 37) * (a - 20) / 8.0 + (40 - k) * (b - 16) / 4.0) AS e
   FROM (SELECT idx, (v.z - z0) * 25 + (v.y - y0) * 5 + v.x - x0 AS k, v.v AS a, u.v AS b FROM full_ f JOIN vox v ON v.z >= z0 AND v.z < z1 AND v.y >= y0 AND v.y < y1 AND v.x >= x0 AND v.x < x1 JOIN vox u ON u.z = v.z AND u.y = v.x AND u.x = v.y) GROUP BY idx)
   SELECT idx, x, y, z, CASE WHEN e >= 0 THEN 1 ELSE 2 END AS type FROM pts JOIN e USING (idx)""")
 def classify_two_channels(spark, sf):
@@ -434,28 +455,28 @@ def classify_two_channels(spark, sf):
     signal, k = vox(spark, sf), np.arange(75)
     background = signal.select("z", F.col("x").alias("y"), F.col("y").alias("x"), "v")
     w = np.stack([k - 37, 40 - k], 1).ravel().astype(float)
-    return classify(some_points(spark, sf), [signal, background], SHAPE, (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2)), [(20, 8), (16, 4)])
+    return classify(some_points(spark, sf), [signal, background], shape(spark, sf), (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2)), [(20, 8), (16, 4)])
 
 
-@query(f"""WITH {POINTS}, {VOX}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0 FROM pts),
-  e AS (SELECT idx, SUM(((y - y0) * 5 + x - x0 - 12) * (v - 20)) AS e FROM (SELECT * FROM f WHERE x0 BETWEEN 0 AND 59 AND y0 BETWEEN 0 AND 59) g JOIN vox v ON v.z = 3 AND v.y >= y0 AND v.y < y0 + 5 AND v.x >= x0 AND v.x < x0 + 5 GROUP BY idx)
+@query(f"""WITH {POINTS}, {VOXELS}, f AS (SELECT idx, CAST(ROUND_EVEN(x - 2.5, 0) AS BIGINT) AS x0, CAST(ROUND_EVEN(y - 2.5, 0) AS BIGINT) AS y0 FROM pts),
+  e AS (SELECT idx, SUM(((y - y0) * 5 + x - x0 - 12) * (v - 20)) AS e FROM (SELECT * FROM f WHERE x0 BETWEEN 0 AND {E} - 5 AND y0 BETWEEN 0 AND {E} - 5) g JOIN vox v ON v.z = 3 AND v.y >= y0 AND v.y < y0 + 5 AND v.x >= x0 AND v.x < x0 + 5 GROUP BY idx)
   SELECT idx, x, y, CASE WHEN e >= 0 THEN 1 ELSE 2 END AS type FROM pts JOIN e USING (idx)""")
 def classify_plane(spark, sf):
     """2-D points and one plane of voxels, with whole-numbered weights, so that scores are exact."""
     plane = vox(spark, sf).where("z = 3").select("y", "x", "v")
     w = np.arange(25.0) - 12
     scorer = scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2))
-    return plane_plan(some_points(spark, sf).drop("z"), [plane], PLANE, (2.0, 2.0), ((5, 5), (5.0, 2.0, 2.0)), scorer, norms=[(20, 1)])
+    return plane_plan(some_points(spark, sf).drop("z"), [plane], shape(spark, sf)[1:], (2.0, 2.0), ((5, 5), (5.0, 2.0, 2.0)), scorer, norms=[(20, 1)])
 
 
 @query()
 def classify_fitted(spark, sf):
     """Weights fitted on labels (whether a cube is brighter than most), then all points typed by them."""
-    given = components.written(channel_cubes(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), [(20, 8)]))
+    given = components.written(channel_cubes(some_points(spark, sf), [vox(spark, sf)], shape(spark, sf), (3, 5, 5), [(20, 8)]))
     totals = given.groupBy("idx").agg(F.sum("v").alias("total"))
     labels = totals.join(F.broadcast(totals.agg(F.avg("total").alias("mean")))).select("idx", F.when(F.col("total") > F.col("mean"), 2).otherwise(1).alias("type"))
     fitted = training.fit(given, labels, (3, 5, 5), test_share=0.2, seed=1)
-    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (3, 5, 5), fitted, [(20, 8)])
+    return classify(some_points(spark, sf), [vox(spark, sf)], shape(spark, sf), (3, 5, 5), (3, 5, 5), fitted, [(20, 8)])
 
 
 @query()
@@ -463,7 +484,7 @@ def classify_residual(spark, sf):
     """Cubes resampled to 24 x 24 x 12 and scored by an untrained residual network; its labels mean nothing."""
     described = dict(depth="18-layer", shape=(24, 24, 12, 1), features=2)
     model = resnet.ResidualNetwork(resnet.ResidualNetwork("", **described).initial(), **described)
-    return classify(some_points(spark, sf), [vox(spark, sf)], SHAPE, (3, 5, 5), (12, 24, 24), model, norm_planes=3)
+    return classify(some_points(spark, sf), [vox(spark, sf)], shape(spark, sf), (3, 5, 5), (12, 24, 24), model, norm_planes=3)
 
 
 @query(f"WITH {_CUBES} SELECT idx, dz, dy, dx, ROUND((v - idx % 7 - 10) / (idx % 3 + 4), 6) AS v FROM cube")
@@ -484,17 +505,18 @@ def bin_mean_2d(spark, sf):
 
 @query(f"WITH {VOX} SELECT z // 7 AS bz, y // 8 AS \"by\", x // 4 AS bx, ROUND(AVG(v), 6) AS v FROM vox GROUP BY 1, 2, 3")
 def bin_mean_3d(spark, sf):
-    return planes.bin_mean_3d(vox(spark, sf), SHAPE, (7, 8, 4)).withColumn("v", F.round("v", 6))
+    return planes.bin_mean_3d(vox(spark, sf), shape(spark, sf), (7, 8, 4)).withColumn("v", F.round("v", 6))
 
 
-@query(f"WITH {VOX} SELECT z, y - 16 AS y, x - 22 AS x, v FROM vox WHERE y BETWEEN 16 AND 47 AND x BETWEEN 22 AND 41")
+@query(f"WITH {VOX} SELECT z, y - ({E} - 32) // 2 AS y, x - ({E} - 20) // 2 AS x, v FROM vox WHERE y - ({E} - 32) // 2 BETWEEN 0 AND 31 AND x - ({E} - 20) // 2 BETWEEN 0 AND 19")
 def crop_center(spark, sf):
-    return planes.crop_centre(vox(spark, sf), PLANE, (32, 20))
+    return planes.crop_centre(vox(spark, sf), shape(spark, sf)[1:], (32, 20))
 
 
-@query(f"WITH {VOX} SELECT v.z, p.range AS y, q.range AS x, v FROM range(71) p, range(68) q JOIN vox v ON v.y = LEAST(GREATEST(p.range - 3, 0), 63) AND v.x = LEAST(GREATEST(q.range - 2, 0), 63)")
+@query(f"WITH {VOX} SELECT v.z, p.range AS y, q.range AS x, v FROM (SELECT unnest(range({E} + 7)) AS range) p, (SELECT unnest(range({E} + 4)) AS range) q JOIN vox v ON v.y = LEAST(GREATEST(p.range - 3, 0), {E} - 1) AND v.x = LEAST(GREATEST(q.range - 2, 0), {E} - 1)")
 def pad_center(spark, sf):
-    return planes.pad_centre(vox(spark, sf), PLANE, (71, 68))
+    e = shape(spark, sf)
+    return planes.pad_centre(vox(spark, sf), e[1:], (e[1] + 7, e[2] + 4))
 
 
 @query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE ((z - 3) / 3.0) ** 2 + ((y - 32) / 20.0) ** 2 + ((x - 32) / 10.0) ** 2 <= 1")
@@ -506,19 +528,21 @@ _WHOLE = POINTS + ", w AS (SELECT idx, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT)
 
 
 @query(f"""WITH {_WHOLE} SELECT z + c.range AS z, y + b.range AS y, x + a.range AS x, MIN(idx) AS idx FROM w, range(-2, 3) a, range(-2, 3) b, range(-2, 3) c
-  WHERE z BETWEEN 2 AND 4 AND y BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61 AND a.range * a.range + b.range * b.range + c.range * c.range <= 4 GROUP BY 1, 2, 3""")
+  WHERE z BETWEEN 2 AND 4 AND y BETWEEN 2 AND {E} - 3 AND x BETWEEN 2 AND {E} - 3 AND a.range * a.range + b.range * b.range + c.range * c.range <= 4 GROUP BY 1, 2, 3""")
 def stamp_spheres(spark, sf):
     whole = some_points(spark, sf).select("idx", *(F.col(a).cast("long").alias(a) for a in "zyx"))
-    return structures.stamped(whole, SHAPE, 2)
+    return structures.stamped(whole, shape(spark, sf), 2)
 
 
-@query("""WITH s AS (SELECT l_linenumber - 1 AS z, l_orderkey % 64 AS y, l_partkey % 64 AS x, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+@query(f"""WITH {DIM}, s AS (SELECT l_linenumber - 1 AS z, l_orderkey % {E} AS y, l_partkey % {E} AS x, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
   p AS (SELECT z, MIN(y) AS a, MAX(y) AS b, MIN(x) AS c, MAX(x) AS d, COUNT(*) AS n, COUNT(v) AS k FROM s GROUP BY z)
-  SELECT CAST(z AS BIGINT) AS z, format('rows {} to {}, columns {} to {}, {} pixels, {} of them known; expected 64 x 64', a, b, c, d, n, k) AS message FROM p WHERE NOT (a = 0 AND b = 63 AND c = 0 AND d = 63 AND n = 4096 AND k = 4096)""")
+  SELECT CAST(z AS BIGINT) AS z, 'rows ' || a || ' to ' || b || ', columns ' || c || ' to ' || d || ', ' || n || ' pixels, ' || k || ' of them known; expected ' || {E} || ' x ' || {E} AS message
+  FROM p WHERE NOT (a = 0 AND b = {E} - 1 AND c = 0 AND d = {E} - 1 AND n = {E} * {E} AND k = {E} * {E})""")
 def plane_shape_errors(spark, sf):
     """Planes of the sums as they are, before gaps are filled."""
-    rows = read(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_orderkey") % 64).alias("y"), (F.col("l_partkey") % 64).alias("x"), F.col("l_quantity").alias("v"))
-    return planes.misshapen(rows.groupBy("z", "y", "x").agg(F.sum("v").alias("v")), PLANE)
+    e = shape(spark, sf)[1]
+    rows = read(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_orderkey") % e).alias("y"), (F.col("l_partkey") % e).alias("x"), F.col("l_quantity").alias("v"))
+    return planes.misshapen(rows.groupBy("z", "y", "x").agg(F.sum("v").alias("v")), shape(spark, sf)[1:])
 
 
 def _two(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -582,7 +606,7 @@ def plane_range_scan(spark, sf):
 def tiff_stack_scan(spark, sf):
     """The volume written as compressed planes, and a range of them read again: other planes' files are not opened for pixels."""
     folder = components.step_folder(spark)
-    stacks.write_planes(vox(spark, sf), SHAPE, f"{folder}/planes", compression="lzw", rows=16, differences=True)
+    stacks.write_planes(vox(spark, sf), shape(spark, sf), f"{folder}/planes", compression="lzw", rows=16, differences=True)
     return planes.plane_range(stacks.read_planes(spark, f"{folder}/planes", each=1), 2, 5)
 
 
