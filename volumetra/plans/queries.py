@@ -40,8 +40,8 @@ def bright_sql(table: str, k: float, name: str) -> str:
 
 def components_sql(table: str) -> str:
     """Needs WITH RECURSIVE; gives comp(z, y, x, sid)."""
-    return f"""vid AS (SELECT z * {E} * {E} + y * {E} + x AS id, z, y, x FROM {table}),
-  adj AS (SELECT a.id AS u, b.id AS w FROM vid a JOIN vid b ON ABS(a.z - b.z) + ABS(a.y - b.y) + ABS(a.x - b.x) = 1 AND b.id IN (a.id + 1, a.id - 1, a.id + {E}, a.id - {E}, a.id + {E} * {E}, a.id - {E} * {E})),
+    return f"""vid AS MATERIALIZED (SELECT z * e * e + y * e + x AS id, z, y, x, e FROM {table}, dim),
+  adj AS MATERIALIZED (SELECT a.id AS u, b.id AS w FROM vid a JOIN (SELECT *, unnest([1, -1, e, -e, e * e, -e * e]) AS step FROM vid) b ON a.id = b.id + b.step AND ABS(a.z - b.z) + ABS(a.y - b.y) + ABS(a.x - b.x) = 1),
   reach(id, r) AS (SELECT id, id FROM vid UNION SELECT adj.w, reach.r FROM reach JOIN adj ON reach.id = adj.u WHERE reach.r < adj.w),
   comp AS (SELECT vid.z, vid.y, vid.x, t.sid FROM vid JOIN (SELECT id, MIN(r) AS sid FROM reach GROUP BY id) t ON vid.id = t.id)"""
 
