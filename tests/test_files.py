@@ -92,4 +92,7 @@ def test_settings():
     assert readable_bytes(12_300) == "12.3 KB" and plane_name(2, 6) == "plane_0002"
     assert learning_rate(5, 1e-3, (3, 5), 0.1) == pytest.approx(1e-5)
     assert cubes.data_voxels(50, 1.0, 2.0) == 25
+    for axes in (1, 4):
+        with pytest.raises(ValueError):
+            cubes.promoted((1.0,) * axes, (1.0, 1.0, 1.0))
     assert cubes.promoted((2.0, 3.0), (5.0, 1.0, 1.0)) == ((1.0, 2.0, 3.0), (1.0, 1.0, 1.0))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volumetra.settings import check_rank
+
 
 def data_voxels(n: int, network_um: float, data_um: float) -> int:
     return int(round(n * network_um / data_um))
@@ -43,6 +45,8 @@ def centre_inside(box: dict[str, tuple[Column, Column]]) -> Column:
 def promoted(voxel_sizes: tuple[float, ...], network_sizes: tuple[float, ...]) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Voxel sizes (z, y, x) of a single plane's data and network: z is 1 where it was left out, and the network's z is the
     data's, so that a cube of one plane is never rescaled in z."""
+    for given in (voxel_sizes, network_sizes):
+        check_rank(len(given))
     data, network = ((1.0, *s) if len(s) == 2 else tuple(s) for s in (voxel_sizes, network_sizes))
     return data, (data[0], *network[1:])
 

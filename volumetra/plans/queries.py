@@ -428,15 +428,15 @@ def channel_stats_sampled(spark, sf):
 
 
 def _scores(spark, sf) -> DataFrame:
-    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, 4).cast("array<double>").alias("p"))
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("p"))
 
 
-@query("SELECT vec_id AS idx, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) AS INT) AS type FROM embeddings")
+@query("SELECT vec_id AS idx, CAST(list_position(embedding, list_max(embedding)) AS INT) AS type FROM embeddings")
 def argmax_classify(spark, sf):
     return _scores(spark, sf).select("idx", scoring.predicted_type(F.col("p")).alias("type"))
 
 
-@query(f"WITH {POINTS} SELECT idx, x, y, z, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) AS INT) AS type FROM pts JOIN embeddings ON vec_id = idx")
+@query(f"WITH {POINTS} SELECT idx, x, y, z, CAST(list_position(embedding, list_max(embedding)) AS INT) AS type FROM pts JOIN embeddings ON vec_id = idx")
 def predictions_join_back(spark, sf):
     return scoring.join_back(some_points(spark, sf), _scores(spark, sf))
 

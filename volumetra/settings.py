@@ -95,6 +95,12 @@ def check_volume(dtype: str, shape: tuple[int, ...]) -> None:
         raise ValueError(f"a volume has 3 axes, not {len(shape)}")
 
 
+def check_rank(axes: int) -> None:
+    """Data and networks are planes or volumes."""
+    if axes not in (2, 3):
+        raise ValueError(f"data has 2 or 3 axes, not {axes}")
+
+
 def learning_rate(epoch: int, start: float = 1e-4, steps: tuple[int, ...] = (), factor: float = 0.1) -> float:
     return start * factor ** sum(epoch >= s for s in steps)
 
