@@ -1,5 +1,6 @@
 """Operators that go from plane to plane: marks that feed back, and structures labelled as planes arrive."""
 
+import os
 from fractions import Fraction
 
 import numpy as np
@@ -107,7 +108,10 @@ def test_structures_of_a_stream(spark, tmp_path):
     mask = forks(SHAPE)
     found = ordered.labelled_structures(str(tmp_path), SHAPE, slab=2, tile=8)
     order = [1, 0, 2, 4, 3, 5, 6, 7, 10, 8, 9]
+    steps = lambda: {n for n in os.listdir("/tmp/checkpoints") if n.startswith("step-")} if os.path.isdir("/tmp/checkpoints") else set()
+    before = steps()
     found.run(stream(spark, tmp_path, mask, order, 3))
+    assert steps() == before and len(os.listdir(tmp_path / "state")) == 2  # no table of a micro-batch stays but the last states
     want = components.connected_components(voxels(spark, mask), SHAPE)
     labels = sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, ordered.whole(found, spark).collect())) == labels

@@ -7,7 +7,10 @@ shared folder so that a lost executor costs no more than a round.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -18,20 +21,38 @@ from pyspark.sql import functions as F
 TILE = 512
 
 
+_within = threading.local()
+
+
 def step_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors share files; what is written there goes when the driver's JVM ends. Only a
-    local session, as in tests, may leave spark.checkpoint.dir unset: it gets one below /tmp."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where driver and executors share files; what is written there goes when the driver's JVM ends, or with the
+    `scratch` that it is made in. Only a local session, as in tests, may leave spark.checkpoint.dir unset: it gets one below
+    /tmp."""
+    shared = getattr(_within, "folder", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{(shared or '/tmp/checkpoints').rstrip('/')}/step-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(where)
-    system.deleteOnExit(where)
+    if not getattr(_within, "folder", None):
+        system.deleteOnExit(where)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, step folders lie in one folder that goes at its end: for work whose results are written elsewhere by then."""
+    before, folder = getattr(_within, "folder", None), step_folder(spark)
+    _within.folder = folder
+    try:
+        yield folder
+    finally:
+        _within.folder = before
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share."""
     path = f"{step_folder(df.sparkSession)}/rows"

@@ -35,6 +35,10 @@ class Ordered:
         return f"{self.folder}/state/{batch}/{name}"
 
     def __call__(self, arrived: DataFrame, batch: int) -> None:
+        with components.scratch(arrived.sparkSession):  # a stream may run for long: nothing is left behind but state and outputs
+            self._take(arrived, batch)
+
+    def _take(self, arrived: DataFrame, batch: int) -> None:
         spark = arrived.sparkSession
         kept = {**self.state, "waiting": ARRIVED}
         if batch:
