@@ -89,14 +89,15 @@ TABLE = [
 ]
 
 
-@pytest.mark.parametrize("pixels,want", TABLE)
-def test_components_by_table(spark, pixels, want):
-    given = spark.createDataFrame(pixels, "z long, y long, x long")
-    for slab in (1, 2):
-        groups: dict = {}
-        for r in components.connected_components(given, (2, 2, 3), slab).collect():
-            groups.setdefault(r.sid, []).append((r.z, r.y, r.x))
-        assert sorted(map(sorted, groups.values())) == sorted(want)
+@pytest.mark.parametrize("slab", [1, 2])
+def test_components_by_table(spark, slab):
+    """All rows of the table side by side in one volume, three columns apart."""
+    moved = [(z, y, x + 6 * k) for k, (pixels, _) in enumerate(TABLE) for z, y, x in pixels]
+    groups: dict = {}
+    for r in components.connected_components(spark.createDataFrame(moved, "z long, y long, x long"), (2, 2, 6 * len(TABLE)), slab, tile=4).collect():
+        groups.setdefault(r.sid, []).append((r.z, r.y, r.x))
+    want = [sorted((z, y, x + 6 * k) for z, y, x in part) for k, (_, parts) in enumerate(TABLE) for part in parts]
+    assert sorted(map(sorted, groups.values())) == sorted(want)
 
 
 @pytest.mark.parametrize("dtype", ["uint8", "uint16", "int32", "float32", "float64"])
