@@ -11,9 +11,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm.brute import FOLD, WORD, sha
+from tests.llm.brute import FOLD, WORD, exact, sha
 from tests.llm.test_operators import SCHEMA, awkward, plain, rows_of, same
-from volumetra.llm import dual_tree, filter_audit, simhash
+from volumetra.llm import curriculum, dual_tree, exact_dedup, filter_audit, simhash, toxicity
 from volumetra.llm.common import byte_slices, utf8
 
 # --- clusters ---------------------------------------------------------------------------------
@@ -206,3 +206,26 @@ def test_filter_audit(spark, monkeypatch, kind, least):
     docs = spark.createDataFrame([(*x, 1, 1, 1) for x in rows], "doc_id long, text string, lang string, part int, mask int, n int").repartition(4)
     got = filter_audit.filter_audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     same(rows_of(got), audit(rows, labels))
+
+
+# --- very long texts, and many rows without an id ----------------------------------------------
+
+
+def test_very_long_texts_and_many_null_ids(spark):
+    """Texts of a megabyte, one of them a single word, copies of them, and a hot text whose rows have no id."""
+    r = random.Random(8)
+    long = " ".join(f"W{r.randint(0, 30_000)}é" for _ in range(120_000))
+    rows = [(1, long, "en"), (2, long.lower(), "en"), (3, long, None), (4, "x" * 1_000_000, "de"), (5, "\t" * 300_000, "de"), (6, "short one", "de")]
+    rows += [(None, "a hot text without ids", "fr")] * 700 + [(7, "a hot text without ids", "fr")]
+    docs = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, lang string, source string").repartition(4)
+    pairs = [(d, t) for d, t, _ in rows]
+    prints = {t: print_of(t) for _, t in pairs}
+    want = near([d for d, _ in pairs], [prints[t] for _, t in pairs], 3)
+    same(rows_of(simhash.simhash_components(docs)), [(d, f"{prints[t]:016x}", c) for (d, t), c in zip(pairs, want)])
+    same(rows_of(filter_audit.filter_audit(docs, spark.createDataFrame([(1, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int"))), audit(rows, [(1, 1, 0), (6, 0, 1)]))
+    same(rows_of(exact_dedup.exact_duplicates(docs)), exact(pairs))
+    got = {(x.doc_id, x["size"]) for x in curriculum.curriculum(docs).collect()}
+    assert got == {(d, len(WORD.findall(t))) for d, t in pairs}
+    model = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0), (4, 1), (6, 0)], "doc_id long, toxic int"))
+    scored = toxicity.score(docs, model).collect()
+    assert len(scored) == len(rows) and all(0 <= x.score <= 1 for x in scored)
