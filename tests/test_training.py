@@ -165,3 +165,21 @@ def test_stamped_balls(spark):
         for at in np.argwhere((grid[0] - 5) ** 2 + (grid[1] - 5) ** 2 + (grid[2] - x) ** 2 <= 4):
             want[tuple(at.tolist())] = idx
     assert got == want
+
+
+def test_point_lists(spark):
+    """A large structure comes in parts; together they are its voxels."""
+    at = [(7, z, y, x) for z in range(4) for y in range(5) for x in range(6)] + [(9, 1, 9, 9), (9, 1, 9, 8)]
+    table = spark.createDataFrame(at, "sid long, z long, y long, x long").repartition(3)
+    got: dict = {}
+    for r in structures.point_lists(table, 50).collect():
+        assert len(r.points) <= 60 and [(p.z, p.y, p.x) for p in r.points] == sorted((p.z, p.y, p.x) for p in r.points)
+        got.setdefault(r.sid, []).append(r.points)
+    assert len(got[7]) == 3 and [tuple(p) for p in got[9][0]] == [(8, 9, 1), (9, 9, 1)]
+    assert sorted((7, p.z, p.y, p.x) for part in got[7] for p in part) == at[:120]
+
+
+def test_random_signs(spark):
+    signs = [r[0] for r in spark.range(4000).select(points.random_sign(F.col("id"), 3)).collect()]
+    assert set(signs) == {1, -1} and abs(sum(signs)) < 250
+    assert signs == [r[0] for r in spark.range(4000).repartition(3).orderBy("id").select(points.random_sign(F.col("id"), 3)).collect()]

@@ -54,6 +54,11 @@ def held_out(key: Column, share: float, seed: int) -> Column:
     return drawn < share * 2**32
 
 
+def random_sign(key: Column, seed: int) -> Column:
+    """1 or -1, each for half of the keys, the same for a key whenever it is asked."""
+    return F.when(held_out(key, 0.5, seed), 1).otherwise(-1)
+
+
 def batches(points: DataFrame, axis: str, size: int, seed: int | None = None) -> DataFrame:
     """Points in order of axis, then idx (with a seed, shuffled within equal values, another way for each seed, say the
     epoch), in batches of `size`. Points are range-sorted and written; a point's place is its place in its range plus the

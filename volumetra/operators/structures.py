@@ -38,6 +38,15 @@ def boxes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("sid").agg(*(e for a in "xyz" for e in (F.min(a).alias(f"min_{a}"), (F.max(a) - F.min(a) + 1).alias(f"size_{a}"))))
 
 
+def point_lists(labelled: DataFrame, most: int = 100_000) -> DataFrame:
+    """sid, part and points (an array of x, y, z in raster order) of each structure. A structure of more than `most` voxels
+    comes in several parts of about that many, so that no task gathers one of any size."""
+    counted = sizes(labelled).select("sid", F.ceil(F.col("volume") / most).alias("_parts"))
+    dealt = labelled.join(counted, "sid").withColumn("part", F.pmod(F.xxhash64("z", "y", "x"), F.col("_parts")))
+    ordered = F.array_sort(F.collect_list(F.struct("z", "y", "x")))
+    return dealt.groupBy("sid", "part").agg(F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("points"))
+
+
 def triage(volume: Column, cell_below: float, cluster_below: float, names=("cell", "needs_split", "artifact")) -> Column:
     return F.when(volume < cell_below, names[0]).when(volume < cluster_below, names[1]).otherwise(names[2])
 
