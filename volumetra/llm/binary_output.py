@@ -3,8 +3,8 @@
 All pieces of the corpus are packed at once, however the rows are ordered or
 batched. Only the histogram of piece lengths (at most `capacity` numbers)
 reaches the driver, which fits it by best fit decreasing; pieces of a length
-are numbered, and their numbers say where they go. Then ids are shuffled by
-sequence.
+are numbered where they are written, task by task, and their numbers say where
+they go. Ids are shuffled once, by sequence.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from volumetra.llm.common import cut
-from volumetra.llm.pattern_packing import placed, token_pieces
+from volumetra.llm.pattern_packing import token_pieces
 
 #: Production parameters.
 CAPACITY, END_ID, PAD_ID = 4096, 1, 0
 #: Sequences of one output batch.
 OUT_ROWS = 512
+#: Pairs of a length and a task up to which their running totals are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 SCHEMA = "input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
 
 
@@ -112,6 +116,32 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def _numbered(pieces: DataFrame, capacity: int) -> DataFrame:
+    """pieces with the task that makes them (`part`) and how many pieces of their length it has made before (`nth`)."""
+
+    @F.pandas_udf("long")
+    def nth(lengths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in lengths:
+            yield batch.groupby(batch).cumcount() + seen[batch.to_numpy()]
+            seen += np.bincount(batch.to_numpy(), minlength=len(seen))
+
+    return pieces.withColumn("part", F.spark_partition_id()).withColumn("nth", nth.asNondeterministic()("length"))
+
+
+def _seat(runs: list[tuple[int, int, int, int, int]], length: Column, rank: Column) -> Column:
+    """sequence_id and offset of a piece, by its number among those of its length. Only both numbers go to Python."""
+    table = np.array(sorted(runs) or np.zeros((0, 5)), np.int64)
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def seat(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        n, k = length.to_numpy(), rank.to_numpy()
+        _, before, first, times, at = table[np.searchsorted(table[:, 0] << 44 | table[:, 1], n << 44 | k, "right") - 1].T
+        return pd.DataFrame({"sequence_id": first + (k - before) // times, "offset": at + (k - before) % times * n})
+
+    return seat(length, rank)
+
+
 def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = PAD_ID, kind: str | None = None) -> DataFrame:
     """A row for each packed sequence: input_ids (`capacity` ids of `kind`, by default id_type()'s, padded behind), n_tokens,
     cu_seqlens (0 and where each segment ends), position_ids (of the same kind, starting again with each segment; 0 in
@@ -122,10 +152,13 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     gives an empty one. Other columns, whatever their names, are ignored.
     """
     kind = kind or id_type(tokenizer)
-    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, kind).drop("start"))
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    runs, _ = best_fit_runs(histogram, capacity)
-    dealt = placed(pieces, runs, sum(histogram.values()), "ids").drop("length")
+    pieces = cut(_numbered(token_pieces(docs, tokenizer, capacity, end_id, kind).drop("start"), capacity))
+    counts = cut(pieces.groupBy("length", "part").count())
+    runs, _ = best_fit_runs({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    ranked = pieces.join(F.broadcast(base) if counts.count() <= BROADCAST_ROWS else base, ["length", "part"])
+    dealt = ranked.withColumn("seat", _seat(runs, F.col("length"), F.col("base") + F.col("nth"))).select("doc_id", "piece", "ids", "seat.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
