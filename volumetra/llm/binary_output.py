@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,12 +118,16 @@ def id_type(tokenizer: str) -> str:
 def _numbered(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces with the task that makes them (`part`) and how many pieces of their length it has made before (`nth`)."""
 
-    @F.pandas_udf("long")
-    def nth(lengths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def nth(lengths: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = np.zeros(capacity + 1, np.int64)
         for batch in lengths:
-            yield batch.groupby(batch).cumcount() + seen[batch.to_numpy()]
-            seen += np.bincount(batch.to_numpy(), minlength=len(seen))
+            n = batch.to_numpy(zero_copy_only=False)
+            order, each = np.argsort(n, kind="stable"), np.bincount(n, minlength=len(seen))
+            out = np.empty_like(n)
+            out[order] = np.arange(len(n)) + (seen - np.cumsum(each) + each)[n[order]]
+            seen += each
+            yield pa.array(out)
 
     return pieces.withColumn("part", F.spark_partition_id()).withColumn("nth", nth.asNondeterministic()("length"))
 
@@ -133,11 +136,11 @@ def _seat(runs: list[tuple[int, int, int, int, int]], length: Column, rank: Colu
     """sequence_id and offset of a piece, by its number among those of its length. Only both numbers go to Python."""
     table = np.array(sorted(runs) or np.zeros((0, 5)), np.int64)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def seat(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, k = length.to_numpy(), rank.to_numpy()
+    @F.arrow_udf("sequence_id long, offset long")
+    def seat(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, k = (x.to_numpy(zero_copy_only=False) for x in (length, rank))
         _, before, first, times, at = table[np.searchsorted(table[:, 0] << 44 | table[:, 1], n << 44 | k, "right") - 1].T
-        return pd.DataFrame({"sequence_id": first + (k - before) // times, "offset": at + (k - before) % times * n})
+        return pa.StructArray.from_arrays([pa.array(first + (k - before) // times), pa.array(at + (k - before) % times * n)], ["sequence_id", "offset"])
 
     return seat(length, rank)
 
