@@ -115,23 +115,6 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _numbered(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces with the task that makes them (`part`) and how many pieces of their length it has made before (`nth`)."""
-
-    @F.arrow_udf("long")
-    def nth(lengths: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in lengths:
-            n = batch.to_numpy(zero_copy_only=False)
-            order, each = np.argsort(n, kind="stable"), np.bincount(n, minlength=len(seen))
-            out = np.empty_like(n)
-            out[order] = np.arange(len(n)) + (seen - np.cumsum(each) + each)[n[order]]
-            seen += each
-            yield pa.array(out)
-
-    return pieces.withColumn("part", F.spark_partition_id()).withColumn("nth", nth.asNondeterministic()("length"))
-
-
 def _seat(runs: list[tuple[int, int, int, int, int]], length: Column, rank: Column) -> Column:
     """sequence_id and offset of a piece, by its number among those of its length. Only both numbers go to Python."""
     table = np.array(sorted(runs) or np.zeros((0, 5)), np.int64)
@@ -155,7 +138,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     gives an empty one. Other columns, whatever their names, are ignored.
     """
     kind = kind or id_type(tokenizer)
-    pieces = cut(_numbered(token_pieces(docs, tokenizer, capacity, end_id, kind).drop("start"), capacity))
+    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, kind, numbered=True).drop("start").withColumn("part", F.spark_partition_id()))
     counts = cut(pieces.groupBy("length", "part").count())
     runs, _ = best_fit_runs({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,13 +12,14 @@ follows the number of lengths, never the number of pieces.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from volumetra.llm.common import cut
 from volumetra.llm.tokens import encoder, parts
@@ -29,16 +30,18 @@ CAPACITY, END_ID = 4096, 1
 GRID, DEPTH, BUCKET_ROWS = 64, 3, 20_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, kind: str = "<u4", carry: tuple[str, ...] = ()) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, kind: str = "<u4", carry: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids (of that kind: little-endian unsigned 32-bit), a row for each piece of each document.
 
     A document is its ids followed by end_id; longer ones than the capacity are cut, none is dropped. Null and empty
     texts give one piece with end_id alone. A null doc_id stays null, equal rows give pieces of their own, an empty
     table gives an empty one. Takes doc_id and text; columns that carry names come along, others are ignored.
+    numbered adds `nth`: how many pieces of its length the task has made before.
     """
+    more = ["nth"] if numbered else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False).encode
+        encode, seen = encoder(tokenizer, False).encode, Counter()
         for batch in batches:
             none, at, held, made = np.zeros(0, kind), 0, np.zeros(0, kind), 0  # the row at hand, its ids not put out yet, and its pieces so far
             row, piece, data = [], [], []
@@ -60,9 +63,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 own = pa.array(row, pa.int64())
                 out = [batch["doc_id"].take(own), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity)]
                 out += [pa.array([len(p) for p in data], pa.int64()), pa.array([p.tobytes() for p in data], pa.binary()), *(batch[c].take(own) for c in carry)]
+                if numbered:
+                    nth = []
+                    for p in data:
+                        nth.append(seen[len(p)])
+                        seen[len(p)] += 1
+                    out.append(pa.array(nth, pa.int64()))
                 for x in (row, piece, data):
                     x.clear()
-                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids", *carry])
+                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids", *carry, *more])
 
             for rows, texts in parts(batch["text"], False):
                 ids, ends = encode(texts)
@@ -80,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 yield batch_of()
 
     schema = StructType.fromDDL("doc_id long, piece int, start long, length long, ids binary")
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, StructType([*schema, *(docs.schema[c] for c in carry)]))
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, StructType([*schema, *(docs.schema[c] for c in carry), *(StructField(c, LongType()) for c in more)]))
 
 
 def patterns(grid: int = GRID, depth: int = DEPTH) -> list[tuple[int, ...]]:
