@@ -194,9 +194,10 @@ def test_plan_places_all_and_is_tight():
     assert len(out) < 3 * 4096
 
 
-def test_matrices(docs):
+@pytest.mark.parametrize("broadcast_rows", [0, binary_output.BROADCAST_ROWS])
+def test_matrices(docs, broadcast_rows):
     want, got = _ids(docs), defaultdict(dict)
-    rows = binary_output.packed_matrices(docs, tokenizer_path("word_bpe_49k.json")).collect()
+    rows = binary_output.packed_matrices(docs.repartition(5), tokenizer_path("word_bpe_49k.json"), broadcast_rows=broadcast_rows).collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
     for r in rows:
         ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")

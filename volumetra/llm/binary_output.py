@@ -25,8 +25,8 @@ from volumetra.llm.pattern_packing import token_pieces
 CAPACITY, END_ID, PAD_ID = 4096, 1, 0
 #: Sequences of one output batch.
 OUT_ROWS = 512
-#: Pairs of a length and a task up to which their running totals are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Pairs of a length and a task up to which their running totals are broadcast (some 40 MB); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 250_000
 SCHEMA = "input_ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>"
 
 
@@ -128,14 +128,15 @@ def _seat(runs: list[tuple[int, int, int, int, int]], length: Column, rank: Colu
     return seat(length, rank)
 
 
-def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = PAD_ID, kind: str | None = None) -> DataFrame:
+def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = PAD_ID, kind: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each packed sequence: input_ids (`capacity` ids of `kind`, by default id_type()'s, padded behind), n_tokens,
     cu_seqlens (0 and where each segment ends), position_ids (of the same kind, starting again with each segment; 0 in
     the padding), doc_ids and pieces of the segments.
 
     A document is its ids followed by end_id; overlong ones are cut into several pieces without loss. Null and empty
     texts have end_id alone (without end_id: nothing). A null doc_id stays null, equal rows are packed each, an empty table
-    gives an empty one. Other columns, whatever their names, are ignored.
+    gives an empty one. Other columns, whatever their names, are ignored. The order of rows in their files decides which
+    of the pieces of one length goes where, and nothing else.
     """
     kind = kind or id_type(tokenizer)
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, kind, numbered=True).drop("start").withColumn("part", F.spark_partition_id()))
@@ -143,7 +144,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     runs, _ = best_fit_runs({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(F.broadcast(base) if counts.count() <= BROADCAST_ROWS else base, ["length", "part"])
+    ranked = pieces.join(F.broadcast(base) if counts.count() <= broadcast_rows else base, ["length", "part"])
     dealt = ranked.withColumn("seat", _seat(runs, F.col("length"), F.col("base") + F.col("nth"))).select("doc_id", "piece", "ids", "seat.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
