@@ -109,10 +109,29 @@ def test_null_ids_and_equal_rows(spark):
     assert jaccard_join.jaccard_components(df).count() == 4
 
 
-@pytest.mark.parametrize("group,most,short,bits", [(4_000_000, 2_000_000, 64, 64), (300, 0, 64, 5), (300, 0, 3, 64)])
-def test_jaccard(docs, group, most, short, bits):
-    got = jaccard_join.jaccard_components(docs, group_shingles=group, broadcast_rows=most, short_list=short, bits=bits).select("doc_id", "n_shingles", "component_id")
-    same(rows_of(got), brute.jaccard(plain(docs)))
+@pytest.mark.parametrize("group,block,bridge,most,short,bits", [(4_000_000, 4_000_000, 8, 2_000_000, 64, 64), (300, 150, 2, 0, 64, 5), (300, 300, 8, 0, 3, 64), (100, 60, 0, 2_000_000, 3, 64)])
+def test_jaccard(docs, group, block, bridge, most, short, bits):
+    got = jaccard_join.jaccard_components(docs, group_shingles=group, block_shingles=block, bridge=bridge, broadcast_rows=most, short_list=short, bits=bits)
+    same(rows_of(got.select("doc_id", "n_shingles", "component_id")), brute.jaccard(plain(docs)))
+
+
+def test_jaccard_of_one_large_group(spark):
+    # All share a passage, so they are one group; it holds a chain of near copies, families of their own and lone texts.
+    r, rows, chain = random.Random(6), [], [f"c{k}" for k in range(60)]
+    passage = [f"p{k}" for k in range(8)]
+    for k in range(40):
+        rows.append((k, " ".join(passage + chain)))
+        chain[r.randrange(60)] = f"x{k}"
+    for k in range(40, 70):
+        family = k % 6
+        rows.append((k, " ".join(passage + [f"f{family}-{i}" for i in range(20 + 9 * family)] + [f"t{k}"] * (k % 2))))
+    rows += [(k, " ".join(passage + [f"u{k}-{i}" for i in range(k - 60)])) for k in range(70, 110)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.jaccard(rows)
+    for group, block, bridge in ((400, 200, 2), (5000, 150, 1), (150, 100, 0)):
+        got = jaccard_join.jaccard_components(docs, group_shingles=group, block_shingles=block, bridge=bridge, short_list=4)
+        same(rows_of(got.select("doc_id", "n_shingles", "component_id")), want)
 
 
 def test_divide_skip():
@@ -128,6 +147,9 @@ def test_divide_skip():
                 want = [x if v == y else v for v in want]
     pairs = {(root[a] == root[b], want[a] == want[b]) for a in range(120) for b in range(a)}
     assert pairs <= {(True, True), (False, False)}
+    # Sets known to be linked stay so, and the rest comes out as before.
+    again = jaccard_join.divide_skip(sets, 50, [want[k] if k % 3 else 1000 + k for k in range(120)])
+    assert {(again[a] == again[b], want[a] == want[b]) for a in range(120) for b in range(a)} <= {(True, True), (False, False)}
 
 
 @pytest.mark.parametrize("rows", [256, 1])

@@ -10,7 +10,10 @@ might share, reaches what the required overlap leaves to these shingles, and if
 bitmaps of both sets allow the overlap. Classes that meet in long lists, and
 pairs that went on, come together in groups; within a group, an inverted index
 answers each class's T-occurrence query as DivideSkip does: short lists are
-merged, long ones are probed by binary search, overlaps are exact.
+merged, long ones are probed by binary search, overlaps are exact. A large group
+is linked in blocks by set size, each with a few classes of the next one; after
+that, only classes outside the group's main component still have to meet the
+other blocks, so a group of near copies costs in proportion to its size.
 
 Shingles are compared by 64-bit hashes, which mix every word's bytes with their places. Classes have a 128-bit digest
 of their set and travel by its first 64 bits; should those of two classes agree, one of them is renamed before any join.
@@ -35,8 +38,10 @@ SHINGLE, PERCENT = 5, 75
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
 #: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
 SHORT_LIST, BITMAP = 256, 32
-#: Shingles of a group that one task indexes; larger groups are dealt in blocks by set size.
-GROUP_SHINGLES = 1_000_000
+#: Shingles of a group that one task links first, and shingles of each of the two blocks that one task compares after that.
+BLOCK_SHINGLES, GROUP_SHINGLES = 250_000, 1_000_000
+#: Classes of a block that the block before also holds, so that what both have linked comes together.
+BRIDGES = 8
 #: Rows up to which the classes that have candidates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 SLICE_BYTES = 400_000
@@ -166,9 +171,10 @@ def _sets(words: int, names: Classes):
     return run
 
 
-def divide_skip(sets: list[np.ndarray], percent: int) -> list[int]:
-    """Join the sets; each one's root after all links (a member's index)."""
-    root = list(range(len(sets)))
+def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[int]:
+    """Join the sets; each one's root after all links (a member's index). Sets with equal `known` are linked already."""
+    first: dict = {}
+    root = [first.setdefault(c, k) for k, c in enumerate(known)] if known else list(range(len(sets)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -214,18 +220,20 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _links(percent: int):
-    """Over rows (task, cls, shingles) sorted by task: links (u, v) that connect what the task's classes have linked."""
+    """Over rows (task, cls, known, shingles) sorted by task: links (u, v) between the known components that the task's
+    classes have linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def done() -> pa.RecordBatch:
-            roots = divide_skip([s for _, s in held], percent) if len(held) > 1 else [0] * len(held)
-            pairs = [(held[k][0], held[r][0]) for k, r in enumerate(roots) if k != r]
+            known = [c for c, _ in held]
+            roots = divide_skip([s for _, s in held], percent, known) if len(set(known)) > 1 else []
+            pairs = sorted({(known[k], known[r]) for k, r in enumerate(roots) if known[k] != known[r]})
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for t, c, s in zip(*(batch[x].to_pylist() for x in ("task", "cls", "shingles"))):
+            for t, c, s in zip(*(batch[x].to_pylist() for x in ("task", "known", "shingles"))):
                 if t != task and held:
                     yield done()
                     held = []
@@ -250,7 +258,8 @@ def _dealt(groups: DataFrame, group_shingles: int, parts: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST, bits: int = 64
+    docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST, bits: int = 64,
+    block_shingles: int = BLOCK_SHINGLES, bridge: int = BRIDGES,
 ) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal shingle sets) and component_id, a row for each row of docs.
 
@@ -290,17 +299,38 @@ def jaccard_components(
     shared = pairs.select(F.col("cls1").alias("u"), F.col("cls2").alias("v")).union(met.where("long AND cls != low").select("low", "cls")).distinct()
     groups = components(shared)
     grouped = cut(sets.select("cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls"))
-    members = cut(_dealt(grouped, group_shingles, parts))
-    block = members.groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    low, high = block.select("root", F.col("block").alias("i"), F.col("most").alias("i_most")), block.select("root", F.col("block").alias("j"), F.col("least").alias("j_least"))
-    both = low.join(high, "root").where((F.col("i") <= F.col("j")) & (100 * F.col("i_most") >= percent * F.col("j_least")))
-    ends = both.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.xxhash64("root", "i", "j").alias("task"))
-    tasks = members.join(ends, ["root", "block"]).select("cls", "task")
-    wanted = cut(tasks)
     whole = read.mapInArrow(_sets(words, names), "cls long, shingles binary")
-    few = wanted.count() <= broadcast_rows
-    dealt = whole.join(F.broadcast(wanted) if few else wanted, "cls").groupBy("task", "cls").agg(F.first("shingles").alias("shingles"))
-    links = dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
+
+    def linked(tasks: DataFrame) -> DataFrame:
+        """Links found by tasks (task, cls, known)."""
+        few = tasks.count() <= broadcast_rows
+        dealt = whole.join(F.broadcast(tasks) if few else tasks, "cls").groupBy("task", "cls").agg(F.first("known").alias("known"), F.first("shingles").alias("shingles"))
+        return dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
+
+    members = cut(_dealt(grouped, block_shingles, parts))
+    last = members.groupBy("root").agg(F.max("block").alias("last"), F.count("*").alias("m_group")).where("last > 0")
+    later = members.where("block > 0").withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("cls"))))
+    bridges = later.where(F.col("_k") <= bridge).select("cls", "root", (F.col("block") - 1).alias("block"))
+    tasks = members.select("cls", "root", "block").unionByName(bridges).select(F.xxhash64("root", "block").alias("task"), "cls", F.col("cls").alias("known"))
+    links = cut(linked(cut(tasks)))
+    # Groups of several blocks: their classes by what is linked so far, and which of these components is the group's largest.
+    many = max(1000, grouped.count() // (4 * parts))
+    wide = join_split(members, cut(last), ["root"], f"m_group > {many}").select("cls", "n", "root")
+    so_far = components(links).select(F.col("node").alias("cls"), F.col("root").alias("known"))
+    wide = cut(wide.join(so_far, "cls", "left").withColumn("known", F.coalesce("known", "cls")))
+    mains = wide.groupBy("root", "known").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.sum("m").alias("m_group"))
+    wide = cut(join_split(wide, cut(mains), ["root"], f"m_group > {many}").select("cls", "n", "root", "known", (F.col("known") == F.col("main")).alias("inside")))
+    if not wide.where("NOT inside").isEmpty():
+        sides = [cut(_dealt(wide.where(c).select("cls", "n", "root"), group_shingles, parts)).withColumn("inside", F.lit(c == "inside")) for c in ("NOT inside", "inside")]
+        placed = sides[0].unionByName(sides[1])
+        spans = cut(placed.groupBy("root", "inside", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+        span = lambda k: spans.select("root", *(F.col(c).alias(f"{c}{k}") for c in ("inside", "block", "least", "most")))
+        fit = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+        both = span(1).where("NOT inside1").join(span(2), "root").where(fit & (F.col("inside2") | (F.col("block1") <= F.col("block2"))))
+        name = F.xxhash64("root", "block1", "inside2", "block2").alias("task")
+        ends = both.select("root", name, F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"inside{k}").alias("inside"), F.col(f"block{k}").alias("block")) for k in (1, 2))))).alias("end")).select("root", "task", "end.*")
+        again = placed.join(ends, ["root", "inside", "block"]).select("cls", "task").join(wide.select("cls", "known"), "cls")
+        links = links.unionByName(cut(linked(cut(again))))
     joined = components(links).withColumnRenamed("node", "cls")
     # Components of classes, then of rows; roots and classes that hold very many are broadcast.
     classes = cut(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
