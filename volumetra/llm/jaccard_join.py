@@ -38,7 +38,8 @@ SHINGLE, PERCENT = 5, 75
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
 #: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
 SHORT_LIST, BITMAP = 256, 32
-#: Shingles of a group that one task links first, and shingles of each of the two blocks that one task compares after that.
+#: Shingles of a group's block: one task links a block first; after that, a task compares a block of the main component with
+#: a larger one of classes outside it, of which there are few in groups of near copies, or two of the latter.
 BLOCK_SHINGLES, GROUP_SHINGLES = 250_000, 1_000_000
 #: Classes of a block that the block before also holds, so that what both have linked comes together.
 BRIDGES = 8
@@ -321,8 +322,8 @@ def jaccard_components(
     mains = wide.groupBy("root", "known").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.sum("m").alias("m_group"))
     wide = cut(join_split(wide, cut(mains), ["root"], f"m_group > {many}").select("cls", "n", "root", "known", (F.col("known") == F.col("main")).alias("inside")))
     if not wide.where("NOT inside").isEmpty():
-        sides = [cut(_dealt(wide.where(c).select("cls", "n", "root"), group_shingles, parts)).withColumn("inside", F.lit(c == "inside")) for c in ("NOT inside", "inside")]
-        placed = sides[0].unionByName(sides[1])
+        side_of = lambda c, size: cut(_dealt(wide.where(c).select("cls", "n", "root"), size, parts)).withColumn("inside", F.lit(c == "inside"))
+        placed = side_of("NOT inside", group_shingles).unionByName(side_of("inside", block_shingles))
         spans = cut(placed.groupBy("root", "inside", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
         span = lambda k: spans.select("root", *(F.col(c).alias(f"{c}{k}") for c in ("inside", "block", "least", "most")))
         fit = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
