@@ -115,6 +115,38 @@ def test_jaccard(docs, group, block, bridge, most, short, bits):
     same(rows_of(got.select("doc_id", "n_shingles", "component_id")), brute.jaccard(plain(docs)))
 
 
+def pair_rows(spark, docs, monkeypatch, **how):
+    """Components of docs, and the candidate pairs that the search put into groups."""
+    edges, real = [], jaccard_join.components
+    with monkeypatch.context() as m:
+        m.setattr(jaccard_join, "components", lambda e: edges.append(e) or real(e))
+        got = rows_of(jaccard_join.jaccard_components(docs, **how).select("doc_id", "n_shingles", "component_id"))
+    return got, [e.count() for e in edges]
+
+
+def test_jaccard_of_many_near_copies_makes_no_pair_for_each_two_of_them(spark, monkeypatch):
+    r = random.Random(8)
+    bases = [[f"w{r.randrange(5000)}" for _ in range(80)] for _ in range(6)]
+    for n in (20, 40):
+        rows = [(100 * b + k, " ".join([*base, "copy", str(k)])) for b, base in enumerate(bases) for k in range(n)]
+        rows += [(1000 + k, " ".join(base[:60] + [f"v{r.randrange(5000)}" for _ in range(20)])) for k, base in enumerate(bases)]
+        got, edges = pair_rows(spark, spark.createDataFrame(rows, "doc_id long, text string"), monkeypatch, most_pairs=5)
+        same(got, brute.jaccard(rows))
+        assert len(edges) == 4 and edges[1] < 6 * n  # links of near copies first, then pairs: before, 6 * n * (n - 1) / 2
+
+
+def test_jaccard_reads_one_text_of_each_set(spark):
+    rows = [(k, f"a b c d e f g h {k % 5}") for k in range(60)] + [(3, "a b c d e f g h 3"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(rows_of(jaccard_join.jaccard_components(docs, copied_sets=2).select("doc_id", "n_shingles", "component_id")), brute.jaccard(rows))
+    names, batch = jaccard_join.Classes(64), pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows])
+    ones = {r["cls"] for r in pa.Table.from_batches(jaccard_join._sets(5, names, spark.sparkContext.broadcast({}))([batch])).to_pylist()}
+    kept = spark.sparkContext.broadcast({c: k for c in ones for k in range(5) if names.name(next(jaccard_join.shingle_sets(*jaccard_join.utf8(batch["text"][k : k + 1]), 5))[0]) == c})
+    assert len(ones) == len(kept.value) == 5
+    sent = pa.Table.from_batches(jaccard_join._sets(5, names, kept)([batch])).to_pylist()
+    assert len(sent) == 6 and {r["cls"] for r in sent} == ones  # 5 sets, and a row that has the same id and text as another
+
+
 def test_jaccard_of_one_large_group(spark):
     # All share a passage, so they are one group; it holds a chain of near copies, families of their own and lone texts.
     r, rows, chain = random.Random(6), [], [f"c{k}" for k in range(60)]

@@ -4,7 +4,10 @@ Documents with equal shingle sets form a class, and classes are joined. Two
 classes that link share one of the first |A| - T + 1 shingles of either in any
 fixed order; the order puts shingles of rare words first and shingles that are
 frequent in a sample last, which changes the work but no result. Inverted lists
-over these shingles are short or long. Short ones are merged: pairs that meet
+over these shingles are short or long. Where short ones hold too many pairs, as
+those of many near copies of each text do, classes are first linked within two
+lists each, those of smallest hash, which near copies mostly have in common; lists
+of one component then need no pairs. Short lists are merged: pairs that meet
 in them are counted, and a pair goes on if its count, with all long lists it
 might share, reaches what the required overlap leaves to these shingles, and if
 bitmaps of both sets allow the overlap. Classes that meet in long lists, and
@@ -44,6 +47,10 @@ BLOCK_SHINGLES, GROUP_SHINGLES = 250_000, 1_000_000
 BRIDGES = 8
 #: Rows up to which the classes that have candidates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Pairs from short lists, for each class, beyond which near copies are linked first; smallest lists that they meet in then.
+MOST_PAIRS, FIRST_LIST = 200, 8
+#: Sets with most copies of which only one text goes on to the lists; of all others every copy does, which costs work only.
+COPIED = 100_000
 SLICE_BYTES = 400_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -146,26 +153,26 @@ class Order:
         return s[np.lexsort((s, score))[:many]] if many < n else s
 
 
-def _postings(words: int, percent: int, order, names: Classes):
+def _postings(words: int, percent: int, order, names: Classes, copied):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in _parts(batch, words):
+            for part, sets in _parts(batch, words):
                 tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
-                for s, hashes, at in sets:
-                    if n := len(s):
+                for doc, (s, hashes, at) in zip(part["doc_id"].to_pylist(), sets):
+                    if (n := len(s)) and copied.value.get(c := names.name(s), doc) == doc:
                         tokens.append(order.value.first(s, hashes, at, words, n + (-n * percent // 100) + 1))
-                        classes.append(names.name(s))
+                        classes.append(c)
                         sizes.append(len(tokens[-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), np.array(sizes, np.int64)))], ["token", "cls"])
 
     return run
 
 
-def _sets(words: int, names: Classes):
+def _sets(words: int, names: Classes, copied):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in _parts(batch, words):
-                rows = [(names.name(s), s.tobytes()) for s, _, _ in sets if len(s)]
+            for part, sets in _parts(batch, words):
+                rows = [(c, s.tobytes()) for doc, (s, _, _) in zip(part["doc_id"].to_pylist(), sets) if len(s) and copied.value.get(c := names.name(s), doc) == doc]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cls", "shingles"])
 
     return run
@@ -259,7 +266,7 @@ def _dealt(groups: DataFrame, group_shingles: int, parts: int) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST, bits: int = 64,
-    block_shingles: int = BLOCK_SHINGLES, bridge: int = BRIDGES,
+    block_shingles: int = BLOCK_SHINGLES, bridge: int = BRIDGES, most_pairs: int = MOST_PAIRS, copied_sets: int = COPIED,
 ) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal shingle sets) and component_id, a row for each row of docs.
 
@@ -278,17 +285,41 @@ def jaccard_components(
         table = spark.createDataFrame([(*k, v) for k, v in moved.items()], "cls long, cls2 long, other long")
         rows = rows.join(F.broadcast(table), ["cls", "cls2"], "left").withColumn("cls", F.coalesce("other", "cls"))
     rows = rows.select("doc_id", "n_shingles", "cls", "bits")
+    copies = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("kept"), F.count("*").alias("m")).where("m > 1 AND kept IS NOT NULL")
+    copied = spark.sparkContext.broadcast({r.cls: r.kept for r in copies.orderBy(F.desc("m"), "cls").limit(copied_sets).select("cls", "kept").toLocalIterator()})
     sample = [r.text for r in hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
     order = spark.sparkContext.broadcast(Order(sample, words))
-    postings = read.mapInArrow(_postings(words, percent, order, names), "token long, cls long")
+    postings = read.mapInArrow(_postings(words, percent, order, names, copied), "token long, cls long")
     lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
-    met = cut(postings.join(lists.select("token", "low", (F.col("m") > short_list).alias("long")), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("long").alias("long")))
+    met = cut(postings.join(lists.select("token", "low", "m"), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("m").alias("m")))
+    met = met.withColumn("long", F.col("m") > short_list)
     sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     size = met.groupBy("cls").agg(F.sum(F.col("long").cast("int")).alias("longs")).join(sets.select("cls", "n"), "cls")
-    short = met.where("NOT long").select("token", "cls").join(size, "cls")
+    whole = read.mapInArrow(_sets(words, names, copied), "cls long, shingles binary")
+
+    def linked(tasks: DataFrame) -> DataFrame:
+        """Links found by tasks (task, cls, known)."""
+        few = tasks.count() <= broadcast_rows
+        dealt = whole.join(F.broadcast(tasks) if few else tasks, "cls").groupBy("task", "cls").agg(F.first("known").alias("known"), F.first("shingles").alias("shingles"))
+        return dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
+
+    listed, near_links = met.where("NOT long").select("token", "cls"), None
+    work = met.where("NOT long").agg(F.sum((F.col("m") - 1) / 2).alias("pairs"), F.approx_count_distinct("cls").alias("n")).first()
+    if (work.pairs or 0) > most_pairs * work.n:
+        first = [F.min_by("token", F.xxhash64("token", F.lit(k))) for k in (1, 2)]
+        chosen = met.where(f"NOT long AND m >= {FIRST_LIST}").groupBy("cls").agg(F.array_distinct(F.array(*first)).alias("tokens"))
+        near_links = cut(linked(cut(chosen.select(F.explode("tokens").alias("task"), "cls", F.col("cls").alias("known")))))
+        known = components(near_links).select(F.col("node").alias("cls"), F.col("root").alias("known"))
+        listed = cut(listed.join(known, "cls", "left").withColumn("known", F.coalesce("known", "cls")))
+        mixed = listed.groupBy("token").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("token")
+        listed = cut(listed.join(mixed, "token"))
+    short = listed.join(size, "cls")
     side = lambda table, k, *more: table.select(*(F.col(c).alias(f"{c}{k}") for c in ("cls", *more)))
-    a, b = short.select("token", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "longs"))), short.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "longs")))
+    more = ("cls", "n", "longs", *(["known"] if near_links is not None else []))
+    a, b = (short.select("token", *(F.col(c).alias(f"{c}{k}") for c in more)) for k in (1, 2))
     near = (F.col("cls1") < F.col("cls2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    if near_links is not None:
+        near = near & (F.col("known1") != F.col("known2"))
     pairs = a.join(b, "token").where(near).groupBy("cls1", "cls2").agg(*(F.first(c).alias(c) for c in ("n1", "n2", "longs1", "longs2")), F.count("*").alias("c"))
     overlap = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
     left = overlap - F.ceil(percent * F.greatest("n1", "n2") / 100 - 1e-9) + 1
@@ -299,20 +330,14 @@ def jaccard_components(
     shared = pairs.select(F.col("cls1").alias("u"), F.col("cls2").alias("v")).union(met.where("long AND cls != low").select("low", "cls")).distinct()
     groups = components(shared)
     grouped = cut(sets.select("cls", "n").join(groups.withColumnRenamed("node", "cls"), "cls"))
-    whole = read.mapInArrow(_sets(words, names), "cls long, shingles binary")
-
-    def linked(tasks: DataFrame) -> DataFrame:
-        """Links found by tasks (task, cls, known)."""
-        few = tasks.count() <= broadcast_rows
-        dealt = whole.join(F.broadcast(tasks) if few else tasks, "cls").groupBy("task", "cls").agg(F.first("known").alias("known"), F.first("shingles").alias("shingles"))
-        return dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
-
     members = cut(_dealt(grouped, block_shingles, parts))
     last = members.groupBy("root").agg(F.max("block").alias("last"), F.count("*").alias("m_group")).where("last > 0")
     later = members.where("block > 0").withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("cls"))))
     bridges = later.where(F.col("_k") <= bridge).select("cls", "root", (F.col("block") - 1).alias("block"))
     tasks = members.select("cls", "root", "block").unionByName(bridges).select(F.xxhash64("root", "block").alias("task"), "cls", F.col("cls").alias("known"))
     links = cut(linked(cut(tasks)))
+    if near_links is not None:
+        links = links.unionByName(near_links)
     # Groups of several blocks: their classes by what is linked so far, and which of these components is the group's largest.
     many = max(1000, grouped.count() // (4 * parts))
     wide = join_split(members, cut(last), ["root"], f"m_group > {many}").select("cls", "n", "root")
