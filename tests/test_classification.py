@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from volumetra.operators import scoring
+from volumetra.operators import augment, cubes, scoring
+from volumetra.operators import points as points_of
 from volumetra.operators.cubes import resample_array
 from volumetra.operators.resnet import Arrays, ResidualNetwork, chosen_model, model_files
+from volumetra.plans import detection
 from volumetra.plans.detection import classify
 
 SMALL = dict(depth="18-layer", shape=(16, 16, 9, 2), features=4)
@@ -121,3 +123,53 @@ def test_sparse_cubes_and_none(spark):
     got = scoring.predictions(cubes, (2, 2, 2), scorer, block=1).select("idx", kind)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2)]
     assert scoring.predictions(cubes.where("false"), (2, 2, 2), scorer).count() == 0
+
+
+def _many_points(spark):
+    """Forty points at three places, one without an idx, and a volume to cut their cubes from."""
+    rows = [(None if k == 39 else k, *[(5.0, 5.0, 3.0), (6.0, 5.0, 3.0), (9.0, 8.0, 2.0)][k % 3]) for k in range(40)]
+    voxels = spark.range(7 * 16 * 16).selectExpr("id div 256 AS z", "id div 16 % 16 AS y", "id % 16 AS x", "id * 37 % 101 AS v")
+    return spark.createDataFrame(rows, "idx long, x double, y double, z double"), voxels
+
+
+def test_cubes_of_a_place_are_cut_and_scored_once(spark, monkeypatch):
+    points, voxels = _many_points(spark)
+    seen, real = [], scoring.predictions
+    monkeypatch.setattr(scoring, "predictions", lambda each, *how: seen.append(each.count()) or real(each, *how))
+    w = np.linspace(-1, 1, 75) ** 3
+    got = detection.classify(points, [voxels], (7, 16, 16), (3, 5, 5), (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2)), [(50, 10)])
+    bounded = cubes.full_only(cubes.bounds(points, dict(z=3, y=5, x=5)), dict(z=7, y=16, x=16))
+    each = cubes.extract(bounded, voxels.withColumn("v", (F.col("v") - 50) / 10.0))
+    want = scoring.join_back(points, real(each, (3, 5, 5), scoring.LinearSoftmax(np.stack([w, -w], 1), np.zeros(2))))
+    assert seen == [3 * 75] and got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 39
+
+
+def test_rows_of_places_reach_every_point(spark):
+    points, voxels = _many_points(spark)
+    bounded = cubes.full_only(cubes.bounds(points, dict(z=3, y=5, x=5)), dict(z=7, y=16, x=16))
+    placed, places = cubes.shared(bounded, (7, 16, 16))
+    assert places.count() == 3
+    got, want = cubes.spread(cubes.extract(places, voxels), placed), cubes.extract(bounded, voxels)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_points_of_one_place_are_augmented_each_in_its_way(spark):
+    points, voxels = _many_points(spark)
+    bounded = cubes.full_only(cubes.bounds(points, dict(z=3, y=5, x=5)), dict(z=7, y=16, x=16))
+    placed, places = cubes.shared(bounded, (7, 16, 16))
+    how = augment.Augmentation(likelihood=0.6, flip=("x", "z"), rotate={"z": (0.1, 2.0)}, scale={"y": 0.8}, seed=3)
+    got = augment.augmented(cubes.extract(places, voxels), (3, 5, 5), how, placed=placed)
+    want = augment.augmented(cubes.extract(bounded, voxels), (3, 5, 5), how)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 39 * 75
+    block = np.random.default_rng(0).random((9, 2, 5, 5, 5)).astype(np.float32)
+    each = [[augment.augment_array(c.astype(np.float64), how, 1, k) for c in one] for k, one in enumerate(block)]
+    assert np.array_equal(augment.augment_block(np.arange(9), block, how, 1), np.array(each))
+
+
+def test_equal_points_and_truths_are_matched_once(spark):
+    rows = spark.range(300).selectExpr("id % 2 AS x", "0L AS y", "0L AS z")
+    found = points_of.matched(rows, rows.where("x = 0"), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 0), (1, 0, 0)]
+    assert plan[plan.index("Join") :].count("Aggregate") == 2  # both sides lose their copies before they meet

@@ -68,22 +68,24 @@ class Augmentation:
 
 
 def gathered(cube: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Values of the cube at places (3, ...) between its voxels; outside, its border goes on."""
-    top = np.array(cube.shape).reshape(3, *[1] * (source.ndim - 1)) - 1
+    """Values of the cube (or of each of several, along axes before its own) at places (3, ...) between its voxels; outside, its
+    border goes on."""
+    top = np.array(cube.shape[-3:]).reshape(3, *[1] * (source.ndim - 1)) - 1
     at = np.clip(source, 0, top)
     low = np.floor(at).astype(int)
-    part, high, out = at - low, np.minimum(low + 1, top), np.zeros(source.shape[1:])
+    part, high, out = at - low, np.minimum(low + 1, top), np.zeros((*cube.shape[:-3], *source.shape[1:]))
     for corner in product((0, 1), repeat=3):
         weight = np.prod([part[k] if c else 1 - part[k] for k, c in enumerate(corner)], axis=0)
-        out += weight * cube[tuple((high if c else low)[k] for k, c in enumerate(corner))]
+        out += weight * cube[(..., *((high if c else low)[k] for k, c in enumerate(corner)))]
     return out
 
 
 def affine(cube: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The cube seen through the map, around its centre. A cube of unequal sizes is made a true cube first, and put back."""
-    shape, n = cube.shape, max(cube.shape)
+    """The cube (or each of several of equal sizes, along axes before their own) seen through the map, around its centre. A cube
+    of unequal sizes is made a true cube first, and put back."""
+    shape, n = cube.shape[-3:], max(cube.shape[-3:])
     whole = resample_array(cube, (n, n, n)) if min(shape) < n else cube
-    target = np.indices(whole.shape) - (n - 1) / 2
+    target = np.indices(whole.shape[-3:]) - (n - 1) / 2
     source = np.einsum("ij,j...->i...", matrix[:, :3], target) + (n * matrix[:, 3] + (n - 1) / 2).reshape(3, 1, 1, 1)
     out = gathered(whole, source)
     return resample_array(out, shape) if min(shape) < n else out
@@ -97,18 +99,50 @@ def augment_array(cube: np.ndarray, how: Augmentation, epoch: int, idx: int) ->
     return np.flip(cube, ["zyx".index(a) for a in flips]) if flips else cube
 
 
-def augmented(cubes: DataFrame, shape: tuple[int, int, int], how: Augmentation, epoch: int = 0, channels: int = 1, block: int = 32) -> DataFrame:
+def augment_block(idx: np.ndarray, cube: np.ndarray, how: Augmentation, epoch: int) -> np.ndarray:
+    """Cubes (n, channels, z, y, x) changed as `augment_array` changes each; those with the same changes go together."""
+    out, alike = cube.astype(np.float64), {}
+    for k, i in enumerate(idx.tolist()):
+        flips, matrix = how.chosen(epoch, i)
+        alike.setdefault((tuple(flips), matrix if matrix is None else matrix.tobytes()), []).append(k)
+    for (flips, matrix), at in alike.items():
+        some = out[at]
+        if matrix is not None:
+            m = np.frombuffer(matrix).reshape(3, 4)
+            some = affine(some, m) if len(set(cube.shape[2:])) == 1 else np.stack([[affine(c, m) for c in one] for one in some])
+        out[at] = np.flip(some, ["zyx".index(a) - 3 for a in flips]) if flips else some
+    return out
+
+
+def augmented(cubes: DataFrame, shape: tuple[int, int, int], how: Augmentation, epoch: int = 0, channels: int = 1, block: int = 32, placed: DataFrame | None = None) -> DataFrame:
     """cubes (idx, dz, dy, dx, v, and channel from 0 if there are several) as a training epoch sees them, dense. Voxels
-    without a row are 0; rows without an idx belong to no cube."""
+    without a row are 0; rows without an idx belong to no cube. With placed (idx, place), cubes are those of places, and
+    each point's copy of its place's cube, which goes to it as one array, is changed in its own way."""
     keys = ["idx", *(["channel"] if channels > 1 else []), "dz", "dy", "dx"]
+    schema = ", ".join(f"{k} long" for k in keys) + ", v double"
+
+    def changed(idx: np.ndarray, cube: np.ndarray) -> pa.RecordBatch:
+        out = augment_block(idx, cube, how, epoch)
+        place = np.indices(out.shape[1:])
+        columns = [np.repeat(idx, out[0].size), *(np.tile(p.ravel(), len(idx)) for p in (place if channels > 1 else place[1:])), out.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*keys, "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for idx, cube in in_blocks(batches, shape, channels, block):
-            for i, one in zip(idx.tolist(), cube):
-                out = np.stack([augment_array(c.astype(np.float64), how, epoch, i) for c in one])
-                place = np.indices(out.shape)
-                columns = [np.full(out.size, i), *(p.ravel() for p in (place if channels > 1 else place[1:])), out.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*keys, "v"])
+            yield changed(idx, cube)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for idx, cube in in_blocks(batches, shape, channels, block):
+            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(list(cube.reshape(len(cube), -1)), pa.list_(pa.float32()))], ["place", "cube"])
+
+    def run_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                yield changed(part["idx"].to_numpy(), part["cube"].flatten().to_numpy().reshape(-1, channels, *shape))
 
     rows = cubes.where("idx IS NOT NULL").select(*keys, "v").repartition("idx").sortWithinPartitions("idx")
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", v double")
+    if placed is None:
+        return rows.mapInArrow(run, schema)
+    packed = rows.mapInArrow(pack, "place long, cube array<float>")
+    return placed.where("idx IS NOT NULL").select("idx", "place").join(packed, "place").select("idx", "cube").mapInArrow(run_packed, schema)

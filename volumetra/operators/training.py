@@ -31,12 +31,15 @@ def features(cubes: DataFrame, shape: tuple[int, int, int], to: tuple[int, int,
     return cubes.where("idx IS NOT NULL").select(*names).repartition("idx").sortWithinPartitions("idx").mapInArrow(run, "idx long, features array<double>")
 
 
-def fit(cubes: DataFrame, labels: DataFrame, shape: tuple[int, int, int], to: tuple[int, int, int] | None = None, channels: int = 1, test_share: float = 0.1, seed: int = 0, rounds: int = 50, penalty: float = 0.01) -> LinearSoftmax:
+def fit(cubes: DataFrame, labels: DataFrame, shape: tuple[int, int, int], to: tuple[int, int, int] | None = None, channels: int = 1, test_share: float = 0.1, seed: int = 0, rounds: int = 50, penalty: float = 0.01, placed: DataFrame | None = None) -> LinearSoftmax:
     """A linear softmax scorer, by logistic regression over all cubes whose idx has a type (1, 2, ...) in labels and does not
     fall to the test side of `held_out`. Gradients are sums over partitions, aggregated as a tree; only weights, one for each
-    feature and class, reach the driver."""
+    feature and class, reach the driver. With placed (idx, place), cubes are those of places, each a row for every point there."""
     known = labels.where("type IS NOT NULL").select("idx", (F.col("type") - 1).cast("double").alias("label"))
-    rows = features(cubes, shape, to, channels).join(known, "idx").where(~held_out(F.col("idx"), test_share, seed))
+    rows = features(cubes, shape, to, channels)
+    if placed is not None:
+        known, rows = known.join(placed.select("idx", "place"), "idx"), rows.withColumnRenamed("idx", "place")
+    rows = rows.join(known, "idx" if placed is None else "place").where(~held_out(F.col("idx"), test_share, seed))
     table = rows.select(array_to_vector("features").alias("features"), "label")
     model = LogisticRegression(family="multinomial", maxIter=rounds, regParam=penalty, aggregationDepth=3).fit(table)
     return LinearSoftmax(model.coefficientMatrix.toArray().T, model.interceptVector.toArray())
