@@ -57,3 +57,20 @@ def test_bright_voxels(spark, volume):
     voxels = spark.createDataFrame([(*map(int, i), float(min(v, 80))) for i, v in np.ndenumerate(volume)], "z long, y long, x long, v double")
     want = planes.global_threshold(planes.enhance(voxels, SHAPE[1:], 1.6, 80), 1.0).select("z", "y", "x").collect()
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_plane_in_one_file_is_sent_by_all_tasks(spark, volume):
+    at = np.argwhere(volume > 80)
+    rows = voxel_rows(spark, at).coalesce(1)
+    found = streaming.overlap(rows, SHAPE, XY, Z)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ball.overlap(rows, SHAPE, XY, Z).collect()))
+
+
+def test_threshold_shuffles_no_voxels(spark, volume):
+    rows = spark.createDataFrame([(*map(int, at), float(v)) for at, v in np.ndenumerate(volume)], "z long, y long, x long, v double")
+    found = planes.global_threshold(rows, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    bright = volume > volume.mean((1, 2), keepdims=True) + volume.std((1, 2), ddof=1, keepdims=True)
+    assert sorted(tuple(r)[:3] for r in found.collect()) == sorted(map(tuple, np.argwhere(bright).tolist()))
