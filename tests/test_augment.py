@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from volumetra.operators.augment import Augmentation, affine, augment_array, augmented, gathered
+from volumetra.operators.augment import Augmentation, affine, augment_array, augmented, gathered, packed_block
 
 CUBE = np.random.default_rng(1).integers(0, 100, (7, 7, 7)).astype(float)
 
@@ -78,3 +78,8 @@ def test_through_spark(spark, channels):
         got[x.idx, x.channel if channels > 1 else 0, x.dz, x.dy, x.dx] = x.v
     want = [[augment_array(c, how, 7, k) for c in cube] for k, cube in enumerate(cubes)]
     assert len(rows) == cubes.size and np.allclose(got, want) and not np.allclose(got, cubes)
+
+
+def test_small_cubes_are_changed_many_at_once():
+    assert packed_block((5, 5, 5), 1, 32) == 1048
+    assert packed_block((50, 50, 20), 2, 32) == 32

@@ -19,6 +19,9 @@ from volumetra.operators.cubes import in_blocks, resample_array
 
 Range = float | tuple[float, float]
 
+#: Voxels of small cubes that are changed together.
+TOGETHER = 1 << 17
+
 
 @dataclass(frozen=True, kw_only=True)
 class Augmentation:
@@ -114,6 +117,11 @@ def augment_block(idx: np.ndarray, cube: np.ndarray, how: Augmentation, epoch: i
     return out
 
 
+def packed_block(shape: tuple[int, int, int], channels: int, block: int) -> int:
+    """Cubes changed together: `block`, or more if they are small, so that a few array steps serve many of them."""
+    return max(block, TOGETHER // (channels * int(np.prod(shape))))
+
+
 def augmented(cubes: DataFrame, shape: tuple[int, int, int], how: Augmentation, epoch: int = 0, channels: int = 1, block: int = 32, placed: DataFrame | None = None) -> DataFrame:
     """cubes (idx, dz, dy, dx, v, and channel from 0 if there are several) as a training epoch sees them, dense. Voxels
     without a row are 0; rows without an idx belong to no cube. With placed (idx, place), cubes are those of places, and
@@ -136,9 +144,10 @@ def augmented(cubes: DataFrame, shape: tuple[int, int, int], how: Augmentation,
             yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(list(cube.reshape(len(cube), -1)), pa.list_(pa.float32()))], ["place", "cube"])
 
     def run_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = packed_block(shape, channels, block)
         for b in batches:
-            for k in range(0, b.num_rows, block):
-                part = b.slice(k, block)
+            for k in range(0, b.num_rows, many):
+                part = b.slice(k, many)
                 yield changed(part["idx"].to_numpy(), part["cube"].flatten().to_numpy().reshape(-1, channels, *shape))
 
     rows = cubes.where("idx IS NOT NULL").select(*keys, "v").repartition("idx").sortWithinPartitions("idx")
