@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from volumetra.llm import additive_search, automaton_dedup, binary_output, curriculum, exact_dedup, jaccard_join, pattern_packing, queries, repeats, suffix_dedup, token_counts, toxicity
+from volumetra.llm.common import cut
 from volumetra.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, _norm string, hits int"
@@ -147,6 +149,31 @@ def test_jaccard_reads_one_text_of_each_set(spark):
     assert len(sent) == 6 and {r["cls"] for r in sent} == ones  # 5 sets, and a row that has the same id and text as another
 
 
+def test_jaccard_order_comes_from_counts_and_no_text_reaches_the_driver(spark, monkeypatch):
+    texts = ["A b c d e f g", "a b c d e f g", "x a b c d e f", "y z a b c d e f", "q a b c d e", "one", None, "", "k l m n o p", "k l m n o p q"]
+    rows = [(d, t) for d, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    taken, orders, real = [], [], jaccard_join.Order.__init__
+    with monkeypatch.context() as m:
+        m.setattr(jaccard_join.Order, "__init__", lambda own, *given: taken.append(given) or orders.append(own) or real(own, *given))
+        same(rows_of(jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")), brute.jaccard(rows))
+    assert all(a.dtype.kind in "iu" for a in taken[0])  # counts
+    sets, words = Counter(), Counter()
+    named = lambda t: [(s, h) for s, h, _ in jaccard_join.shingle_sets(*jaccard_join.utf8(pa.array([t])), 5)]
+    for s in {named(t)[0][0].tobytes() for t in texts}:
+        sets.update(np.frombuffer(s, np.uint64).tolist())
+    for t in texts:
+        words.update((named(t)[0][1] >> np.uint64(64 - jaccard_join.TABLE_BITS)).tolist())
+    often = sorted(s for s, n in sets.items() if n >= 3)
+    assert often and orders[0].frequent.tolist() == often
+    assert {k: v for k, v in enumerate(orders[0].table.tolist()) if v} == {k: int(np.log2(1 + n)) for k, n in words.items() if n}
+
+
+def test_cut_leaves_no_mark(spark):
+    at = cut(spark.range(5))
+    assert at.count() == 5 and not [f for f in os.listdir(at._cut_path.removeprefix("file:")) if "_SUCCESS" in f]
+
+
 def test_jaccard_of_one_large_group(spark):
     # All share a passage, so they are one group; it holds a chain of near copies, families of their own and lone texts.
     r, rows, chain = random.Random(6), [], [f"c{k}" for k in range(60)]

@@ -39,6 +39,8 @@ from volumetra.llm.graph import components
 SHINGLE, PERCENT = 5, 75
 #: Documents, and characters of each, sampled for the order of shingles, which no result depends on.
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
+#: Tasks that count the sample.
+SAMPLE_TASKS = 8
 #: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
 SHORT_LIST, BITMAP = 256, 32
 #: Shingles of a group that one task links first, and shingles of each of the two blocks that one task compares after that.
@@ -120,28 +122,56 @@ def _classes(words: int, classes: Classes):
     return run
 
 
+def _words_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of word hashes, and how many words each has."""
+    used = np.zeros(1 << TABLE_BITS, np.int64)
+    for batch in batches:
+        data, bounds = utf8(batch["text"])
+        for k, e in byte_slices(bounds, SLICE_BYTES):
+            part = _FOLD[data[bounds[k] : bounds[e]]]
+            starts, ends, _ = word_spans(part, bounds[k : e + 1] - bounds[k])
+            used += np.bincount((word_hashes(part, starts, ends) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+    some = np.flatnonzero(used)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], ["key", "n"])
+
+
+def _sampled_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Classes(64)
+        for batch in batches:
+            for _, sets in _parts(batch, words):
+                rows = [(*names.both(s), s.tobytes()) for s, _, _ in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary())], ["cls", "cls2", "shingles"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of the sets, and in how many of a batch each is."""
+    for batch in batches:
+        token, n = np.unique(np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["key", "n"])
+
+
+def sampled_order(texts: DataFrame, words: int) -> "Order":
+    """The order that a sample of texts gives. Tasks count; the driver gets the counts of buckets of words and of shingles
+    in three different sets or more, and no text."""
+    sample = cut(texts.repartition(SAMPLE_TASKS))
+    total = lambda rows: rows.groupBy("key").agg(F.sum("n").alias("n"))
+    used = total(sample.mapInArrow(_words_used, "key long, n long")).toArrow()
+    sets = sample.mapInArrow(_sampled_sets(words), "cls long, cls2 long, shingles binary").groupBy("cls", "cls2").agg(F.first("shingles").alias("shingles"))
+    often = total(sets.select("shingles").mapInArrow(_tokens, "key long, n long")).where("n >= 3").toArrow()
+    return Order(*(t[c].to_numpy() for t in (often, used) for c in ("key", "n")))
+
+
 class Order:
-    """A fixed order of shingles: unusual words first, shingles frequent in the sample last."""
+    """A fixed order of shingles: unusual words first, shingles frequent in the sample last. Takes shingles in several sets
+    of the sample with their counts, and buckets of word hashes with theirs."""
 
-    def __init__(self, texts: list, words: int):
-        self.frequent, self.table = np.zeros(0, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
-        data, bounds = utf8(pa.array(texts, pa.large_string()))
-        sets, seen, used, names = [], set(), np.zeros(1 << TABLE_BITS, np.int64), Classes(64)
-        for k, e in byte_slices(bounds, SLICE_BYTES):
-            for s, hashes, _ in shingle_sets(data[bounds[k] : bounds[e]], bounds[k : e + 1] - bounds[k], words):
-                if (c := names.both(s)) not in seen:
-                    seen.add(c)
-                    sets.append(s)
-            used += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        if sets:
-            every = np.sort(np.concatenate(sets))
-            del sets
-            starts = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1)))
-            counts = np.diff(starts, append=len(every))
-            top = np.flatnonzero(counts >= 3)
-            top = top[np.argsort(-counts[top], kind="stable")[:FREQUENT_MOST]]
-            self.frequent = np.sort(every[starts[top]])
-            self.table = np.log2(1 + used).astype(np.int64)
+    def __init__(self, shingles: np.ndarray, times: np.ndarray, buckets: np.ndarray, used: np.ndarray):
+        shingles, self.table = shingles.view(np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
+        self.frequent = np.sort(shingles[np.lexsort((shingles, -times))[:FREQUENT_MOST]])
+        self.table[buckets] = np.log2(1 + used).astype(np.int64)
 
     def first(self, s: np.ndarray, hashes: np.ndarray, at: np.ndarray, words: int, many: int) -> np.ndarray:
         n = len(s)
@@ -287,8 +317,8 @@ def jaccard_components(
     rows = rows.select("doc_id", "n_shingles", "cls", "bits")
     copies = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("kept"), F.count("*").alias("m")).where("m > 1 AND kept IS NOT NULL")
     copied = spark.sparkContext.broadcast({r.cls: r.kept for r in copies.orderBy(F.desc("m"), "cls").limit(copied_sets).select("cls", "kept").toLocalIterator()})
-    sample = [r.text for r in hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()]
-    order = spark.sparkContext.broadcast(Order(sample, words))
+    sample = hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    order = spark.sparkContext.broadcast(sampled_order(sample, words))
     postings = read.mapInArrow(_postings(words, percent, order, names, copied), "token long, cls long")
     lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
     met = cut(postings.join(lists.select("token", "low", "m"), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("m").alias("m")))
