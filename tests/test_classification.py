@@ -154,6 +154,20 @@ def test_rows_of_places_reach_every_point(spark):
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_points_of_a_crowded_place_go_to_several_tasks(spark, monkeypatch):
+    points, voxels = _many_points(spark)
+    points = points.unionByName(points.where("x = 5").withColumn("idx", F.col("idx") + 100))
+    bounded = cubes.full_only(cubes.bounds(points, dict(z=3, y=5, x=5)), dict(z=7, y=16, x=16))
+    monkeypatch.setattr(cubes, "CROWD", 10, raising=False)
+    placed, places = cubes.shared(bounded, (7, 16, 16))
+    keys = placed.groupBy("place").count().collect()
+    assert sorted(r.idx for r in places.collect()) == sorted(r.place for r in keys) and places.count() == 3 + 2 + 2
+    assert max(r["count"] for r in keys) < 20 and sum(r["count"] for r in keys) == bounded.count()
+    got, want = cubes.spread(cubes.extract(places, voxels), placed), cubes.extract(bounded, voxels)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.rdd.getNumPartitions() == 4  # a task for each partition, though all points are a few bytes
+
+
 def test_points_of_one_place_are_augmented_each_in_its_way(spark):
     points, voxels = _many_points(spark)
     bounded = cubes.full_only(cubes.bounds(points, dict(z=3, y=5, x=5)), dict(z=7, y=16, x=16))

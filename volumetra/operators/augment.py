@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from volumetra.operators.cubes import in_blocks, resample_array
+from volumetra.operators.cubes import dealt, in_blocks, resample_array
 
 Range = float | tuple[float, float]
 
@@ -154,4 +154,4 @@ def augmented(cubes: DataFrame, shape: tuple[int, int, int], how: Augmentation,
     if placed is None:
         return rows.mapInArrow(run, schema)
     packed = rows.mapInArrow(pack, "place long, cube array<float>")
-    return placed.where("idx IS NOT NULL").select("idx", "place").join(packed, "place").select("idx", "cube").mapInArrow(run_packed, schema)
+    return dealt(placed.where("idx IS NOT NULL").select("idx", "place")).join(packed, "place").select("idx", "cube").mapInArrow(run_packed, schema)
