@@ -169,6 +169,25 @@ def test_jaccard_order_comes_from_counts_and_no_text_reaches_the_driver(spark, m
     assert {k: v for k, v in enumerate(orders[0].table.tolist()) if v} == {k: int(np.log2(1 + n)) for k, n in words.items() if n}
 
 
+def test_jaccard_sample_grows_so_that_passages_make_no_large_group(spark, monkeypatch):
+    # Each passage stands in one of 20 texts, too seldom for a sample of fixed size; rare words would put it into the prefixes.
+    r = random.Random(9)
+    passages = [[f"p{k}-{i}" for i in range(9)] for k in range(20)]
+    rows = [(k, " ".join([f"v{r.randrange(400)}" for _ in range(60)] + r.choice(passages))) for k in range(600)]
+    rows += [(600 + k, rows[k][1] + " end") for k in range(0, 600, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, n in (("SAMPLE_DOCS", 16), ("SAMPLE_EVERY", 3)):
+        monkeypatch.setattr(jaccard_join, name, n, raising=False)
+    got, edges = pair_rows(spark, docs, monkeypatch, short_list=12)
+    same(got, brute.jaccard(rows))
+    assert edges[0] < 100  # near copies, of which there are 20; with a sample of 16 texts, a link for most texts
+
+
+def test_jaccard_order_holds_no_more_shingles_than_it_may(spark):
+    texts = spark.createDataFrame([(f"a b c d e f g {k}" if k < 9 else f"h i j k l m {k}",) for k in range(14)], "text string")
+    assert [len(jaccard_join.sampled_order(texts, 5, 2, most).frequent) for most in (9, 4, 3, 2)] == [5, 4, 3, 2]
+
+
 def test_cut_leaves_no_mark(spark):
     at = cut(spark.range(5))
     assert at.count() == 5 and not [f for f in os.listdir(at._cut_path.removeprefix("file:")) if "_SUCCESS" in f]

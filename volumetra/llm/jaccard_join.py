@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import byte_slices, cut, hash_sample, join_split, pair_hash, partitions, utf8, word_hashes, word_spans
+from volumetra.llm.common import byte_slices, cut, join_split, pair_hash, partitions, utf8, word_hashes, word_spans
 from volumetra.llm.graph import components
 
 #: Production parameters: words of a shingle, similarity in per cent.
 SHINGLE, PERCENT = 5, 75
 #: Documents, and characters of each, sampled for the order of shingles, which no result depends on.
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_MOST, TABLE_BITS = 8192, 6000, 200_000, 18
-#: Tasks that count the sample.
-SAMPLE_TASKS = 8
+#: Of a larger corpus, a document of so many is sampled, so that the shingles of long lists are met in it at any size.
+SAMPLE_EVERY = 32
+#: Tasks that count the sample at least, and documents of it that one counts.
+SAMPLE_TASKS, SAMPLE_TASK_DOCS = 8, 1024
 #: Lists of more documents than this are long; words of 64 bits in a set's bitmap.
 SHORT_LIST, BITMAP = 256, 32
 #: Shingles of a group that one task links first, and shingles of each of the two blocks that one task compares after that.
@@ -153,14 +155,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["key", "n"])
 
 
-def sampled_order(texts: DataFrame, words: int) -> "Order":
-    """The order that a sample of texts gives. Tasks count; the driver gets the counts of buckets of words and of shingles
-    in three different sets or more, and no text."""
-    sample = cut(texts.repartition(SAMPLE_TASKS))
+def sampled_order(texts: DataFrame, words: int, tasks: int = SAMPLE_TASKS, most: int = FREQUENT_MOST) -> "Order":
+    """The order that a sample of texts gives. Tasks count; the driver gets the counts of buckets of words and of `most`
+    shingles in three different sets or more, and no text."""
+    sample = cut(texts.repartition(tasks))
     total = lambda rows: rows.groupBy("key").agg(F.sum("n").alias("n"))
     used = total(sample.mapInArrow(_words_used, "key long, n long")).toArrow()
     sets = sample.mapInArrow(_sampled_sets(words), "cls long, cls2 long, shingles binary").groupBy("cls", "cls2").agg(F.first("shingles").alias("shingles"))
-    often = total(sets.select("shingles").mapInArrow(_tokens, "key long, n long")).where("n >= 3").toArrow()
+    often = cut(total(sets.select("shingles").mapInArrow(_tokens, "key long, n long")).where("n >= 3"))
+    if often.count() > most:
+        times, above = 0, 0
+        for times, m in often.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).toLocalIterator():
+            if above + m > most:
+                break
+            above += m
+        often = often.where(F.col("n") > times).union(often.where(F.col("n") == times).limit(most - above))
+    often = often.toArrow()
     return Order(*(t[c].to_numpy() for t in (often, used) for c in ("key", "n")))
 
 
@@ -317,8 +327,9 @@ def jaccard_components(
     rows = rows.select("doc_id", "n_shingles", "cls", "bits")
     copies = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("kept"), F.count("*").alias("m")).where("m > 1 AND kept IS NOT NULL")
     copied = spark.sparkContext.broadcast({r.cls: r.kept for r in copies.orderBy(F.desc("m"), "cls").limit(copied_sets).select("cls", "kept").toLocalIterator()})
-    sample = hash_sample(read, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    order = spark.sparkContext.broadcast(sampled_order(sample, words))
+    every = max(1, min(SAMPLE_EVERY, rows.count() // SAMPLE_DOCS))
+    sample = read.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    order = spark.sparkContext.broadcast(sampled_order(sample, words, max(SAMPLE_TASKS, rows.count() // every // SAMPLE_TASK_DOCS)))
     postings = read.mapInArrow(_postings(words, percent, order, names, copied), "token long, cls long")
     lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
     met = cut(postings.join(lists.select("token", "low", "m"), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("m").alias("m")))
