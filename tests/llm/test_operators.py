@@ -188,6 +188,19 @@ def test_jaccard_order_holds_no_more_shingles_than_it_may(spark):
     assert [len(jaccard_join.sampled_order(texts, 5, 2, most).frequent) for most in (9, 4, 3, 2)] == [5, 4, 3, 2]
 
 
+def test_jaccard_links_in_rounds(spark, monkeypatch):
+    # Most of every text is one passage, so all are one group; its blocks meet each other and hold each text several times.
+    rows = [(k, " ".join([f"p{i}" for i in range(12)] + [f"u{k % 50}-{i}" for i in range(2)] + ["end"] * (k % 3))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, rounds, real = brute.jaccard(rows), [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda percent: rounds.append(1) or real(percent))
+    for most, at_once, jobs in ((2_000_000, 20_000_000, {2}), (0, 1, range(5, 40))):
+        rounds.clear()
+        got = jaccard_join.jaccard_components(docs, group_shingles=200, block_shingles=150, bridge=2, short_list=4, broadcast_rows=most, round_shingles=at_once)
+        same(rows_of(got.select("doc_id", "n_shingles", "component_id")), want)
+        assert len(rounds) in jobs
+
+
 def test_cut_leaves_no_mark(spark):
     at = cut(spark.range(5))
     assert at.count() == 5 and not [f for f in os.listdir(at._cut_path.removeprefix("file:")) if "_SUCCESS" in f]

@@ -25,6 +25,7 @@ of their set and travel by its first 64 bits; should those of two classes agree,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import byte_slices, cut, join_split, pair_hash, partitions, utf8, word_hashes, word_spans
+from volumetra.llm.common import byte_slices, cut, drop, join_split, pair_hash, partitions, utf8, word_hashes, word_spans
 from volumetra.llm.graph import components
 
 #: Production parameters: words of a shingle, similarity in per cent.
@@ -55,6 +56,8 @@ BROADCAST_ROWS = 2_000_000
 MOST_PAIRS, FIRST_LIST = 200, 8
 #: Sets with most copies of which only one text goes on to the lists; of all others every copy does, which costs work only.
 COPIED = 100_000
+#: Shingles that are dealt to tasks at once, or half of all that the texts have, if these are more; beyond, tasks go in rounds.
+ROUND_SHINGLES = 20_000_000
 SLICE_BYTES = 400_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -218,6 +221,18 @@ def _sets(words: int, names: Classes, copied):
     return run
 
 
+def _once(sets):
+    """Of the rows of one class that a task's `sets` give, the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in sets(batches):
+            new = [c not in seen and not seen.add(c) for c in batch["cls"].to_pylist()]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return run
+
+
 def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[int]:
     """Join the sets; each one's root after all links (a member's index). Sets with equal `known` are linked already."""
     first: dict = {}
@@ -267,25 +282,26 @@ def divide_skip(sets: list[np.ndarray], percent: int, known: list | None = None)
 
 
 def _links(percent: int):
-    """Over rows (task, cls, known, shingles) sorted by task: links (u, v) between the known components that the task's
-    classes have linked."""
+    """Over rows (task, cls, known, shingles) sorted by task and cls: links (u, v) between the known components that the
+    task's classes have linked. Of rows with one task and cls, one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, []
+        task, last, held = None, None, []
 
         def done() -> pa.RecordBatch:
-            known = [c for c, _ in held]
+            known = [k for k, _ in held]
             roots = divide_skip([s for _, s in held], percent, known) if len(set(known)) > 1 else []
             pairs = sorted({(known[k], known[r]) for k, r in enumerate(roots) if known[k] != known[r]})
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for t, c, s in zip(*(batch[x].to_pylist() for x in ("task", "known", "shingles"))):
+            for t, c, k, s in zip(*(batch[x].to_pylist() for x in ("task", "cls", "known", "shingles"))):
                 if t != task and held:
                     yield done()
                     held = []
-                task = t
-                held.append((c, np.frombuffer(s, np.uint64)))
+                if (t, c) != (task, last):
+                    held.append((k, np.frombuffer(s, np.uint64)))
+                task, last = t, c
         if held:
             yield done()
 
@@ -306,7 +322,7 @@ def _dealt(groups: DataFrame, group_shingles: int, parts: int) -> DataFrame:
 
 def jaccard_components(
     docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, short_list: int = SHORT_LIST, bits: int = 64,
-    block_shingles: int = BLOCK_SHINGLES, bridge: int = BRIDGES, most_pairs: int = MOST_PAIRS, copied_sets: int = COPIED,
+    block_shingles: int = BLOCK_SHINGLES, bridge: int = BRIDGES, most_pairs: int = MOST_PAIRS, copied_sets: int = COPIED, round_shingles: int = ROUND_SHINGLES,
 ) -> DataFrame:
     """doc_id, n_shingles, cls (equal for equal shingle sets) and component_id, a row for each row of docs.
 
@@ -331,25 +347,38 @@ def jaccard_components(
     sample = read.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     order = spark.sparkContext.broadcast(sampled_order(sample, words, max(SAMPLE_TASKS, rows.count() // every // SAMPLE_TASK_DOCS)))
     postings = read.mapInArrow(_postings(words, percent, order, names, copied), "token long, cls long")
-    lists = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high")
-    met = cut(postings.join(lists.select("token", "low", "m"), "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("m").alias("m")))
+    # A table of its own, so that its shuffle is gone before the postings are dealt again.
+    lists = cut(postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("m")).where("low < high").select("token", "low", "m"))
+    met = cut(postings.join(lists, "token").groupBy("token", "cls").agg(F.first("low").alias("low"), F.first("m").alias("m")))
     met = met.withColumn("long", F.col("m") > short_list)
     sets = rows.where("n_shingles > 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     size = met.groupBy("cls").agg(F.sum(F.col("long").cast("int")).alias("longs")).join(sets.select("cls", "n"), "cls")
-    whole = read.mapInArrow(_sets(words, names, copied), "cls long, shingles binary")
+    whole = read.mapInArrow(_once(_sets(words, names, copied)), "cls long, shingles binary")
+
+    at_once = max(round_shingles, (rows.agg(F.sum("n_shingles")).first()[0] or 0) // 2)
 
     def linked(tasks: DataFrame) -> DataFrame:
-        """Links found by tasks (task, cls, known)."""
-        few = tasks.count() <= broadcast_rows
-        dealt = whole.join(F.broadcast(tasks) if few else tasks, "cls").groupBy("task", "cls").agg(F.first("known").alias("known"), F.first("shingles").alias("shingles"))
-        return dealt.repartition(parts, "task").sortWithinPartitions("task", "cls").mapInArrow(_links(percent), "u long, v long")
+        """Links found by tasks (task, cls, known, n). Sets are shuffled once for each task that a class is in; where that is
+        much, tasks go in rounds, and a round's shuffle is gone before the next one's."""
+        work = tasks.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
+        rounds = -(-(work.n or 0) // at_once)
+        join = lambda table, side, many, how="inner": table.join(F.broadcast(side) if many <= broadcast_rows else side, "cls", how)
+        held = cut(join(whole, tasks.select("cls").distinct(), work.m, "left_semi")) if rounds > 1 else whole
+        found = []
+        for k in range(max(1, rounds)):
+            own = tasks.where(F.pmod(F.xxhash64("task"), F.lit(rounds)) == k) if rounds > 1 else tasks
+            dealt = join(held, own, work.m // max(1, rounds)).select("task", "cls", "known", "shingles").repartition(parts, "task").sortWithinPartitions("task", "cls")
+            found.append(cut(dealt.mapInArrow(_links(percent), "u long, v long")))
+        if rounds > 1:
+            drop(held)
+        return reduce(DataFrame.unionByName, found)
 
     listed, near_links = met.where("NOT long").select("token", "cls"), None
     work = met.where("NOT long").agg(F.sum((F.col("m") - 1) / 2).alias("pairs"), F.approx_count_distinct("cls").alias("n")).first()
     if (work.pairs or 0) > most_pairs * work.n:
         first = [F.min_by("token", F.xxhash64("token", F.lit(k))) for k in (1, 2)]
         chosen = met.where(f"NOT long AND m >= {FIRST_LIST}").groupBy("cls").agg(F.array_distinct(F.array(*first)).alias("tokens"))
-        near_links = cut(linked(cut(chosen.select(F.explode("tokens").alias("task"), "cls", F.col("cls").alias("known")))))
+        near_links = linked(cut(chosen.join(size, "cls").select(F.explode("tokens").alias("task"), "cls", F.col("cls").alias("known"), "n")))
         known = components(near_links).select(F.col("node").alias("cls"), F.col("root").alias("known"))
         listed = cut(listed.join(known, "cls", "left").withColumn("known", F.coalesce("known", "cls")))
         mixed = listed.groupBy("token").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("token")
@@ -374,9 +403,9 @@ def jaccard_components(
     members = cut(_dealt(grouped, block_shingles, parts))
     last = members.groupBy("root").agg(F.max("block").alias("last"), F.count("*").alias("m_group")).where("last > 0")
     later = members.where("block > 0").withColumn("_k", F.row_number().over(Window.partitionBy("root", "block").orderBy(F.xxhash64("cls"))))
-    bridges = later.where(F.col("_k") <= bridge).select("cls", "root", (F.col("block") - 1).alias("block"))
-    tasks = members.select("cls", "root", "block").unionByName(bridges).select(F.xxhash64("root", "block").alias("task"), "cls", F.col("cls").alias("known"))
-    links = cut(linked(cut(tasks)))
+    bridges = later.where(F.col("_k") <= bridge).select("cls", "root", (F.col("block") - 1).alias("block"), "n")
+    tasks = members.select("cls", "root", "block", "n").unionByName(bridges).select(F.xxhash64("root", "block").alias("task"), "cls", F.col("cls").alias("known"), "n")
+    links = linked(cut(tasks))
     if near_links is not None:
         links = links.unionByName(near_links)
     # Groups of several blocks: their classes by what is linked so far, and which of these components is the group's largest.
@@ -395,8 +424,8 @@ def jaccard_components(
         both = span(1).where("NOT inside1").join(span(2), "root").where(fit & (F.col("inside2") | (F.col("block1") <= F.col("block2"))))
         name = F.xxhash64("root", "block1", "inside2", "block2").alias("task")
         ends = both.select("root", name, F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"inside{k}").alias("inside"), F.col(f"block{k}").alias("block")) for k in (1, 2))))).alias("end")).select("root", "task", "end.*")
-        again = placed.join(ends, ["root", "inside", "block"]).select("cls", "task").join(wide.select("cls", "known"), "cls")
-        links = links.unionByName(cut(linked(cut(again))))
+        again = placed.join(ends, ["root", "inside", "block"]).select("cls", "task", "n").join(wide.select("cls", "known"), "cls")
+        links = links.unionByName(linked(cut(again)))
     joined = components(links).withColumnRenamed("node", "cls")
     # Components of classes, then of rows; roots and classes that hold very many are broadcast.
     classes = cut(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
